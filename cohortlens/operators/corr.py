@@ -35,7 +35,7 @@ def pairwise_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Spearman and Pearson of every column pair on its complete rows, and whether the columns are equal there."""
     keys = ["feature_1", "feature_2"]
     rows = pair_rows(df, columns)
-    ranked = value_ranks(value_ranks(rows, keys, "a", "ra"), keys, "b", "rb")
+    ranked = value_ranks(rows, keys, {"a": "ra", "b": "rb"})
     return ranked.groupBy(*keys).agg(
         safe_corr(F.col("ra"), F.col("rb")).alias("spearman_rho"),
         safe_corr(F.col("a"), F.col("b")).alias("pearson_r"),
@@ -47,7 +47,7 @@ def pairwise_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def rank_gram_correlations(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     """Spearman of every pair when no value is missing: each column is ranked once, pairs come from one aggregation."""
     long = df.select(key, *[finite(F.col(c)).alias(c) for c in columns]).unpivot([key], list(columns), "feature", "x")
-    ranked = value_ranks(long, ["feature"], "x", "r")
+    ranked = value_ranks(long, ["feature"], {"x": "r"})
     wide = ranked.groupBy(key).agg(*[F.max(F.when(F.col("feature") == c, F.col("r"))).alias(c) for c in columns])
     pairs = _column_pairs(list(columns))
     row = wide.agg(*[safe_corr(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
@@ -164,7 +164,7 @@ def target_variants(targets: DataFrame, stratum: str, z: tuple[str, str]) -> Dat
 
 def target_correlations(variants: DataFrame, names: Sequence[str]) -> DataFrame:
     """(variant, target_1, target_2, rho) for every ordered pair of targets, the diagonal included."""
-    ranked = value_ranks(variants, ["variant", "target"], "value", "r")
+    ranked = value_ranks(variants, ["variant", "target"], {"value": "r"})
     wide = ranked.groupBy("variant", "cell_id").agg(*[F.max(F.when(F.col("target") == t, F.col("r"))).alias(t) for t in names])
     pairs = _column_pairs(list(names))
     rho = wide.groupBy("variant").agg(*[safe_corr(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])

@@ -91,7 +91,7 @@ def inner_group_split(df: DataFrame, group: str, folds: Sequence[int], share: fl
 def inner_validation_mask(df: DataFrame, group: str, folds: Sequence[int], share: float = 0.2, seed: int = 42) -> DataFrame:
     """Per group a bit mask: bit k is set where the group validates inside outer fold k."""
     split = inner_group_split(df, group, folds, share, seed)
-    bit = F.when(F.col("is_validation"), F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), F.col("outer_fold")).cast("int"))
+    bit = F.when(F.col("is_validation"), F.pow(F.lit(2), F.col("outer_fold")).cast("int"))
     return split.groupBy(group).agg(F.coalesce(F.sum(bit), F.lit(0)).cast("int").alias("mask"))
 
 

@@ -208,7 +208,7 @@ def module_dominance(dense: DataFrame) -> DataFrame:
         }
     )
     keys = ["module", "gene"]
-    ranked = value_ranks(value_ranks(value_ranks(rows, keys, "x", "rx"), keys, "score", "rs"), keys, "loo", "rl")
+    ranked = value_ranks(rows, keys, {"x": "rx", "score": "rs", "loo": "rl"})
     table = ranked.groupBy(*keys).agg(
         F.var_samp("x").alias("gene_variance"),
         F.avg((F.col("cnt") > 0).cast("double")).alias("nonzero_fraction"),

@@ -102,19 +102,34 @@ def propose(jobs: DataFrame, seed: int) -> DataFrame:
     """
     start = F.array().cast("array<struct<target_gene:string,gene:string,distance:double,tx:double,td:double,zx:double,zd:double,pool_size:int>>")
 
+    def bind(value: Column, use) -> Column:
+        """Evaluates value once and hands it to use."""
+        return F.transform(F.array(value), use)[0]
+
     def draw(picked: Column, target: Column) -> Column:
-        free = F.filter(target["pool"], lambda c: ~F.array_contains(F.transform(picked, lambda q: q["gene"]), c["gene"]))
-        at = pick(F.greatest(F.size(free), F.lit(1)), seed, F.col("module"), F.col("control_id"), F.col("proposal"), target["target_gene"])
-        chosen = F.get(free, at.cast("int"))
-        made = F.struct(
-            target["target_gene"].alias("target_gene"),
-            chosen["gene"].alias("gene"),
-            chosen["distance"].alias("distance"),
-            target["tx"].alias("tx"),
-            target["td"].alias("td"),
-            chosen["zx"].alias("zx"),
-            chosen["zd"].alias("zd"),
-            target["pool_size"].alias("pool_size"),
+        def choose_from(free: Column) -> Column:
+            at = pick(
+                F.greatest(F.size(free), F.lit(1)), seed, F.col("module"), F.col("control_id"), F.col("proposal"),
+                target["target_gene"],
+            )
+            return F.get(free, at.cast("int"))
+
+        def without(used: Column) -> Column:
+            return bind(F.filter(target["pool"], lambda c: ~F.array_contains(used, c["gene"])), choose_from)
+
+        chosen = bind(F.transform(picked, lambda q: q["gene"]), without)
+        made = bind(
+            chosen,
+            lambda c: F.struct(
+                target["target_gene"].alias("target_gene"),
+                c["gene"].alias("gene"),
+                c["distance"].alias("distance"),
+                target["tx"].alias("tx"),
+                target["td"].alias("td"),
+                c["zx"].alias("zx"),
+                c["zd"].alias("zd"),
+                target["pool_size"].alias("pool_size"),
+            ),
         )
         return F.concat(picked, F.array(made))
 
@@ -191,7 +206,7 @@ def matched_sets(
 ) -> DataFrame:
     """Accepted control sets (module, control_id, proposal, picks, metrics, set_signature).
 
-    Proposals are drawn in waves; only controls without a set go to the next wave. Controls that fail
+    Proposals are drawn in growing waves; only controls without a set go to the next one. Controls that fail
     all attempts are absent and show up in `failed_controls`.
     """
     packed = cut_lineage(packed_pools(z, membership, candidate_pools(z, membership, radius, neighbours)))
@@ -206,7 +221,7 @@ def matched_sets(
         passing = drawn if passing is None else passing.unionByName(drawn)
         settled = _settle(passing)
         pending = jobs.join(settled.select("module", "control_id"), ["module", "control_id"], "left_anti")
-        first = last + 1
+        first, wave = last + 1, wave * 4
         if first >= max_attempts or pending.isEmpty():
             return settled
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.numeric import finite, plus_one_p, safe_corr
 from cohortlens.functions.rules import range_position
-from cohortlens.operators.ranks import exact_quantiles, percent_ranks, top_fraction, value_ranks
+from cohortlens.operators.ranks import cumulative_counts, exact_quantiles, top_fraction, value_ranks
+from cohortlens.session import cut_lineage
 
 METRICS = ("r2", "mae", "rmse", "spearman")
 
@@ -54,7 +55,7 @@ def regression_metrics(
     basic = {name: column.alias(name) for name, column in error_metrics(y, p).items()}
     if not spearman:
         return clean.groupBy(*by).agg(n, *basic.values())
-    ranked = value_ranks(value_ranks(clean, by, y, "_ry"), by, p, "_rp")
+    ranked = value_ranks(clean, by, {y: "_ry", p: "_rp"})
     rho = F.when(F.count(y) >= 2, safe_corr(F.col("_ry"), F.col("_rp")))
     return ranked.groupBy(*by).agg(n, *basic.values(), rho.alias("spearman"))
 
@@ -133,11 +134,13 @@ def top_decile(df: DataFrame, by: Sequence[str], cell: str, y: str = "y_true", p
     """How enriched the top tenth by prediction is in truth, per key."""
     by = list(by)
     clean = paired_finite(df.select(*by, cell, y, p), y, p).filter(F.col(y).isNotNull())
-    placed = percent_ranks(clean, by, y, "_pct")
-    top = top_fraction(placed, by, p, cell, 0.10)
+    top = cut_lineage(top_fraction(clean, by, p, cell, 0.10), eager=False)
+    counts = cumulative_counts(clean, by, y)
+    share = (F.col("n_before") + (F.col("n") + 1) / 2.0) / F.col("n_total")
+    placed = top.join(counts.select(*by, y, share.alias("_pct")), [*by, y])
     overall = clean.groupBy(*by).agg(F.avg(y).alias("_mean"))
     middle = exact_quantiles(top, by, y, {"top_decile_observed_median": 0.5}).drop("n")
-    summary = top.groupBy(*by).agg(
+    summary = placed.groupBy(*by).agg(
         F.count(F.lit(1)).alias("top_decile_n"),
         F.avg(y).alias("top_decile_observed_mean"),
         F.avg("_pct").alias("top_decile_mean_observed_percentile"),

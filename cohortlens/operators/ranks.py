@@ -21,15 +21,31 @@ from cohortlens.session import bucket_count
 
 
 def _with_ranges(df: DataFrame, by: Sequence[str], key: str, weight: str, buckets: int | None) -> DataFrame:
-    """Adds _range (ascending in key) and _total (weight per by-key)."""
-    k = buckets or bucket_count(df)
+    """Adds _range, ascending in key. Mentioning the weight keeps the cut points on the same exchange as the rows."""
+    k = 1 << max(1, (buckets or bucket_count(df)).bit_length() - 1)
     fractions = [i / k for i in range(1, k)]
-    cuts = df.groupBy(*by).agg(
-        F.percentile_approx(key, fractions, 1000).alias("_cuts"),
-        F.sum(weight).alias("_total"),
+    weighed = F.when(F.col(weight) > 0, F.col(key))
+    cuts = df.groupBy(*by).agg(F.percentile_approx(weighed, fractions, 1000).alias("_cuts"))
+    placed = df.join(cuts, list(by)).withColumn("_range", F.lit(0))
+    step = k // 2
+    while step:
+        # Binary search: how many of the k-1 sorted cut points lie below the key.
+        probe = F.col("_cuts")[F.col("_range") + (step - 1)] < F.col(key)
+        placed = placed.withColumn("_range", F.when(probe, F.col("_range") + step).otherwise(F.col("_range")))
+        step //= 2
+    return placed.drop("_cuts")
+
+
+def _range_offsets(ranged: DataFrame, by: Sequence[str], weight: str) -> DataFrame:
+    """(by, _range, _offset, _total): weight in earlier ranges and in all ranges of the key."""
+    per_range = ranged.groupBy(*by, "_range").agg(F.sum(weight).alias("_n"))
+    upto = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return per_range.select(
+        *by,
+        "_range",
+        (F.sum("_n").over(upto) - F.col("_n")).alias("_offset"),
+        F.sum("_n").over(W.partitionBy(*by)).alias("_total"),
     )
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(key)))
-    return df.join(cuts, list(by)).withColumn("_range", below).drop("_cuts")
 
 
 def cumulative_counts(
@@ -45,9 +61,7 @@ def cumulative_counts(
         .agg(F.sum("n").alias("n"))
     )
     ranged = _with_ranges(counted, by, col, "n", buckets)
-    totals = ranged.groupBy(*by, "_range").agg(F.sum("n").alias("_n"))
-    upto = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)
-    offsets = totals.select(*by, "_range", (F.sum("_n").over(upto) - F.col("_n")).alias("_offset"))
+    offsets = _range_offsets(ranged, by, "n")
     inside = W.partitionBy(*by, "_range").orderBy(col).rowsBetween(W.unboundedPreceding, W.currentRow)
     return ranged.join(offsets, [*by, "_range"]).select(
         *by,
@@ -59,18 +73,28 @@ def cumulative_counts(
 
 
 def value_ranks(
-    df: DataFrame, by: Sequence[str], col: str, out: str, weight: str | None = None, buckets: int | None = None
+    df: DataFrame,
+    by: Sequence[str],
+    columns: Mapping[str, str],
+    weight: str | None = None,
+    share: bool = False,
+    buckets: int | None = None,
 ) -> DataFrame:
-    """Adds the average-tie rank of col within by; NULL for non-finite values."""
-    by = list(by)
-    ranks = cumulative_counts(df, by, col, weight, buckets).select(
-        *by, F.col(col).alias("_v"), (F.col("n_before") + (F.col("n") + 1) / 2.0).alias(out)
-    )
-    left, right = df.alias("l"), ranks.alias("r")
-    condition = F.col(f"l.{col}") == F.col("r._v")
-    for key in by:
-        condition = condition & (F.col(f"l.{key}") == F.col(f"r.{key}"))
-    return left.join(right, condition, "left").select("l.*", f"r.{out}")
+    """Adds average-tie ranks within by, one per {column: name}; NULL for non-finite values.
+
+    Every column is ranked from df itself, so ranking two columns reads df three times rather than
+    once more per rank already added. With share=True ranks are divided by the number of finite values.
+    """
+    by, out = list(by), df
+    for col, name in columns.items():
+        rank = F.col("n_before") + (F.col("n") + 1) / 2.0
+        counts = cumulative_counts(df, by, col, weight, buckets)
+        ranks = counts.select(*by, F.col(col).alias("_v"), (rank / F.col("n_total") if share else rank).alias(name))
+        condition = F.col(f"l.{col}") == F.col("r._v")
+        for key in by:
+            condition = condition & (F.col(f"l.{key}") == F.col(f"r.{key}"))
+        out = out.alias("l").join(ranks.alias("r"), condition, "left").select("l.*", f"r.{name}")
+    return out
 
 
 def exact_quantiles(
@@ -132,15 +156,8 @@ def ordered_index(
         k = buckets or bucket_count(df)
         ranged = keyed.withColumn("_range", F.floor(F.col("_key") * k / F.lit(UINT32)))
     else:
-        ranged = _with_ranges(keyed, by, "_key", "_one", buckets).drop("_total")
-    per_range = ranged.groupBy(*by, "_range").agg(F.sum("_one").alias("_n"))
-    upto = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)
-    offsets = per_range.select(
-        *by,
-        "_range",
-        (F.sum("_n").over(upto) - F.col("_n")).alias("_offset"),
-        F.sum("_n").over(W.partitionBy(*by)).alias("_total"),
-    )
+        ranged = _with_ranges(keyed, by, "_key", "_one", buckets)
+    offsets = _range_offsets(ranged, by, "_one")
     inside = W.partitionBy(*by, "_range").orderBy("_key", *ties)
     placed = ranged.join(offsets, [*by, "_range"]).withColumn(
         out, F.col("_offset") + F.row_number().over(inside) - 1
@@ -167,39 +184,41 @@ def min_rank_desc(df: DataFrame, by: Sequence[str], col: str, out: str) -> DataF
     return df.withColumn(out, F.rank().over(W.partitionBy(*by).orderBy(F.desc_nulls_last(col))))
 
 
-def percent_ranks(df: DataFrame, by: Sequence[str], col: str, out: str) -> DataFrame:
-    """Average-tie rank divided by the number of finite values in the group."""
-    by = list(by)
-    ranks = cumulative_counts(df, by, col).select(
-        *by, F.col(col).alias("_v"), ((F.col("n_before") + (F.col("n") + 1) / 2.0) / F.col("n_total")).alias(out)
-    )
-    condition = F.col(f"l.{col}") == F.col("r._v")
-    for key in by:
-        condition = condition & (F.col(f"l.{key}") == F.col(f"r.{key}"))
-    return df.alias("l").join(ranks.alias("r"), condition, "left").select("l.*", f"r.{out}")
-
-
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
     """First k rows per key; Spark drops the rest of each key before the shuffle."""
     return df.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col(out) <= k)
 
 
+def _cut(counts: DataFrame, by: Sequence[str], col: str, wanted: Column, descending: bool, cut: str, need: str) -> DataFrame:
+    """(by, cut, need, _wanted): the value where the first `wanted` rows end and how many rows of that value belong."""
+    ahead = F.col("n_total") - F.col("n_before") - F.col("n") if descending else F.col("n_before")
+    return counts.filter((ahead < wanted) & (wanted <= ahead + F.col("n"))).select(
+        *by, F.col(col).alias(cut), (wanted - ahead).alias(need), wanted.alias("_wanted")
+    )
+
+
 def top_fraction(df: DataFrame, by: Sequence[str], score: str, tie: str, fraction: float) -> DataFrame:
     """The ceil(fraction*n) rows per key with the largest score, ties broken by ascending text id.
 
-    Finds the score at the cut per key, keeps everything above it and orders only rows at the cut.
+    One row per key says at which score the top ends; a second says at which id prefix the rows tied at
+    that score end. Only rows tied on both are put in order, and everything else is a comparison.
     """
     by = list(by)
-    counts = cumulative_counts(df, by, score)
-    wanted = F.ceil(F.lit(float(fraction)) * F.col("n_total"))
-    above = F.col("n_total") - F.col("n_before") - F.col("n")
-    cut = counts.filter((above < wanted) & (wanted <= above + F.col("n"))).select(
-        *by, F.col(score).alias("_cut"), (wanted - above).alias("_need"), wanted.alias("n_top")
-    )
-    rows = df.join(cut, by)
-    sure = rows.filter(F.col(score) > F.col("_cut")).drop("_cut", "_need")
-    tied = ordered_index(rows.filter(F.col(score) == F.col("_cut")), by, text_order_key(F.col(tie)), [tie], "_pos")
-    return sure.unionByName(tied.filter(F.col("_pos") < F.col("_need")).drop("_cut", "_need", "_pos"))
+    share = F.ceil(F.lit(float(fraction)) * F.col("n_total"))
+    cut = _cut(cumulative_counts(df, by, score), by, score, share, True, "_cut", "_need").drop("_wanted")
+    rows = df.join(cut, by).withColumn("_id", text_order_key(F.col(tie)))
+    tied = rows.filter(F.col(score) == F.col("_cut")).select(*by, "_id", "_need")
+    needs = F.max("_need").alias("_need")
+    prefix = cumulative_counts(tied, by, "_id").join(tied.groupBy(*by).agg(needs), by)
+    ends = _cut(prefix, by, "_id", F.col("_need"), False, "_idcut", "_left").drop("_wanted")
+    placed = rows.drop("_need").join(ends, by)
+    at_cut = F.col(score) == F.col("_cut")
+    inside = (F.col(score) > F.col("_cut")) | (at_cut & (F.col("_id") < F.col("_idcut")))
+    sure = placed.filter(inside)
+    edge = placed.filter(at_cut & (F.col("_id") == F.col("_idcut")))
+    last = edge.withColumn("_rn", F.row_number().over(W.partitionBy(*by).orderBy(tie))).filter(F.col("_rn") <= F.col("_left"))
+    helper = ["_cut", "_id", "_idcut", "_left"]
+    return sure.drop(*helper).unionByName(last.drop("_rn", *helper))
 
 
 def set_overlap(df: DataFrame, by: Sequence[str], side: str, member: str, left, right) -> DataFrame:

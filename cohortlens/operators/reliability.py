@@ -38,7 +38,7 @@ def balanced_partitions(sizes: DataFrame, by: Sequence[str], maximum: int, seed:
     by = list(by)
     n = F.col("gene_n")
     small = sizes.filter(n <= EXHAUSTIVE_LIMIT)
-    masks = small.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("bigint"), F.shiftleft(F.lit(1).cast("bigint"), n.cast("int")) - 1)))
+    masks = small.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("shiftleft(1L, cast(gene_n as int))") - 1)))
     canonical = (n % 2 == 1) | (F.expr("getbit(mask, 0)") == 1)
     halves = masks.filter((F.bit_count("mask") == F.floor(n / 2)) & canonical)
     large = sizes.filter((n > EXHAUSTIVE_LIMIT) & (n <= 62)).withColumn(
@@ -53,7 +53,7 @@ def balanced_partitions(sizes: DataFrame, by: Sequence[str], maximum: int, seed:
     taken = F.slice(order, F.lit(1), F.floor(n / 2).cast("int"))
     mask = F.aggregate(taken, F.lit(0).cast("bigint"), lambda acc, s: acc + F.pow(F.lit(2.0), s["i"]).cast("bigint"))
     drawn = large.withColumn("mask", mask)
-    everything = F.shiftleft(F.lit(1).cast("bigint"), n.cast("int")) - 1
+    everything = F.expr("shiftleft(1L, cast(gene_n as int))") - 1
     drawn = drawn.withColumn(
         "mask", F.when((n % 2 == 0) & (F.expr("getbit(mask, 0)") == 0), everything - F.col("mask")).otherwise(F.col("mask"))
     )
@@ -95,7 +95,7 @@ def half_scores(expression: DataFrame, sets: DataFrame, partitions: DataFrame, s
 def split_half_table(halves: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, mask, rho, sb) per partition."""
     keys = [*by, "mask"]
-    ranked = value_ranks(value_ranks(halves, keys, "a", "ra"), keys, "b", "rb")
+    ranked = value_ranks(halves, keys, {"a": "ra", "b": "rb"})
     rho = ranked.groupBy(*keys).agg(safe_corr(F.col("ra"), F.col("rb")).alias("rho"))
     return rho.withColumn("sb", spearman_brown(F.col("rho")))
 

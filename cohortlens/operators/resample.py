@@ -66,9 +66,7 @@ def _replicate_spearman(df: DataFrame, by, group, y, preds, groups: DataFrame, p
     weights = plan.groupBy("replicate", "slot").agg(F.count(F.lit(1)).alias("w")).join(groups, "slot")
     rows = df.select(*by, group, y, *preds).join(weights.select("replicate", group, "w"), group).drop(group)
     keys = [*by, "replicate"]
-    ranked = value_ranks(rows, keys, y, "_ry", weight="w")
-    for p in preds:
-        ranked = value_ranks(ranked, keys, p, f"_r_{p}", weight="w")
+    ranked = value_ranks(rows, keys, {y: "_ry", **{p: f"_r_{p}" for p in preds}}, weight="w")
     w, a = F.col("w"), F.col("_ry")
     n = F.sum(w)
     out = []
@@ -170,7 +168,7 @@ def paired_summary(draws: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _centred_ranks(df: DataFrame, by: Sequence[str], y: str, p: str) -> DataFrame:
-    ranked = value_ranks(value_ranks(df, by, y, "_ry"), by, p, "_rp")
+    ranked = value_ranks(df, by, {y: "_ry", p: "_rp"})
     n = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     mid = (F.col("_n") + 1) / 2.0
     return ranked.join(n, list(by)).withColumns({"_ry": F.col("_ry") - mid, "_rp": F.col("_rp") - mid}).drop("_n")
@@ -218,7 +216,7 @@ def stratified_permutation(
 
 
 def observed_spearman(df: DataFrame, by: Sequence[str], y: str = "y_true", p: str = "y_pred") -> DataFrame:
-    ranked = value_ranks(value_ranks(df, by, y, "_ry"), by, p, "_rp")
+    ranked = value_ranks(df, by, {y: "_ry", p: "_rp"})
     return ranked.groupBy(*by).agg(safe_corr(F.col("_ry"), F.col("_rp")).alias("observed_spearman"))
 
 
@@ -275,10 +273,15 @@ def centre_by_stratum(df: DataFrame, by: Sequence[str], stratum: str, cols: Sequ
 
 
 def group_level_means(df: DataFrame, by: Sequence[str], group: str, stratum: str) -> DataFrame:
-    """Stratum-centred truth and prediction averaged once per group."""
+    """Stratum-centred truth and prediction averaged once per group.
+
+    Means are rounded to 12 digits: groups that are equal by arithmetic then tie instead of being ordered by noise.
+    """
     centred = centre_by_stratum(df, by, stratum, ["y_true", "y_pred"])
     return centred.groupBy(*by, group).agg(
-        F.avg("y_true_residual").alias("y_true"), F.avg("y_pred_residual").alias("y_pred"), F.count("y_true").alias("n_cells")
+        F.round(F.avg("y_true_residual"), 12).alias("y_true"),
+        F.round(F.avg("y_pred_residual"), 12).alias("y_pred"),
+        F.count("y_true").alias("n_cells"),
     )
 
 

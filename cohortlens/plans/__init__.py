@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ("q_tables",)
+PARTS = ("q_tables", "q_metrics", "q_inference")
 
 
 def load_all() -> None:

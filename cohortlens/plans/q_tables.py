@@ -204,6 +204,11 @@ def _gene_table(spark, sf):
     return genesets.gene_qc(v.counts(spark, sf), v.library(spark, sf), v.requested(spark, sf), ["Brand#7|1"])
 
 
+def zgenes(spark, sf):
+    """Standardised gene table, as the stage before matching leaves it."""
+    return v.staged(spark, sf, "zgenes", lambda: matching.standardised_genes(_gene_table(spark, sf)))
+
+
 @query("b05_candidate_eligibility", "SELECT gene, exclusion_reason = '' AS candidate_eligible, exclusion_reason FROM gene_table")
 def b05(spark, sf):
     return _gene_table(spark, sf).select("gene", "candidate_eligible", "exclusion_reason")
@@ -446,7 +451,7 @@ PAIRS_SQL = """SELECT p.module, p.gene AS target_gene, c.gene, sqrt((c.zx - t.zx
 
 @query("c08_radius_join", PAIRS_SQL, ["distance"])
 def c08(spark, sf):
-    z = matching.standardised_genes(_gene_table(spark, sf))
+    z = zgenes(spark, sf)
     targets = v.requested(spark, sf).join(z, "gene").select("module", F.col("gene").alias("target_gene"), F.col("zx").alias("tx"), F.col("zd").alias("td"))
     pairs = matching.radius_pairs(targets, z.filter("candidate_eligible").select("gene", "zx", "zd"), 0.5)
     return pairs.select("module", "target_gene", "gene", "distance")

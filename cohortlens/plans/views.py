@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,27 @@ FOLDS = (0, 1, 2)
 MODELS = ("mean", "ols", "stratum")
 
 
+_STAGED: dict[tuple[str, str, str], str] = {}
+
+
+def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table a stage hands to the next: written once per application to the shared folder, then only read.
+
+    Later operators read such a table several times (ranks, group statistics); the written copy also
+    cuts the lineage, so a lost executor never replays the models behind the predictions.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key in _STAGED:
+        try:
+            return spark.read.parquet(_STAGED[key])
+        except AnalysisException:
+            del _STAGED[key]
+    path = scratch(spark)
+    build().write.parquet(path)
+    _STAGED[key] = path
+    return spark.read.parquet(path)
+
+
 def text(name: str):
     return F.col(name).cast("string")
 
@@ -76,6 +99,10 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir, "cells", lambda: build_cells(spark, sf_dir))
+
+
+def build_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their lines: key, group, stratum, fold, six features (f6 may be missing), f7 = f1, targets."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
     joined = orders.join(order_lines(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"))
@@ -106,22 +133,27 @@ def long_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).unpivot(["cell_id", "group_id", "stratum", "status", "fold", "f1", "f4"], list(TARGETS), "module", "y_true")
 
 
-def oof(spark: SparkSession, sf_dir: str, models: tuple[str, ...] = MODELS) -> DataFrame:
+def build_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold predictions of three simple models: fold-complement mean, one-covariate OLS, stratum ridge."""
     y = long_targets(spark, sf_dir)
     keep = ["cell_id", "group_id", "stratum", "status", "fold", "module", "model", "analysis", "y_true", "y_pred"]
     made = {
-        "mean": lambda: mean_baseline(y, ["module"]).withColumn("analysis", F.lit("dummy")),
-        "ols": lambda: ols_oof(y, ["module"], "f1").withColumn("analysis", F.lit("features_only")),
-        "stratum": lambda: stratum_baseline(y, ["module"], "stratum").withColumn("analysis", F.lit("stratum_only")),
+        ("mean", "dummy"): mean_baseline(y, ["module"]),
+        ("ols", "features_only"): ols_oof(y, ["module"], "f1"),
+        ("stratum", "stratum_only"): stratum_baseline(y, ["module"], "stratum"),
     }
     out = None
-    for name in models:
-        part = made[name]().withColumn("model", F.lit(name)).select(*keep)
+    for (model, analysis), rows in made.items():
+        part = rows.withColumns({"model": F.lit(model), "analysis": F.lit(analysis)}).select(*keep)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def oof(spark: SparkSession, sf_dir: str, models: tuple[str, ...] = MODELS) -> DataFrame:
+    table = staged(spark, sf_dir, "oof", lambda: build_oof(spark, sf_dir))
+    return table if models == MODELS else table.filter(F.col("model").isin(*models))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ols against mean on the same cells."""
     from cohortlens.operators.resample import paired_view
@@ -184,3 +216,36 @@ def scratch(spark: SparkSession) -> str:
     """A new folder next to the checkpoints, which every executor can reach."""
     session._checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as cells: grouped by nation, stratified by region, four features and the library size."""
+
+    def hundredths(c: str):
+        return F.sum(F.round(F.col(c) * 100).cast("bigint"))
+
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(
+        F.count(F.lit(1)).alias("n"), hundredths("l_discount").alias("disc"), hundredths("l_tax").alias("tax")
+    )
+    places = table(spark, sf_dir, "nation").join(
+        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    )
+    rows = (
+        table(spark, sf_dir, "supplier")
+        .join(lines, F.col("s_suppkey") == F.col("l_suppkey"))
+        .join(places, F.col("s_nationkey") == F.col("n_nationkey"))
+        .select(
+            text("s_suppkey").alias("cell_id"),
+            F.col("n_name").alias("group_id"),
+            F.col("r_name").alias("stratum"),
+            F.col("s_acctbal").alias("f1"),
+            (F.col("disc") / F.col("n")).alias("f2"),
+            (F.col("tax") / F.col("n")).alias("f3"),
+            F.col("n").cast("double").alias("f4"),
+        )
+    )
+    return hash_folds(rows, "group_id", 3)
+
+
+def sample_design() -> Design:
+    return Design(numeric=("f1", "f2", "f3", "f4"), folds=FOLDS)

@@ -52,7 +52,7 @@ def main() -> None:
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     prefixes = sys.argv[2:]
-    spark = build_session("local[8]", 8, spark__driver__memory="12g", spark__log__level="ERROR")
+    spark = build_session("local[8]", 8, spark__driver__memory="12g", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"/root/testdata/sf{sf}"
     con = connect(sf_dir)
