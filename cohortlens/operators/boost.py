@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators.folds import inner_group_split
 from cohortlens.operators.gram import Design, training_medians, with_mask
+from cohortlens.session import cut_lineage
 
 # Fixed values of the analyses: trees, depth, learning rate (pyspark.ml has no L2 leaf penalty).
 CANDIDATES = (
@@ -49,7 +50,7 @@ def boosted_oof(
     assembler = VectorAssembler(inputCols=list(features), outputCol="features_vec")
     design = Design(tuple(features), tuple(features), folds=tuple(folds), seed=seed)
     masked = with_mask(df, design)
-    medians = training_medians(masked, design)
+    medians = cut_lineage(training_medians(masked, design))
     split = inner_group_split(df, "group_id", folds, seed=seed)
     parts, chosen = [], []
 
@@ -65,14 +66,16 @@ def boosted_oof(
         best, score = candidates[0], None
         if len(candidates) > 1:
             inner = split.filter(F.col("outer_fold") == fold).select("group_id", "is_validation")
-            sided = assembler.transform(_impute(train.join(inner, "group_id"), features, medians, fold, "inner"))
+            filled = _impute(train.join(inner, "group_id"), features, medians, fold, "inner")
+            sided = assembler.transform(cut_lineage(filled.select("is_validation", target, *features)))
             fit_rows, check_rows = sided.filter(~F.col("is_validation")), sided.filter("is_validation")
             for parameters in candidates:
                 predicted = fit(fit_rows, parameters).transform(check_rows)
                 error = predicted.agg(F.sqrt(F.avg(F.pow(F.col(target) - F.col("y_pred"), 2)))).first()[0]
                 if score is None or error < score:
                     best, score = parameters, error
-        fitted = fit(assembler.transform(_impute(train, features, medians, fold, "full")), best)
+        filled = cut_lineage(_impute(train, features, medians, fold, "full").select(target, *features))
+        fitted = fit(assembler.transform(filled), best)
         scored = fitted.transform(assembler.transform(_impute(test, features, medians, fold, "full")))
         parts.append(
             scored.select(

@@ -97,6 +97,30 @@ def value_ranks(
     return out
 
 
+def batched_mid_ranks(df: DataFrame, by: Sequence[str], col: str, weights: Sequence[str], out: Sequence[str]) -> DataFrame:
+    """(by, col, out...): the mid-rank of each value under each of several weight columns.
+
+    The order of values is the same for every weighting, so one sort serves them all. Values need to be finite.
+    """
+    by = list(by)
+    counted = df.groupBy(*by, col).agg(*[F.sum(w).cast("bigint").alias(w) for w in weights], F.count(F.lit(1)).alias("_n"))
+    ranged = _with_ranges(counted, by, col, "_n", None)
+    per_range = ranged.groupBy(*by, "_range").agg(*[F.sum(w).alias(w) for w in weights])
+    earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = per_range.select(
+        *by, "_range", *[F.coalesce(F.sum(w).over(earlier), F.lit(0)).alias(f"_o_{w}") for w in weights]
+    )
+    inside = W.partitionBy(*by, "_range").orderBy(col).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return ranged.join(offsets, [*by, "_range"]).select(
+        *by,
+        col,
+        *[
+            (F.col(f"_o_{w}") + F.sum(w).over(inside) - F.col(w) + (F.col(w) + 1) / 2.0).alias(name)
+            for w, name in zip(weights, out, strict=True)
+        ],
+    )
+
+
 def exact_quantiles(
     df: DataFrame, by: Sequence[str], col: str, probs: Mapping[str, float], weight: str | None = None
 ) -> DataFrame:

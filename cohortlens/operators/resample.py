@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from cohortlens.functions.numeric import plus_one_p, safe_corr, sign_tail_p
 from cohortlens.functions.rng import hash32, pick
 from cohortlens.operators.metrics import METRICS, bootstrap_intervals, oriented_delta, paired_finite
-from cohortlens.operators.ranks import ordered_index, value_ranks
+from cohortlens.operators.ranks import batched_mid_ranks, ordered_index, value_ranks
+from cohortlens.session import cut_lineage
 
 
 def index_groups(df: DataFrame, group: str, seed: int) -> DataFrame:
@@ -60,24 +61,60 @@ def _replicate_errors(df: DataFrame, by, group, y, preds, groups: DataFrame, pla
     return drawn.select(*by, "replicate", n.alias("n_sampled_rows"), *out)
 
 
-def _replicate_spearman(df: DataFrame, by, group, y, preds, groups: DataFrame, plan: DataFrame) -> DataFrame:
-    """Spearman per (by, replicate): weighted mid-ranks, so work is replicates x rows."""
+def _replicate_spearman(df: DataFrame, by, group, y, preds, groups: DataFrame, plan: DataFrame, batch: int = 20) -> DataFrame:
+    """Spearman per (by, replicate) from weighted mid-ranks.
+
+    Replicates travel in batches: a row carries the multiplicity of its group in each replicate of a batch,
+    so rows are sorted and joined once per batch rather than once per replicate.
+    """
     by = list(by)
-    weights = plan.groupBy("replicate", "slot").agg(F.count(F.lit(1)).alias("w")).join(groups, "slot")
-    rows = df.select(*by, group, y, *preds).join(weights.select("replicate", group, "w"), group).drop(group)
-    keys = [*by, "replicate"]
-    ranked = value_ranks(rows, keys, {y: "_ry", **{p: f"_r_{p}" for p in preds}}, weight="w")
-    w, a = F.col("w"), F.col("_ry")
-    n = F.sum(w)
-    out = []
-    for p in preds:
-        # Mid-ranks average (n+1)/2 exactly, so they are centred without another pass.
-        b = F.col(f"_r_{p}")
-        sab, sa, sb = F.sum(w * a * b), F.sum(w * a), F.sum(w * b)
-        vab = sab - sa * sb / n
-        va, vb = F.sum(w * a * a) - sa * sa / n, F.sum(w * b * b) - sb * sb / n
-        out.append(F.when((va > 0) & (vb > 0), F.try_divide(vab, F.sqrt(va) * F.sqrt(vb))).alias(f"spearman_{p}"))
-    return ranked.groupBy(*keys).agg(*out)
+    weights = [f"w{i}" for i in range(batch)]
+    lane = F.pmod(F.col("replicate"), F.lit(batch))
+    drawn = (
+        plan.groupBy(F.floor(F.col("replicate") / batch).alias("batch"), "slot")
+        .agg(*[F.count_if(lane == i).cast("int").alias(w) for i, w in enumerate(weights)])
+        .join(groups, "slot")
+        .select("batch", group, *weights)
+    )
+    drawn = cut_lineage(drawn)
+    rows = df.select(*by, group, y, *preds).join(drawn, group).drop(group)
+    keys, placed = [*by, "batch"], rows
+    for column in (y, *preds):
+        names = [f"{w}_{column}" for w in weights]
+        placed = placed.join(batched_mid_ranks(rows, keys, column, weights, names), [*keys, column])
+    sums = []
+    for w in weights:
+        weight, a = F.col(w), F.col(f"{w}_{y}")
+        sums += [F.sum(weight).alias(f"{w}_n"), F.sum(weight * a).alias(f"{w}_a"), F.sum(weight * a * a).alias(f"{w}_aa")]
+        for p in preds:
+            b = F.col(f"{w}_{p}")
+            sums += [
+                F.sum(weight * b).alias(f"{w}_b_{p}"),
+                F.sum(weight * b * b).alias(f"{w}_bb_{p}"),
+                F.sum(weight * a * b).alias(f"{w}_ab_{p}"),
+            ]
+    totals = placed.groupBy(*keys).agg(*sums)
+
+    def rho(w: str, p: str) -> Column:
+        n, a, b = F.col(f"{w}_n"), F.col(f"{w}_a"), F.col(f"{w}_b_{p}")
+        va, vb = F.col(f"{w}_aa") - a * a / n, F.col(f"{w}_bb_{p}") - b * b / n
+        return F.when((va > 0) & (vb > 0), F.try_divide(F.col(f"{w}_ab_{p}") - a * b / n, F.sqrt(va) * F.sqrt(vb)))
+
+    entries = F.array(
+        *[
+            F.struct(
+                (F.col("batch") * batch + i).cast("int").alias("replicate"),
+                F.col(f"{w}_n").alias("n"),
+                *[F.when(F.col(f"{w}_n") > 0, rho(w, p)).alias(f"spearman_{p}") for p in preds],
+            )
+            for i, w in enumerate(weights)
+        ]
+    )
+    return (
+        totals.select(*by, F.explode(entries).alias("e"))
+        .filter(F.col("e.n") > 0)
+        .select(*by, "e.replicate", *[f"e.spearman_{p}" for p in preds])
+    )
 
 
 def cluster_bootstrap(
@@ -189,13 +226,13 @@ def stratified_permutation(
     Ranks are computed once. A cell takes the prediction rank found at its hash-ordered position.
     """
     by = list(by)
-    ranked = _centred_ranks(df, by, y, p)
+    ranked = cut_lineage(_centred_ranks(df.select(*by, stratum, cell, y, p), by, y, p))
     slots = ordered_index(
-        ranked.select(*by, stratum, cell, "_ry", "_rp"), [*by, stratum], hash32(seed, "slot", F.col(cell)), [cell], "_slot",
+        ranked.select(*by, stratum, cell, "_rp"), [*by, stratum], hash32(seed, "slot", F.col(cell)), [cell], "_slot",
         hashed=True,
     )
     shuffled = ordered_index(
-        slots.select(
+        ranked.select(
             *by, stratum, cell, "_ry", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("iteration")
         ),
         [*by, stratum, "iteration"],

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ("q_tables", "q_metrics", "q_inference")
+PARTS = ("q_tables", "q_metrics", "q_inference", "q_models", "q_audit")
 
 
 def load_all() -> None:
