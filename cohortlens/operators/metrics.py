@@ -134,7 +134,7 @@ def top_decile(df: DataFrame, by: Sequence[str], cell: str, y: str = "y_true", p
     """How enriched the top tenth by prediction is in truth, per key."""
     by = list(by)
     clean = paired_finite(df.select(*by, cell, y, p), y, p).filter(F.col(y).isNotNull())
-    top = cut_lineage(top_fraction(clean, by, p, cell, 0.10), eager=False)
+    top = cut_lineage(top_fraction(clean, by, p, cell, 0.10))
     counts = cumulative_counts(clean, by, y)
     share = (F.col("n_before") + (F.col("n") + 1) / 2.0) / F.col("n_total")
     placed = top.join(counts.select(*by, y, share.alias("_pct")), [*by, y])

@@ -61,7 +61,7 @@ def _replicate_errors(df: DataFrame, by, group, y, preds, groups: DataFrame, pla
     return drawn.select(*by, "replicate", n.alias("n_sampled_rows"), *out)
 
 
-def _replicate_spearman(df: DataFrame, by, group, y, preds, groups: DataFrame, plan: DataFrame, batch: int = 20) -> DataFrame:
+def _replicate_spearman(df: DataFrame, by, group, y, preds, groups: DataFrame, plan: DataFrame, batch: int) -> DataFrame:
     """Spearman per (by, replicate) from weighted mid-ranks.
 
     Replicates travel in batches: a row carries the multiplicity of its group in each replicate of a batch,
@@ -126,6 +126,7 @@ def cluster_bootstrap(
     n_resamples: int = 1000,
     seed: int = 42,
     spearman: bool = True,
+    batch: int = 10,
 ) -> DataFrame:
     """One row per key and replicate with the metrics of the resampled groups."""
     clean = paired_finite(df.withColumn(group, F.col(group).cast("string")), y, p).filter(F.col(y).isNotNull())
@@ -133,7 +134,8 @@ def cluster_bootstrap(
     plan = draw_plan(groups, n_resamples, seed)
     errors = _replicate_errors(clean, by, group, y, [p], groups, plan)
     if spearman:
-        errors = errors.join(_replicate_spearman(clean, by, group, y, [p], groups, plan), [*by, "replicate"])
+        rho = _replicate_spearman(clean, by, group, y, [p], groups, plan, min(batch, n_resamples))
+        errors = errors.join(rho, [*by, "replicate"])
     names = [m for m in METRICS if spearman or m != "spearman"]
     return errors.select(*by, "replicate", "n_sampled_rows", *[F.col(f"{m}_{p}").alias(m) for m in names])
 
@@ -163,7 +165,7 @@ def paired_view(
 
 def paired_bootstrap(
     pairs: DataFrame, by: Sequence[str], group: str = "group_id", n_resamples: int = 1000, seed: int = 42,
-    spearman: bool = True,
+    spearman: bool = True, batch: int = 10,
 ) -> DataFrame:
     """Long draws (by, metric, replicate, metric_a, metric_b, delta) under one shared plan."""
     by = list(by)
@@ -174,7 +176,8 @@ def paired_bootstrap(
     wide = _replicate_errors(rows, by, group, "y_true", preds, groups, plan)
     names = [m for m in METRICS if spearman or m != "spearman"]
     if spearman:
-        wide = wide.join(_replicate_spearman(rows, by, group, "y_true", preds, groups, plan), [*by, "replicate"])
+        rho = _replicate_spearman(rows, by, group, "y_true", preds, groups, plan, min(batch, n_resamples))
+        wide = wide.join(rho, [*by, "replicate"])
     entries = F.array(
         *[
             F.struct(F.lit(m).alias("metric"), F.col(f"{m}_y_pred_a").alias("metric_a"), F.col(f"{m}_y_pred_b").alias("metric_b"))
