@@ -116,7 +116,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def name_components(labels: DataFrame) -> DataFrame:
-    """(component_id, feature, component_size, members) with ids C01, C02, ... in order of the smallest member."""
+    """(component_id, feature, component_size, members) with ids C01, C02, ... in order of the smallest member.
+
+    Meant for graphs whose nodes are columns: the member list of a component is one text value.
+    """
     grouped = labels.groupBy("label").agg(F.array_sort(F.collect_list("node")).alias("_members"))
     number = F.row_number().over(W.orderBy("label"))
     named = grouped.select(

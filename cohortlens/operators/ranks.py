@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.numeric import finite
 from cohortlens.functions.rng import UINT32
-from cohortlens.session import bucket_count
+from cohortlens.session import bucket_count, cut_lineage
 
 
 def _with_ranges(df: DataFrame, by: Sequence[str], key: str, weight: str, buckets: int | None) -> DataFrame:
@@ -25,7 +25,7 @@ def _with_ranges(df: DataFrame, by: Sequence[str], key: str, weight: str, bucket
     k = 1 << max(1, (buckets or bucket_count(df)).bit_length() - 1)
     fractions = [i / k for i in range(1, k)]
     weighed = F.when(F.col(weight) > 0, F.col(key))
-    cuts = df.groupBy(*by).agg(F.percentile_approx(weighed, fractions, 1000).alias("_cuts"))
+    cuts = df.groupBy(*by).agg(F.percentile_approx(weighed, fractions, 10000).alias("_cuts"))
     placed = df.join(cuts, list(by)).withColumn("_range", F.lit(0))
     step = k // 2
     while step:
@@ -225,16 +225,16 @@ def top_fraction(df: DataFrame, by: Sequence[str], score: str, tie: str, fractio
     """The ceil(fraction*n) rows per key with the largest score, ties broken by ascending text id.
 
     One row per key says at which score the top ends; a second says at which id prefix the rows tied at
-    that score end. Only rows tied on both are put in order, and everything else is a comparison.
+    that score end. Both small tables are written out, so the rows themselves are only compared with them;
+    only rows tied on score and prefix are put in order.
     """
     by = list(by)
     share = F.ceil(F.lit(float(fraction)) * F.col("n_total"))
-    cut = _cut(cumulative_counts(df, by, score), by, score, share, True, "_cut", "_need").drop("_wanted")
+    cut = cut_lineage(_cut(cumulative_counts(df, by, score), by, score, share, True, "_cut", "_need").drop("_wanted"))
     rows = df.join(cut, by).withColumn("_id", text_order_key(F.col(tie)))
-    tied = rows.filter(F.col(score) == F.col("_cut")).select(*by, "_id", "_need")
-    needs = F.max("_need").alias("_need")
-    prefix = cumulative_counts(tied, by, "_id").join(tied.groupBy(*by).agg(needs), by)
-    ends = _cut(prefix, by, "_id", F.col("_need"), False, "_idcut", "_left").drop("_wanted")
+    tied = rows.filter(F.col(score) == F.col("_cut")).select(*by, "_id")
+    prefix = cumulative_counts(tied, by, "_id").join(cut.select(*by, "_need"), by)
+    ends = cut_lineage(_cut(prefix, by, "_id", F.col("_need"), False, "_idcut", "_left").drop("_wanted"))
     placed = rows.drop("_need").join(ends, by)
     at_cut = F.col(score) == F.col("_cut")
     inside = (F.col(score) > F.col("_cut")) | (at_cut & (F.col("_id") < F.col("_idcut")))

@@ -79,16 +79,21 @@ def half_scores(expression: DataFrame, sets: DataFrame, partitions: DataFrame, s
     )
     grid = samples.select("sample_id").withColumn("_k", F.explode(sets.agg(F.collect_set(F.struct(*by))).scalar()))
     grid = grid.select(*[F.col(f"_k.{c}").alias(c) for c in by], "sample_id", F.lit(None).cast("struct<_i:int,x:double>").alias("e"))
+    total = F.aggregate("members", F.lit(0.0), lambda acc, e: acc + e["x"])
     vectors = hits.unionByName(grid).groupBy(*by, "sample_id").agg(F.collect_list("e").alias("members"))
-    spread = vectors.join(partitions, by)
+    spread = vectors.withColumn("_all", total).join(partitions, by)
     left_n = F.floor(F.col("gene_n") / 2)
-
-    def total(inside: int) -> Column:
-        picked = F.filter("members", lambda e: F.getbit(F.col("mask"), e["_i"]) == inside)
-        return F.aggregate(F.array_sort(picked), F.lit(0.0), lambda acc, e: acc + e["x"])
-
-    return spread.select(
-        *by, "mask", "sample_id", (total(1) / left_n).alias("a"), (total(0) / (F.col("gene_n") - left_n)).alias("b")
+    # Members are single-precision values added in double, so the sums are exact and the right half is the rest.
+    left = F.aggregate(
+        "members", F.lit(0.0), lambda acc, e: acc + F.when(F.getbit(F.col("mask"), e["_i"]) == 1, e["x"]).otherwise(0.0)
+    )
+    halves = spread.select(*by, "mask", "sample_id", "gene_n", "_all", left.alias("_left"))
+    return halves.select(
+        *by,
+        "mask",
+        "sample_id",
+        (F.col("_left") / left_n).alias("a"),
+        ((F.col("_all") - F.col("_left")) / (F.col("gene_n") - left_n)).alias("b"),
     )
 
 

@@ -42,7 +42,7 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def bucket_count(df: DataFrame, ceiling: int = 512) -> int:
+def bucket_count(df: DataFrame, ceiling: int = 1024) -> int:
     """How many value ranges a hot group is cut into: follows the cluster's shuffle width."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(4, min(ceiling, width))
