@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.numeric import finite
 from cohortlens.operators.folds import inner_validation_mask
 from cohortlens.operators.ranks import exact_quantiles
+from cohortlens.session import cut_lineage
 
 # Fixed values of the analyses: the elastic-net search grid.
 ALPHAS = (0.001, 0.01, 0.1, 1.0)
@@ -56,7 +57,7 @@ def _pairs(p: int) -> list[tuple[int, int]]:
 
 def with_mask(df: DataFrame, design: Design) -> DataFrame:
     """Adds the inner-validation mask of each row's group."""
-    masks = inner_validation_mask(df, design.group, design.folds, seed=design.seed)
+    masks = cut_lineage(inner_validation_mask(df, design.group, design.folds, seed=design.seed))
     return df.join(masks, design.group, "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
 
 
@@ -116,16 +117,20 @@ def training_medians(df: DataFrame, design: Design) -> DataFrame:
 
 
 def fit_statistics(df: DataFrame, targets: DataFrame, design: Design, key: str = "cell_id") -> DataFrame:
-    """Everything the solver needs: target moments joined to the predictor gram and the medians."""
+    """Everything the solver needs: target moments joined to the predictor gram and the medians.
+
+    The result has a few rows per target and is written out: fitting and scoring both read it.
+    """
     masked = with_mask(df, design)
     gram = predictor_gram(masked, design)
     moments = target_moments(masked, targets, design, key).join(gram, ["fold", "mask"])
     if not design.nullable:
-        return moments.withColumn("medians", F.lit(None).cast("array<struct<outer_fold:int,scope:string,feature:string,median:double>>"))
+        none = F.lit(None).cast("array<struct<outer_fold:int,scope:string,feature:string,median:double>>")
+        return cut_lineage(moments.withColumn("medians", none))
     packed = training_medians(masked, design).agg(
         F.collect_list(F.struct("outer_fold", "scope", "feature", "median"))
     )
-    return moments.withColumn("medians", packed.scalar())
+    return cut_lineage(moments.withColumn("medians", packed.scalar()))
 
 
 def _coordinate_descent(a: np.ndarray, b: np.ndarray, n: float, alpha: float, l1: float, sweeps: int = 5000) -> np.ndarray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,6 +13,7 @@ from cohortlens.functions.rng import hash32
 from cohortlens.functions.text import set_signature
 from cohortlens.operators.metrics import observed_percentile
 from cohortlens.operators.ranks import value_ranks
+from cohortlens.session import cut_lineage
 
 EXHAUSTIVE_LIMIT = 20
 
@@ -29,35 +30,32 @@ def set_sizes(sets: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def balanced_partitions(sizes: DataFrame, by: Sequence[str], maximum: int, seed: int = 42) -> DataFrame:
-    """(by, gene_n, mask, method): left halves as bit masks over the sorted members, at most `maximum` per set.
+    """(by, gene_n, max_partitions, mask, method): left halves of the sorted members, at most `maximum` per set.
 
-    A set with few members is enumerated: all masks with half the bits, of even sizes only the one of each
-    mirrored pair that holds the first member. Beyond `maximum` the hash-smallest are kept. A large set
-    draws hash-ordered halves instead and keeps distinct ones.
+    mask is text with one character per member, '1' for the left half; of an even set's mirrored pair only the
+    one that holds the first member is kept. A set of few members is enumerated and beyond `maximum` the
+    hash-smallest are taken. A larger set of any size draws hash-ordered halves and keeps distinct ones.
     """
     by = list(by)
     n = F.col("gene_n")
-    small = sizes.filter(n <= EXHAUSTIVE_LIMIT)
-    masks = small.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("shiftleft(1L, cast(gene_n as int))") - 1)))
-    canonical = (n % 2 == 1) | (F.expr("getbit(mask, 0)") == 1)
-    halves = masks.filter((F.bit_count("mask") == F.floor(n / 2)) & canonical)
-    large = sizes.filter((n > EXHAUSTIVE_LIMIT) & (n <= 62)).withColumn(
-        "_draw", F.explode(F.sequence(F.lit(0), F.lit(4 * maximum)))
+    small = sizes.filter(n <= EXHAUSTIVE_LIMIT).withColumn("_m", F.expr("explode(sequence(0L, shiftleft(1L, cast(gene_n as int)) - 1))"))
+    canonical = (n % 2 == 1) | (F.expr("getbit(_m, 0)") == 1)
+    halves = small.filter((F.bit_count("_m") == F.floor(n / 2)) & canonical).withColumn(
+        "mask", F.expr("reverse(lpad(bin(_m), cast(gene_n as int), '0'))")
     )
+    large = sizes.filter(n > EXHAUSTIVE_LIMIT).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(4 * maximum))))
+    members = F.sequence(F.lit(0).cast("bigint"), n - 1)
     order = F.array_sort(
         F.transform(
-            F.sequence(F.lit(0).cast("bigint"), n - 1),
-            lambda i: F.struct(hash32(seed, *[F.col(c) for c in by], F.col("_draw"), i).alias("h"), i.alias("i")),
+            members, lambda i: F.struct(hash32(seed, *[F.col(c) for c in by], F.col("_draw"), i).alias("h"), i.alias("i"))
         )
     )
-    taken = F.slice(order, F.lit(1), F.floor(n / 2).cast("int"))
-    mask = F.aggregate(taken, F.lit(0).cast("bigint"), lambda acc, s: acc + F.pow(F.lit(2.0), s["i"]).cast("bigint"))
-    drawn = large.withColumn("mask", mask)
-    everything = F.expr("shiftleft(1L, cast(gene_n as int))") - 1
-    drawn = drawn.withColumn(
-        "mask", F.when((n % 2 == 0) & (F.expr("getbit(mask, 0)") == 0), everything - F.col("mask")).otherwise(F.col("mask"))
-    )
-    found = halves.unionByName(drawn.drop("_draw").dropDuplicates([*by, "mask"]))
+    drawn = large.withColumn("_left", F.transform(F.slice(order, F.lit(1), F.floor(n / 2).cast("int")), lambda s: s["i"]))
+    marks = F.transform(members, lambda i: F.when(F.array_contains(F.col("_left"), i), "1").otherwise("0"))
+    drawn = drawn.withColumn("mask", F.array_join(marks, ""))
+    mirrored = (n % 2 == 0) & F.col("mask").startswith("0")
+    drawn = drawn.withColumn("mask", F.when(mirrored, F.translate("mask", "01", "10")).otherwise(F.col("mask")))
+    found = halves.drop("_m").unionByName(drawn.drop("_draw", "_left").dropDuplicates([*by, "mask"]))
     rank = F.row_number().over(W.partitionBy(*by).orderBy(hash32(seed, *[F.col(c) for c in by], F.col("mask")), "mask"))
     method = F.when(F.col("max_partitions") <= maximum, "exhaustive").otherwise("deterministic_random_unique")
     return (
@@ -85,7 +83,7 @@ def half_scores(expression: DataFrame, sets: DataFrame, partitions: DataFrame, s
     left_n = F.floor(F.col("gene_n") / 2)
     # Members are single-precision values added in double, so the sums are exact and the right half is the rest.
     left = F.aggregate(
-        "members", F.lit(0.0), lambda acc, e: acc + F.when(F.getbit(F.col("mask"), e["_i"]) == 1, e["x"]).otherwise(0.0)
+        "members", F.lit(0.0), lambda acc, e: acc + F.when(F.substr(F.col("mask"), e["_i"] + 1, F.lit(1)) == "1", e["x"]).otherwise(0.0)
     )
     halves = spread.select(*by, "mask", "sample_id", "gene_n", "_all", left.alias("_left"))
     return halves.select(
@@ -132,10 +130,10 @@ def split_half_summary(table: DataFrame, by: Sequence[str]) -> DataFrame:
 def reliability(expression: DataFrame, sets: DataFrame, samples: DataFrame, by: Sequence[str], maximum: int, seed: int = 42) -> DataFrame:
     """The whole chain for any number of sets: partitions, half scores, correlations, quartiles."""
     sizes = set_sizes(sets, by)
-    partitions = balanced_partitions(sizes, by, maximum, seed)
+    partitions = cut_lineage(balanced_partitions(sizes, by, maximum, seed))
     table = split_half_table(half_scores(expression, sets, partitions, samples, by), by)
-    kinds = partitions.select(*by, "method").distinct()
-    return split_half_summary(table, by).join(sizes, list(by)).join(kinds, list(by))
+    kinds = partitions.select(*by, "gene_n", "max_partitions", "method").distinct()
+    return split_half_summary(table, by).join(kinds, list(by))
 
 
 def reliability_percentile(controls: DataFrame, observed: DataFrame) -> DataFrame:

@@ -279,9 +279,12 @@ def permutation_summary(null: DataFrame, observed: DataFrame, by: Sequence[str])
 
 
 def permutation_moments(df: DataFrame, by: Sequence[str], stratum: str, y: str = "y_true", p: str = "y_pred") -> DataFrame:
-    """Exact mean and SD of the stratified permutation null, without drawing from it."""
+    """Exact mean and SD of the stratified permutation null, without drawing from it.
+
+    Everything follows from counts, means and sums of squares of the ranks per stratum.
+    """
     by = list(by)
-    ranked = _centred_ranks(df, by, y, p)
+    ranked = value_ranks(df.select(*by, stratum, y, p), by, {y: "_ry", p: "_rp"})
     per = ranked.groupBy(*by, stratum).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("_ry").alias("my"),
@@ -289,14 +292,15 @@ def permutation_moments(df: DataFrame, by: Sequence[str], stratum: str, y: str =
         (F.var_pop("_ry") * F.count("_ry")).alias("ssy"),
         (F.var_pop("_rp") * F.count("_rp")).alias("ssp"),
     )
-    scale = ranked.groupBy(*by).agg(
-        F.sqrt(F.sum(F.col("_ry") * F.col("_ry")) * F.sum(F.col("_rp") * F.col("_rp"))).alias("_norm")
-    )
-    total = per.groupBy(*by).agg(
-        F.sum(F.col("n") * F.col("my") * F.col("mp")).alias("_mean"),
-        F.sum(F.coalesce(F.try_divide(F.col("ssy") * F.col("ssp"), F.col("n") - 1), F.lit(0.0))).alias("_var"),
+    whole = per.groupBy(*by).agg(((F.sum("n") + 1) / 2.0).alias("_mid"))
+    dy, dp, n = F.col("my") - F.col("_mid"), F.col("mp") - F.col("_mid"), F.col("n")
+    spread = F.coalesce(F.try_divide(F.col("ssy") * F.col("ssp"), n - 1), F.lit(0.0))
+    total = per.join(whole, by).groupBy(*by).agg(
+        F.sum(n * dy * dp).alias("_mean"),
+        F.sum(spread).alias("_var"),
+        F.sqrt(F.sum(F.col("ssy") + n * dy * dy) * F.sum(F.col("ssp") + n * dp * dp)).alias("_norm"),
     )
-    return total.join(scale, by).select(
+    return total.select(
         *by,
         F.try_divide(F.col("_mean"), F.col("_norm")).alias("null_mean"),
         F.try_divide(F.sqrt("_var"), F.col("_norm")).alias("null_sd"),

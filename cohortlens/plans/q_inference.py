@@ -238,7 +238,7 @@ def c09b(spark, sf):
 @query(
     "i07_balanced_partitions",
     """WITH s AS (SELECT module, count(*) AS gene_n FROM present GROUP BY 1)
-    SELECT module, gene_n, CASE WHEN gene_n % 2 = 0 THEN w // 2 ELSE w END AS max_partitions, mask, CASE WHEN CASE WHEN gene_n % 2 = 0 THEN w // 2 ELSE w END <= 100 THEN 'exhaustive' ELSE 'deterministic_random_unique' END AS method FROM (
+    SELECT module, gene_n, CASE WHEN gene_n % 2 = 0 THEN w // 2 ELSE w END AS max_partitions, reverse(lpad(bin(mask), CAST(gene_n AS INTEGER), '0')) AS mask, CASE WHEN CASE WHEN gene_n % 2 = 0 THEN w // 2 ELSE w END <= 100 THEN 'exhaustive' ELSE 'deterministic_random_unique' END AS method FROM (
     SELECT module, gene_n, mask, CAST(round(exp(lgamma(gene_n + 1) - lgamma(gene_n // 2 + 1) - lgamma(gene_n - gene_n // 2 + 1))) AS BIGINT) AS w FROM s, (SELECT unnest(range(0, 256)) AS mask)
     WHERE mask < (1 << gene_n) AND bit_count(mask) = gene_n // 2 AND (gene_n % 2 = 1 OR mask % 2 = 1))""",
 )

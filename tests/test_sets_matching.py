@@ -124,7 +124,10 @@ def test_partition_counts(spark):
     parts = reliability.balanced_partitions(reliability.set_sizes(df, ["module"]), ["module"], 100).collect()
     n = {m: [r["mask"] for r in parts if r["module"] == m] for m in "abcd"}
     assert [len(n[m]) for m in "abcd"] == [10, 35, 100, 100] and all(len(set(v)) == len(v) for v in n.values())
-    assert all(bin(k).count("1") == 3 and k & 1 for k in n["a"]) and all(bin(k).count("1") == 12 and k & 1 for k in n["d"])
+    assert all(k.count("1") == 3 and k[0] == "1" for k in n["a"]) and all(k.count("1") == 12 and k[0] == "1" for k in n["d"])
+    wide = spark.createDataFrame([("w", f"g{i:03d}") for i in range(150)], "module string, gene string")
+    masks = [r["mask"] for r in reliability.balanced_partitions(reliability.set_sizes(wide, ["module"]), ["module"], 30).collect()]
+    assert len(set(masks)) == 30 and all(len(k) == 150 and k.count("1") == 75 for k in masks)
     assert {r["method"] for r in parts if r["module"] in "ab"} == {"exhaustive"}
 
 
