@@ -333,14 +333,13 @@ def k01b(spark, sf):
 
 @query(
     "c11_rank_once_pairs",
-    """WITH r AS (SELECT vec_id, i, rank() OVER (PARTITION BY i ORDER BY x) + (count(*) OVER (PARTITION BY i, x) - 1) / 2.0 AS r FROM vectors WHERE i < 8)
-    SELECT 'e' || CAST(a.i AS VARCHAR) AS feature_1, 'e' || CAST(b.i AS VARCHAR) AS feature_2, corr(a.r, b.r) AS spearman_rho FROM r a JOIN r b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY 1, 2""",
+    """WITH r AS (SELECT cell_id, feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS r FROM cells UNPIVOT (x FOR feature IN (f1, f2, f3, f4, f5)))
+    SELECT a.feature AS feature_1, b.feature AS feature_2, corr(a.r, b.r) AS spearman_rho FROM r a JOIN r b ON a.cell_id = b.cell_id AND a.feature < b.feature GROUP BY 1, 2""",
     ["spearman_rho"],
 )
 def c11(spark, sf):
-    names = [f"e{i}" for i in range(8)]
-    wide = table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
-    return corr.rank_gram_correlations(wide, names, "vec_id")
+    """The columns without missing values: each is ranked once for all its pairs."""
+    return corr.rank_gram_correlations(v.cells(spark, sf), ["f1", "f2", "f3", "f4", "f5"], "cell_id")
 
 
 @query(

@@ -183,13 +183,13 @@ def d13(spark, sf):
 @query(
     "d14_feature_dictionary",
     """WITH s AS (SELECT i, avg(x) AS center, stddev_pop(x) AS scale FROM vectors GROUP BY 1),
-    z AS (SELECT v.i, greatest(least((v.x - s.center) / s.scale, 2.0), -2.0) AS z FROM vectors v JOIN s ON s.i = v.i WHERE v.i < 4)
+    z AS (SELECT v.i, greatest(least((v.x - s.center) / s.scale, 2.0), -2.0) AS z FROM vectors v JOIN s ON s.i = v.i)
     SELECT 'e' || CAST(z.i AS VARCHAR) AS feature, count(*) AS n, CAST(0 AS BIGINT) AS n_missing, CAST(sum(CASE WHEN z = 2 THEN 1 ELSE 0 END) AS BIGINT) AS n_at_upper,
     CAST(sum(CASE WHEN z = -2 THEN 1 ELSE 0 END) AS BIGINT) AS n_at_lower, any_value(s.center) AS center, any_value(s.scale) AS scale FROM z JOIN s ON s.i = z.i GROUP BY 1""",
     ["center", "scale"],
 )
 def d14(spark, sf):
-    names = ["e0", "e1", "e2", "e3"]
+    names = [f"e{i}" for i in range(64)]
     x = table(spark, sf, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
     scales = x.unpivot([], names, "feature", "x").groupBy("feature").agg(F.avg("x").alias("center"), F.stddev_pop("x").alias("scale"))
     packed = scales.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("center", "scale"))))).scalar()
