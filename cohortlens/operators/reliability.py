@@ -90,8 +90,8 @@ def half_scores(expression: DataFrame, sets: DataFrame, partitions: DataFrame, s
         *by,
         "mask",
         "sample_id",
-        (F.col("_left") / left_n).alias("a"),
-        ((F.col("_all") - F.col("_left")) / (F.col("gene_n") - left_n)).alias("b"),
+        F.try_divide(F.col("_left"), left_n).alias("a"),
+        F.try_divide(F.col("_all") - F.col("_left"), F.col("gene_n") - left_n).alias("b"),
     )
 
 
