@@ -23,6 +23,8 @@ from cohortlens.llm.shingles import in_parts, shingle_hashes, shingle_sets
 CELL_BITS, CHUNK = 20, 1 << 16
 #: Pairs that one task decides, on average.
 PAIRS = 2000
+#: Stars are repeated while a round finds more than one link for so many known ones.
+FEW = 8
 
 
 def _least_shared(n):
@@ -138,7 +140,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Links are only needed as far as they join components. First every list's members are compared with one of them,
     which joins the bulk of a large group by as many comparisons as it has members; this is repeated with other
-    centres while it joins anything. Then every pair of different components that shares enough short lists is decided
+    centres while it joins much. Then every pair of different components that shares enough short lists is decided
     in full. No pair within a component is formed, and none between different ones is left out.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
@@ -155,12 +157,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alive = lists.select("cls").distinct().join(classes.select("cls", F.col("first").alias("id")), "cls")
     texts = written(_own_text(docs.join(alive, "id"), k), "texts")
 
-    links, comp, turn = None, None, 0
+    links, comp, turn, total = None, None, 0, 0
     while True:
-        state = lists.withColumn("comp", F.col("cls")) if comp is None else lists.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        of_list = W.partitionBy("list")
-        open_ = state.withColumns({"low": F.min("comp").over(of_list), "high": F.max("comp").over(of_list)}).filter(F.col("low") != F.col("high"))
-        open_ = written(open_.select("list", "cls", "n", "comp"), "open")
+        open_, of_list = _open(lists, comp), W.partitionBy("list")
         draw = F.xxhash64("cls", F.lit(turn))
         heads = open_ if turn == 0 else open_.groupBy("list", "comp").agg(F.min_by(F.struct("cls", "n"), draw).alias("x")).select("list", "comp", "x.*")
         centre = F.min(F.struct(F.xxhash64("comp", F.lit(turn)), "cls", "n", "comp")).over(of_list)
@@ -168,13 +167,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         stars = stars.select(F.col("cls").alias("a"), F.col("c.cls").alias("b"), F.col("n").alias("na"), F.col("c.n").alias("nb"))
         # a star only has to be likely: all its pairs are decided, none has to be found here
         new = written(decide(stars.select("a", "b").distinct() if turn else _enough(stars), texts, k, share), "links")
-        if new.isEmpty():
+        found = new.count()
+        if found:
+            links = new if links is None else links.unionByName(new)
+            comp = _components(links)
+        if found * FEW <= total:
             break
-        links = new if links is None else links.unionByName(new)
-        comp = _components(links)
-        turn += 1
+        total, turn = total + found, turn + 1
 
     # every pair of components that meets in a list, member by member
+    if found:
+        open_ = _open(lists, comp)
     meet = open_.select("list", "comp").distinct()
     ahead = meet.withColumnRenamed("comp", "comp_b")
     crossing = meet.withColumnRenamed("comp", "comp_a").join(ahead, "list").filter(F.col("comp_a") < F.col("comp_b"))
@@ -197,6 +200,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def _open(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """The lists whose members are in more than one component."""
+    state = lists.withColumn("comp", F.col("cls")) if comp is None else lists.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    of_list = W.partitionBy("list")
+    state = state.withColumns({"low": F.min("comp").over(of_list), "high": F.max("comp").over(of_list)})
+    return written(state.filter(F.col("low") != F.col("high")).select("list", "cls", "n", "comp"), "open")
+
+
 def _components(links: DataFrame) -> DataFrame:
     return written(components(links).select(F.col("node").alias("cls"), F.col("component").alias("comp")), "components")
 

@@ -22,6 +22,8 @@ CELLS = 1 << 16
 TEMPER, UNIT = 1 / 3, 1000.0
 HOST, SUFFIX, DECLARED = 10.0, 20.0, 5.0
 CONFIDENT = 0.6
+#: A text is in no known language if its trigrams are likelier by so much (in nats, each) where all cells are alike.
+FOREIGN = 1.5
 SALTS = 32
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -154,7 +156,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     names = F.array(*[F.lit(x) for x in languages])
     scored = text_scores(rows, models)
     best = F.array_max("scores")
-    heard = (F.col("n") > 0) & (best > F.col("n") * F.lit(-UNIT * float(np.log(CELLS))))
+    heard = (F.col("n") > 0) & (best > F.col("n") * F.lit(-UNIT * float(np.log(CELLS) + FOREIGN)))
     scored = written(scored.withColumn("vote", F.when(heard, F.array_position("scores", best) - 1)), "scores")
 
     everywhere = _votes(scored, [], languages).first().votes

@@ -34,10 +34,9 @@ _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)")
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(w) for w in words])
-    out = np.zeros((len(words), max(1, lengths.max(initial=0))), np.int32)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = [ord(c) for c in w]
-    return out, lengths
+    width = max(1, int(lengths.max(initial=0)))
+    signs = "".join([w.ljust(width, "\0") for w in words]).encode("utf-32-le")
+    return np.frombuffer(signs, np.int32).reshape(len(words), width), lengths
 
 
 def subsequence_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -117,7 +116,7 @@ class Words:
     def learn(self, tokens: set[str]) -> None:
         if len(self.cold) > REMEMBERED:
             self.cold.clear()
-        units = [(t, p) for t in tokens for p in parts(_NOT_LETTERS.sub("", t))]
+        units = [(t, p) for t in tokens for p in parts(t if t.isalpha() else _NOT_LETTERS.sub("", t))]
         values = self.landmarks.near([p for _, p in units])
         self.cold.update(tokens)
         for i in np.flatnonzero(values.any(1)):
@@ -135,15 +134,16 @@ class Words:
                 lowered[i] = t = _SPACED.sub(lambda m: re.sub(r"\s", "", m[0]), t)
                 own = set(t.split())
             tokens.append(own)
-        unknown = set().union(*tokens) - self.cold if tokens else set()
-        self.learn({t for t in unknown if t not in self.hot})
-        hot, out = self.hot.keys(), []
+        unknown = set().union(*tokens) if tokens else set()
+        unknown -= self.cold
+        self.learn(unknown.difference(self.hot))
+        hot, out = set(self.hot), []
         for t, own in zip(lowered, tokens, strict=True):
             found = []
             if not own.isdisjoint(hot):
                 for sentence in _SENTENCE.split(t):
-                    values = [self.hot[x] for x in sentence.split() if x in hot]
-                    values += [self.hot[y] for x in sentence.split() if x not in hot and (y := x + ".") in hot]
+                    # the sign at a sentence's end was cut off its last word
+                    values = [self.hot[y] for x in sentence.split() for y in (x, *[x + e for e in ".!?"]) if y in hot]
                     if values:
                         found.append(np.max(values, axis=0))
                 if not found:
@@ -152,17 +152,26 @@ class Words:
         return out
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, steps: int = 600) -> np.ndarray:
-    """Linear machine with a squared hinge and an intercept (last), by accelerated gradient steps."""
+def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, rounds: int = 100) -> np.ndarray:
+    """Linear machine with a squared hinge and an intercept (last), by Newton steps over the rows inside the margin."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    total = weight.sum()
-    step = 1.0 / (2 * np.linalg.eigvalsh((x * weight[:, None]).T @ x / total)[-1] + 2 * penalty)
-    w = ahead = np.zeros(x.shape[1])
-    for i in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        grad = -2 * (x * (weight * y * slack)[:, None]).sum(0) / total + 2 * penalty * np.append(ahead[:-1], 0)
-        new = ahead - step * grad
-        ahead, w = new + (i / (i + 3)) * (new - w), new
+    weight = weight / weight.sum()
+    ridge = penalty * np.append(np.ones(x.shape[1] - 1), 1e-6)
+
+    def loss(w: np.ndarray) -> float:
+        return float((weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum() + (ridge * w * w).sum())
+
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        inside = y * (x @ w) < 1
+        part = x[inside] * weight[inside, None]
+        step = np.linalg.solve(part.T @ x[inside] + np.diag(ridge), part.T @ y[inside]) - w
+        size = 1.0
+        while loss(w + size * step) > loss(w) and size > 1e-6:
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
     return w
 
 
