@@ -139,7 +139,8 @@ def read_ids(spark, path: str) -> DataFrame:
             for part, content in zip(batch["part"], batch["content"], strict=True):
                 for number, s in enumerate(segments(content)):
                     starts = np.cumsum(s.lengths) - s.lengths
-                    crc = [zlib.crc32(s.ids(int(i), int(n)).astype("<u4").tobytes()) for i, n in zip(starts, s.lengths, strict=True)]
+                    ids = memoryview(s.ids(0, s.n).astype("<u4", copy=False).tobytes())
+                    crc = [zlib.crc32(ids[4 * i : 4 * (i + n)]) for i, n in zip(starts.tolist(), s.lengths.tolist(), strict=True)]
                     keys = pd.array(s.doc_ids, dtype="Int64")
                     keys[s.doc_ids == _NULL] = pd.NA
                     yield pd.DataFrame({"doc_id": keys, "part": part, "seg": number, "local": starts, "n_tokens": s.lengths, "ids_crc32": crc})
