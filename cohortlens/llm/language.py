@@ -24,6 +24,8 @@ HOST, SUFFIX, DECLARED = 10.0, 20.0, 5.0
 CONFIDENT = 0.6
 #: A text is in no known language if its trigrams are likelier by so much (in nats, each) where all cells are alike.
 FOREIGN = 1.5
+#: What a cell that a language never showed counts.
+SMOOTH = 0.02
 SALTS = 32
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -84,7 +86,7 @@ def trigram_models(docs: DataFrame, seed: int = 5) -> tuple[list[str], np.ndarra
     rows = sorted(rows, key=lambda r: r.declared)
     if not rows:
         return [], np.zeros((CELLS, 0), np.int32)
-    counts = np.array([np.frombuffer(r.n, "<i8") for r in rows], np.float64) + 0.5
+    counts = np.array([np.frombuffer(r.n, "<i8") for r in rows], np.float64) + SMOOTH
     return [r.declared for r in rows], np.rint(UNIT * np.log(counts / counts.sum(1, keepdims=True))).astype(np.int32).T.copy()
 
 
@@ -191,7 +193,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
 
 def spoken_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of docs that identify keeps, all columns as they are."""
-    goes = identify(docs, id_col, text_col, **settings).filter(~F.col("kept")).select(F.col(id_col).alias("_id"), "_key").distinct()
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
-    same = (keyed["_key"] == goes["_key"]) & keyed[id_col].eqNullSafe(goes["_id"])
-    return keyed.join(goes, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    goes = identify(docs, id_col, text_col, **settings).filter(~F.col("kept"))
+    goes = goes.select(F.col(id_col).cast("string").alias("id"), F.col("_key").alias("key")).distinct()
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("bigint").cast("string").alias("id"),
+        F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("key"),
+    )
+    same = (keyed["key"] == goes["key"]) & keyed["id"].eqNullSafe(goes["id"])
+    return keyed.join(goes, same, "left_anti").select("row.*")

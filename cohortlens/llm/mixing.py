@@ -51,13 +51,14 @@ def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: Sequence[int] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2, seed: int = 7,
 ) -> DataFrame:
-    """All rows of docs with _size, _source_size, _target, _copies: how often the mix repeats each.
+    """(row, size, source_size, target, copies) for each row of docs: how often the mix repeats it.
 
     Size is the number of words (null text: 0). Sources in code-point order, null last (a source of its own), get the
     weights in turn. A source's target is met by whole repetitions of all its rows and one more repetition of the
     rows that come first in a seeded order; the last of them is taken if at least half of it is needed. Rows with
     equal ids share their place in that order, so a repeated row is treated like its copy. A null id is an id. Texts
-    without words have size 0. An empty table gives an empty table. No column of docs is changed or lost.
+    without words have size 0. An empty table gives an empty table. row is a struct of all columns of docs, which may
+    have any names.
 
     The seeded order is cut into 4096 ranges of a hash; sums per (source, range) say in which range a source's cut
     lies, and only that range's rows are ordered. A source with a third of all rows is thus never in one task.
@@ -83,19 +84,15 @@ def mix_sources(
     targets = targets.withColumn("whole", whole).withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
     cuts = written(_cuts(sizes, targets), "cuts")
 
-    salted = cuts.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    rows = docs.withColumns({
-        "_key": _key(F.col(f"`{source_col}`")), "_draw": _draw(F.col(f"`{id_col}`"), seed), "_size": size(F.col(f"`{text_col}`")),
-        "_id": F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")),
-    }).withColumn("_salt", (F.col("_draw") % SALTS).cast("int"))
-    within = F.coalesce(F.struct("_draw", "_id") <= F.struct("cut_draw", "cut_id"), F.lit(False))
-    joined = rows.join(
-        salted.select(F.col("key").alias("_key"), "_salt", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "whole", "cut_draw", "cut_id"),
-        ["_key", "_salt"],
-    )
-    return joined.withColumn("_copies", F.col("whole") + within.cast("bigint")).select(
-        *[F.col(f"`{c}`") for c in docs.columns], "_size", "_source_size", "_target", "_copies"
-    )
+    salted = cuts.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(F.col(f"`{source_col}`")).alias("key"),
+        _draw(F.col(f"`{id_col}`"), seed).alias("draw"), size(F.col(f"`{text_col}`")).alias("size"),
+        F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("id"),
+    ).withColumn("salt", (F.col("draw") % SALTS).cast("int"))
+    extra = F.coalesce(F.struct("draw", "id") <= F.struct("cut_draw", "cut_id"), F.lit(False)).cast("bigint")
+    joined = rows.join(salted.select("key", "salt", "source_size", "target", "whole", "cut_draw", "cut_id"), ["key", "salt"])
+    return joined.select("row", "size", "source_size", "target", (F.col("whole") + extra).alias("copies"))
 
 
 def _cuts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -120,7 +117,5 @@ def _cuts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame, **settings) -> DataFrame:
     """The mixed corpus: each row as often as the mix takes it, with the columns of docs."""
-    mixed = mix_sources(docs, **settings).filter(F.col("_copies") > 0)
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    mixed = mix_sources(docs, **settings).filter(F.col("copies") > 0)
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")

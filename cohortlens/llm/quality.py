@@ -131,21 +131,20 @@ def clean_documents(docs: DataFrame, **settings) -> DataFrame:
     gone = lines.groupBy("host", "digest").agg(F.sum("words").alias("gone"), F.collect_set("line").alias("_gone"))
     left = F.col("n_words") - F.coalesce(F.col("gone") / F.col("copies"), F.lit(0))
     bad = F.col("failed") | (left < min_words) | (left < remains * F.col("n_words"))
-    verdict = copies.join(gone, ["host", "digest"], "left").select("host", "digest", bad.alias("_bad"), "_gone")
-    verdict = written(verdict.filter(F.col("_bad") | F.col("_gone").isNotNull()), "verdicts")
-
-    keyed = docs.withColumns({
-        "_host": F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("")), "_digest": F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))),
-    })
-    rows = keyed.join(verdict.withColumnsRenamed({"host": "_host", "digest": "_digest"}), ["_host", "_digest"], "left")
-    rows = rows.filter(~F.coalesce(F.col("_bad"), F.lit(False)))
-    stays = F.filter(
-        F.split(F.col(f"`{text_col}`"), "\n", -1),
-        lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains(F.col("_gone"), _line_hash(x))),
+    verdict = copies.join(gone, ["host", "digest"], "left").select("host", "digest", bad.alias("bad"), "_gone")
+    verdict = written(verdict.filter(F.col("bad") | F.col("_gone").isNotNull()), "verdicts")
+
+    given = F.col(f"`{text_col}`")
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), given.alias("given"), F.md5(F.coalesce(given, F.lit(""))).alias("digest"),
+        F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("")).alias("host"),
     )
-    text = F.when(F.col("_gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(stays, "\n"))
-    out = rows.withColumn(text_col, text)
+    rows = keyed.join(verdict, ["host", "digest"], "left").filter(~F.coalesce(F.col("bad"), F.lit(False)))
+    gone = F.col("_gone")
+    stays = F.filter(F.split("given", "\n", -1), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains(gone, _line_hash(x))))
+    rows = rows.withColumn("left", F.when(gone.isNotNull(), F.array_join(stays, "\n")))
+    changed = {text_col: F.coalesce("left", "given")}
     if "n_chars" in docs.columns:
-        n = F.char_length(F.col(f"`{text_col}`")).cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(n))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        n = F.char_length("left").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.coalesce(n, F.col("row.n_chars"))
+    return rows.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
