@@ -19,6 +19,8 @@ from cohortlens.llm.common import written
 #: Vectors and queries in one block of local scores, at most on average.
 VECTORS, QUERIES = 8192, 512
 LISTS = 2
+#: Entries that phase 1 gathers from each local list, for each of the k + 1 wanted: a longer head gives a higher safe cutoff.
+HEAD = 4
 
 
 def _local(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -76,14 +78,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = LIST
 
     def heads(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "v": [], "list": [], "key": [], "local": [], "least": []})
+            return pd.DataFrame({"query_id": [], "v": [], "list": [], "key": [], "least": []})
         scores = _local(_matrix(left["v"], part), _matrix(right["v"], part))
-        keys, m = left["key"].to_numpy(), min(k + 1, len(left))
+        keys, m = left["key"].to_numpy(), min(HEAD * (k + 1), len(left))
         top = np.argpartition(-scores, m - 1, axis=1)[:, :m]
         at = np.repeat(np.arange(len(right)), m)
         return pd.DataFrame({
             "query_id": right["query_id"].to_numpy()[at], "v": right["q"].to_numpy()[at], "list": int(key[0]), "key": keys[top.ravel()],
-            "local": np.take_along_axis(scores, top, 1).ravel().astype(np.int64), "least": scores.min(1).astype(np.int64)[at],
+            "least": scores.min(1).astype(np.int64)[at],
         })
 
     def reaching(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -101,14 +103,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = LIST
     asked = written(asked.withColumn("q", F.xxhash64("query_id", "v")), "asked")
     # phase 1: the heads of the local lists
     first = dealt.groupBy(*grid).cogroup(deal_queries(asked).groupBy(*grid)).applyInPandas(
-        heads, "query_id bigint, v bigint, list int, key bigint, local bigint, least bigint"
+        heads, "query_id bigint, v bigint, list int, key bigint, least bigint"
     ).withColumnRenamed("v", "q")
     first = written(first, "heads")
     least = first.groupBy("q", "list").agg(F.min("least").alias("least")).groupBy("q").agg(
         F.array_sort(F.collect_list(F.struct("list", "least"))).alias("x")
     ).select("q", F.col("x.least").alias("least"))
-    head = F.row_number().over(W.partitionBy("q", "list").orderBy(F.desc("local"), "key"))
-    seen = first.withColumn("r", head).filter(F.col("r") <= k + 1).select("q", "key").distinct()
+    seen = first.select("q", "key").distinct()
     alone = (F.size("ids") == 1) & (F.col("cls") == F.col("query_id"))
     resolved = seen.join(asked.select("q", "query_id", F.col("v").alias("a")), "q").join(classes, "key")
     totals = resolved.filter(~alone).select("q", "key", _dot("a", "v").alias("score"))
