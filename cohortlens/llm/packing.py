@@ -11,7 +11,7 @@ import bisect
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -147,23 +147,24 @@ def token_pieces(docs: DataFrame, vocab: str, end_id: int, capacity: int, id_col
     are cut, and only their last piece may be shorter than capacity.
     """
 
+    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+    schema = pa.schema(fields + [("ids", pa.list_(pa.int64()))] * with_ids)
+
     def pieces(batches):
         enc = encoder(vocab)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             rows = []
-            for key, text in zip(batch["id"].array, batch["text"].array, strict=True):
-                ids = np.frombuffer(enc.encode(None if pd.isna(text) else text) + end, enc.dtype).astype("<u4")
+            for key, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
+                ids = np.frombuffer(enc.encode(text.as_py()) + end, enc.dtype).astype("<u4")
                 for number, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
-                    rows.append((key, number, start, len(part), zlib.crc32(part.tobytes()), part if with_ids else None))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out if with_ids else out.drop(columns="ids")
+                    rows.append((key, number, start, len(part), zlib.crc32(part.tobytes()), part))
+            columns = list(zip(*rows, strict=True))[: len(schema)] if rows else [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInPandas(pieces, schema)
+    return rows.mapInArrow(pieces, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:

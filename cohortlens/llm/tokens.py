@@ -10,9 +10,9 @@ import numpy as np
 
 #: A text may be cut at a single blank between two signs that aren't white: no pre-token spans it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Latin letters, then plain punctuation: two pre-tokens in every vocabulary used here.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?#$%&*|]*)")
-REMEMBERED = 200_000
+#: Latin letters (but for the one that lower-cases to two signs), then plain punctuation: two pre-tokens in every vocabulary used here.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?#$%&*|]*)")
+REMEMBERED = 120_000
 
 
 class _Irregular(Exception):
