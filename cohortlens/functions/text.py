@@ -11,7 +11,7 @@ def identifier_issue(symbol: Column) -> Column:
     return (
         F.when(symbol.isNull() | (F.length(symbol) == 0), "empty")
         .when(symbol.rlike(r"^\s|\s$"), "surrounding_whitespace")
-        .when(symbol.rlike(r"[\x00-\x1F\x7F]"), "control_character")
+        .when(symbol.rlike(r"[\x00-\x1F]"), "control_character")
         .otherwise("")
     )
 
@@ -30,7 +30,9 @@ def safe_name(label: Column) -> Column:
 
 
 def numbered(prefix: str, number: Column, width: int = 4) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0"))
+    """Zero-padded to width; a wider number stays whole."""
+    digits = number.cast("string")
+    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), "0"))
 
 
 def set_signature(items: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortlens.functions.text import numbered
 from cohortlens.functions.numeric import finite, safe_corr
 from cohortlens.operators.gram import residual_coefficients
 from cohortlens.operators.ranks import value_ranks
@@ -123,7 +124,7 @@ def name_components(labels: DataFrame) -> DataFrame:
     grouped = labels.groupBy("label").agg(F.array_sort(F.collect_list("node")).alias("_members"))
     number = F.row_number().over(W.orderBy("label"))
     named = grouped.select(
-        F.concat(F.lit("C"), F.lpad(number.cast("string"), 2, "0")).alias("component_id"),
+        numbered("C", number, 2).alias("component_id"),
         F.size("_members").cast("bigint").alias("component_size"),
         F.concat_ws("|", "_members").alias("members"),
         F.col("_members"),

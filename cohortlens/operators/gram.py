@@ -168,21 +168,24 @@ def _imputed(sums: dict, lift: np.ndarray) -> dict:
     return {**sums, "sx": lift @ sums["sx"], "sxx": lift @ sums["sxx"] @ lift.T, "sxy": lift @ sums["sxy"]}
 
 
-def _fit(sums: dict, numeric: int, alpha: float, l1: float | None, scale: bool) -> tuple[np.ndarray, float, np.ndarray]:
+def _fit(sums: dict, numeric: int, alpha: float, l1: float | None, scale: bool) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """Coefficients, intercept, feature means, and the coefficients on features scaled to unit spread."""
     n, mean, ybar = sums["n"], sums["sx"] / sums["n"], sums["sy"] / sums["n"]
     a = sums["sxx"] - n * np.outer(mean, mean)
     b = sums["sxy"] - n * mean * ybar
-    spread = np.ones(len(mean))
-    if scale and numeric:
+    unit, spread = np.ones(len(mean)), np.ones(len(mean))
+    if numeric:
         sd = np.sqrt(np.clip(np.diag(a)[:numeric] / n, 0, None))
-        spread[:numeric] = np.where(sd > 1e-12, sd, 1.0)
+        unit[:numeric] = np.where(sd > 1e-12, sd, 1.0)
+    if scale:
+        spread = unit
     a, b = a / np.outer(spread, spread), b / spread
     if l1 is None:
         w = np.linalg.lstsq(a + alpha * np.eye(len(b)), b, rcond=None)[0]
     else:
         w = _coordinate_descent(a, b, n, alpha, l1)
     w = w / spread
-    return w, float(ybar - w @ mean), mean
+    return w, float(ybar - w @ mean), mean, w * unit
 
 
 def _rmse(sums: dict, w: np.ndarray, b0: float) -> float:
@@ -199,7 +202,7 @@ def _rmse(sums: dict, w: np.ndarray, b0: float) -> float:
 
 COEFFICIENTS = (
     "target string, model string, outer_fold int, alpha double, l1_ratio double, inner_rmse double, "
-    "candidate int, intercept double, coef array<double>, x_mean array<double>, median array<double>, train_n bigint"
+    "candidate int, intercept double, coef array<double>, x_mean array<double>, median array<double>, train_n bigint, coef_std array<double>"
 )
 
 
@@ -234,10 +237,10 @@ def fit_folds(statistics: DataFrame, design: Design, model: str, candidates: Seq
             alpha, l1 = candidates[best]
             full_lift = lift(medians, fold, "full")
             sums = _imputed(_training_sums(train, width), full_lift)
-            w, b0, mean = _fit(sums, numeric, alpha, l1, scale)
+            w, b0, mean, scaled = _fit(sums, numeric, alpha, l1, scale)
             medians_out = [float(full_lift[i, p + nullable.index(c)]) if c in nullable else 0.0 for i, c in enumerate(names)]
             out.append(
-                (rows["target"].iloc[0], model, fold, alpha, l1, score, best, b0, w.tolist(), mean.tolist(), medians_out, int(sums["n"]))
+                (rows["target"].iloc[0], model, fold, alpha, l1, score, best, b0, w.tolist(), mean.tolist(), medians_out, int(sums["n"]), scaled.tolist())
             )
         columns = [c.split()[0] for c in COEFFICIENTS.split(", ")]
         return pd.DataFrame(out, columns=columns)
@@ -249,13 +252,23 @@ def elastic_net_grid() -> list[tuple[float, float]]:
     return [(a, r) for a in ALPHAS for r in L1_RATIOS]
 
 
+SALTS = 64
+
+
+def _meet(rows: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """Rows with the coefficients of their fold. Folds are few, so each is spread over 64 keys."""
+    salted = coefficients.withColumnRenamed("outer_fold", "fold").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["fold", "_salt"]).drop("_salt")
+
+
 def predict_folds(df: DataFrame, coefficients: DataFrame, design: Design, keep: Sequence[str] = ("cell_id", "group_id", "stratum")) -> DataFrame:
     """Out-of-fold predictions: each row meets only coefficients fitted without its fold."""
     usable = [finite(F.col(c)) for c in design.numeric] + [
         F.coalesce((F.col(design.stratum) == v).cast("double"), F.lit(0.0)) for v in design.levels
     ]
     rows = df.select(*keep, "fold", *[u.alias(f"_x{i}") for i, u in enumerate(usable)])
-    joined = rows.join(coefficients.withColumnRenamed("outer_fold", "fold"), "fold")
+    joined = _meet(rows, coefficients)
     value = F.col("intercept")
     for i in range(len(usable)):
         value = value + F.col("coef")[i] * F.coalesce(F.col(f"_x{i}"), F.col("median")[i])
@@ -312,22 +325,25 @@ def gram_performance(statistics: DataFrame, coefficients: DataFrame, design: Des
 
 
 def coefficient_table(coefficients: DataFrame, design: Design) -> DataFrame:
-    """Long (module, model, fold, feature, coef, abs_coef, coef_rank)."""
+    """Long (module, model, fold, feature, coef, coef_std, abs_coef, coef_rank).
+
+    Ranked by size on features scaled to unit spread in the training folds, so a feature's unit doesn't matter.
+    """
     names = F.array(*[F.lit(n) for n in design.names])
     long = coefficients.select(
         F.col("target").alias("module"),
         "model",
         F.col("outer_fold").alias("fold"),
-        F.explode(F.arrays_zip(names.alias("feature"), F.col("coef").alias("coef"))).alias("e"),
-    ).select("module", "model", "fold", "e.feature", "e.coef")
+        F.explode(F.arrays_zip(names.alias("feature"), F.col("coef").alias("coef"), F.col("coef_std").alias("coef_std"))).alias("e"),
+    ).select("module", "model", "fold", "e.feature", "e.coef", "e.coef_std")
     order = W.partitionBy("module", "model", "fold").orderBy(F.desc("abs_coef"), "feature")
-    return long.withColumn("abs_coef", F.abs("coef")).withColumn("coef_rank", F.row_number().over(order))
+    return long.withColumn("abs_coef", F.abs("coef_std")).withColumn("coef_rank", F.row_number().over(order))
 
 
 def linear_attributions(df: DataFrame, coefficients: DataFrame, design: Design, key: str = "cell_id") -> DataFrame:
     """Held-out exact attributions of a linear model: coef*(x - training mean), with the base value."""
     rows = df.select(key, "fold", *[finite(F.col(c)).alias(f"_x{i}") for i, c in enumerate(design.numeric)])
-    joined = rows.join(coefficients.withColumnRenamed("outer_fold", "fold"), "fold")
+    joined = _meet(rows, coefficients)
     base = F.col("intercept")
     entries = []
     for i, name in enumerate(design.numeric):
@@ -437,6 +453,34 @@ def residualise(df: DataFrame, by: Sequence[str], y: str, z: tuple[str, str]) ->
     return joined.withColumn("fitted", fitted).withColumn("residual", F.col(y) - F.col("fitted")).drop("b0", "b1", "b2")
 
 
+def residual_targets(df: DataFrame, by: Sequence[str], y: str, z: tuple[str, str]) -> DataFrame:
+    """Adds outer_fold and residual: every row once per outer fold, adjusted with what the other folds alone give.
+
+    Training and test rows of an outer fold are adjusted with the same coefficients, so no training target depends on
+    the outcome of a test row.
+    """
+    by, (a, b) = list(by), z
+    coefficients = residual_coefficients(df, by, y, z).withColumnRenamed("fold", "outer_fold")
+    joined = df.join(coefficients, by)
+    residual = F.col(y) - F.col("b0") - F.col("b1") * F.col(a) - F.col("b2") * F.col(b)
+    return joined.withColumn("residual", residual).drop("b0", "b1", "b2")
+
+
+def residual_performance(
+    df: DataFrame, targets: DataFrame, design: Design, candidates: Sequence[tuple[float, float | None]], z: tuple[str, str], key: str = "cell_id",
+) -> DataFrame:
+    """Pooled out-of-fold R2 and RMSE per target (key, target, y) of models on residuals of two nuisance covariates."""
+    rows = targets.join(df.select(key, "fold", *z), key)
+    adjusted = residual_targets(rows, ["target"], "y", z)
+    named = adjusted.select(key, F.concat_ws("@", "target", F.col("outer_fold").cast("string")).alias("target"), F.col("residual").alias("y"))
+    statistics = cut_lineage(fit_statistics(df, named, design, key))
+    coefficients = fit_folds(statistics, design, "residual", candidates)
+    own, base = F.element_at(F.split("target", "@"), -1).cast("int"), F.regexp_replace("target", "@[^@]*$", "")
+    tested = statistics.filter(F.col("fold") == own).withColumn("target", base)
+    fitted = coefficients.filter(F.col("outer_fold") == own).withColumn("target", base)
+    return gram_performance(tested, fitted, design)
+
+
 def residual_coefficients(df: DataFrame, by: Sequence[str], y: str, z: tuple[str, str]) -> DataFrame:
     """(by, fold, b0, b1, b2): least squares of y on two covariates over the other folds."""
     by, (a, b) = list(by), z

@@ -15,9 +15,6 @@ from cohortlens.operators.metrics import observed_percentile
 from cohortlens.operators.ranks import value_ranks
 from cohortlens.session import cut_lineage
 
-EXHAUSTIVE_LIMIT = 20
-
-
 def set_sizes(sets: DataFrame, by: Sequence[str]) -> DataFrame:
     """Members per set, how many balanced splits exist and the set's signature."""
     n = F.col("gene_n")
@@ -33,36 +30,46 @@ def balanced_partitions(sizes: DataFrame, by: Sequence[str], maximum: int, seed:
     """(by, gene_n, max_partitions, mask, method): left halves of the sorted members, at most `maximum` per set.
 
     mask is text with one character per member, '1' for the left half; of an even set's mirrored pair only the
-    one that holds the first member is kept. A set of few members is enumerated and beyond `maximum` the
-    hash-smallest are taken. A larger set of any size draws hash-ordered halves and keeps distinct ones.
+    one that holds the first member is kept. A set with at most `maximum` splits has all of them (it is short: an
+    enumeration takes a few times `maximum` rows). Any other set draws hash-ordered halves until `maximum` different
+    ones are found; sets that lack some draw twice as many again.
     """
     by = list(by)
     n = F.col("gene_n")
-    small = sizes.filter(n <= EXHAUSTIVE_LIMIT).withColumn("_m", F.expr("explode(sequence(0L, shiftleft(1L, cast(gene_n as int)) - 1))"))
+    few = F.coalesce(F.col("max_partitions").between(0, maximum), F.lit(False))  # null: more than a whole number holds
+    small = sizes.filter(few).withColumn("_m", F.expr("explode(sequence(0L, shiftleft(1L, cast(gene_n as int)) - 1))"))
     canonical = (n % 2 == 1) | (F.expr("getbit(_m, 0)") == 1)
     halves = small.filter((F.bit_count("_m") == F.floor(n / 2)) & canonical).withColumn(
         "mask", F.expr("reverse(lpad(bin(_m), cast(gene_n as int), '0'))")
     )
-    large = sizes.filter(n > EXHAUSTIVE_LIMIT).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(4 * maximum))))
+    found = halves.select(*by, "gene_n", "max_partitions", "mask", F.lit("exhaustive").alias("method"))
+    pending, draws = cut_lineage(sizes.filter(~few)), 2 * maximum
+    while not pending.isEmpty():
+        drawn = _first_masks(pending, by, draws, maximum, seed)
+        full = cut_lineage(drawn.withColumn("_found", F.count(F.lit(1)).over(W.partitionBy(*by))).filter(F.col("_found") == maximum).drop("_found"))
+        found = found.unionByName(full.withColumn("method", F.lit("deterministic_random_unique")))
+        pending, draws = cut_lineage(pending.join(full.select(*by).distinct(), by, "left_anti")), 2 * draws
+    return found
+
+
+def _first_masks(sizes: DataFrame, by: list[str], draws: int, maximum: int, seed: int) -> DataFrame:
+    """The first `maximum` different masks among a set's numbered draws."""
+    n = F.col("gene_n")
+    each = sizes.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     members = F.sequence(F.lit(0).cast("bigint"), n - 1)
     order = F.array_sort(
         F.transform(
             members, lambda i: F.struct(hash32(seed, *[F.col(c) for c in by], F.col("_draw"), i).alias("h"), i.alias("i"))
         )
     )
-    drawn = large.withColumn("_left", F.transform(F.slice(order, F.lit(1), F.floor(n / 2).cast("int")), lambda s: s["i"]))
+    drawn = each.withColumn("_left", F.transform(F.slice(order, F.lit(1), F.floor(n / 2).cast("int")), lambda s: s["i"]))
     marks = F.transform(members, lambda i: F.when(F.array_contains(F.col("_left"), i), "1").otherwise("0"))
     drawn = drawn.withColumn("mask", F.array_join(marks, ""))
     mirrored = (n % 2 == 0) & F.col("mask").startswith("0")
     drawn = drawn.withColumn("mask", F.when(mirrored, F.translate("mask", "01", "10")).otherwise(F.col("mask")))
-    found = halves.drop("_m").unionByName(drawn.drop("_draw", "_left").dropDuplicates([*by, "mask"]))
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(hash32(seed, *[F.col(c) for c in by], F.col("mask")), "mask"))
-    method = F.when(F.col("max_partitions") <= maximum, "exhaustive").otherwise("deterministic_random_unique")
-    return (
-        found.withColumn("_rank", rank)
-        .filter(F.col("_rank") <= maximum)
-        .select(*by, "gene_n", "max_partitions", "mask", method.alias("method"))
-    )
+    first = drawn.groupBy(*by, "gene_n", "max_partitions", "mask").agg(F.min("_draw").alias("_draw"))
+    rank = F.row_number().over(W.partitionBy(*by).orderBy("_draw"))
+    return first.withColumn("_rank", rank).filter(F.col("_rank") <= maximum).drop("_rank", "_draw")
 
 
 def half_scores(expression: DataFrame, sets: DataFrame, partitions: DataFrame, samples: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.rules import classify_omission
 from cohortlens.operators import boost, corr, expect, folds, genesets, gram, matching, metrics, ranks, resample
 from cohortlens.plans import views as v
-from cohortlens.plans.q_inference import matched
+from cohortlens.plans.q_inference import N_CONTROLS, matched
 from cohortlens.plans.q_metrics import dense
 from cohortlens.plans.q_tables import _gene_table
 from cohortlens.plans.registry import query
@@ -125,6 +125,11 @@ def split_key(performance: DataFrame) -> DataFrame:
     return performance.withColumn("module", parts[0]).withColumn("control_id", F.get(parts, 1).cast("int"))
 
 
+def asked(summary: DataFrame) -> DataFrame:
+    """How many controls were asked for; a module that got fewer is flagged, since its p-value rests on fewer."""
+    return summary.withColumn("controls_asked", F.lit(N_CONTROLS).cast("bigint")).withColumn("controls_missing", F.lit(N_CONTROLS) - F.col("control_n"))
+
+
 @query("j09_matched_control_specificity")
 def j09(spark, sf):
     """The whole chain: matched sets, weighted control targets, one gram, all fits, and the observed sets among them."""
@@ -134,7 +139,7 @@ def j09(spark, sf):
     seen = gram.gram_performance(statistics, gram.fit_folds(statistics, design, "fixed", FIXED), design)
     observed = seen.select(F.col("target").alias("module"), F.col("r2").alias("observed"))
     summary = metrics.specificity_summary(split_key(performance), observed, ["module"])
-    return ranks.bh_family(summary, [], "raw_p", ["module"], 0.05, "six modules, raw targets")
+    return asked(ranks.bh_family(summary, [], "raw_p", ["module"], 0.05, "six modules, raw targets"))
 
 
 @query("j10_retuned_controls")
@@ -166,6 +171,24 @@ def j11(spark, sf):
     return gram.residualise(rows, ["module"], "y_true", ("f1", "f4")).select("cell_id", "module", "fitted", "residual")
 
 
+REFIT_SQL = """WITH c AS (SELECT k, module, avg(f1) AS ma, avg(f4) AS mb, avg(y_true) AS my, var_pop(f1) AS aa, var_pop(f4) AS bb, covar_pop(f1, f4) AS ab, covar_pop(f1, y_true) AS ay, covar_pop(f4, y_true) AS bby
+    FROM long_targets, folds3 WHERE fold <> k GROUP BY 1, 2),
+    q AS (SELECT *, (ay * bb - bby * ab) / (aa * bb - ab * ab) AS b1, (bby * aa - ay * ab) / (aa * bb - ab * ab) AS b2 FROM c),
+    r AS (SELECT t.cell_id, t.module, t.fold, k, cells.f2, y_true - my - b1 * (t.f1 - ma) - b2 * (t.f4 - mb) AS residual
+    FROM long_targets t JOIN q ON q.module = t.module JOIN cells ON cells.cell_id = t.cell_id),
+    m AS (SELECT k, module, regr_slope(residual, f2) AS slope, regr_intercept(residual, f2) AS intercept FROM r WHERE fold <> k GROUP BY 1, 2)
+    SELECT cell_id, r.module, residual, intercept + slope * f2 AS y_pred FROM r JOIN m ON m.k = r.k AND m.module = r.module WHERE fold = r.k"""
+
+
+@query("j11_residual_refit", REFIT_SQL, ["residual", "y_pred"])
+def j11_refit(spark, sf):
+    """A model refitted on residuals: training and test rows of an outer fold share the coefficients of its training rows."""
+    rows = v.long_targets(spark, sf).join(v.cells(spark, sf).select("cell_id", "f2"), "cell_id")
+    adjusted = gram.residual_targets(rows, ["module"], "y_true", ("f1", "f4"))
+    fitted = gram.ols_oof(adjusted, ["module", "outer_fold"], "f2", "residual").filter(F.col("fold") == F.col("outer_fold"))
+    return fitted.select("cell_id", "module", "residual", "y_pred")
+
+
 @query(
     "x07_residual_identity",
     """SELECT module, count(*) AS n, 0.0 AS max_abs_error FROM long_targets GROUP BY 1""",
@@ -180,17 +203,12 @@ def x07(spark, sf):
 @query("j12_residual_controls")
 def j12(spark, sf):
     """Control targets adjusted for lines and tax with train-only coefficients, fitted, and placed against the observed sets."""
-    samples, design = v.samples(spark, sf), v.sample_design()
     _, named = control_fits(spark, sf)
     both = named.unionByName(observed_scores(spark, sf))
-    rows = both.join(samples.select("cell_id", "fold", "f3", "f4"), "cell_id")
-    adjusted = gram.residualise(rows, ["target"], "y", ("f4", "f3")).select("cell_id", "target", F.col("residual").alias("y"))
-    statistics = v.staged(spark, sf, "residual_statistics", lambda: gram.fit_statistics(samples, adjusted, design))
-    performance = gram.gram_performance(statistics, gram.fit_folds(statistics, design, "fixed", FIXED), design)
-    kept = split_key(performance)
+    kept = split_key(gram.residual_performance(v.samples(spark, sf), both, v.sample_design(), FIXED, ("f4", "f3")))
     observed = kept.filter("control_id IS NULL").select("module", F.col("r2").alias("observed"))
     summary = metrics.specificity_summary(kept.filter("control_id IS NOT NULL"), observed, ["module"])
-    return ranks.bh_family(summary, [], "raw_p", ["module"], 0.05, "six modules, residual targets")
+    return asked(ranks.bh_family(summary, [], "raw_p", ["module"], 0.05, "six modules, residual targets"))
 
 
 @query("j13_technical_targets")

@@ -193,7 +193,7 @@ def b03(spark, sf):
 @query(
     "b04_identifier_issue",
     r"""SELECT role, CASE WHEN text IS NULL OR length(text) = 0 THEN 'empty' WHEN regexp_matches(text, '^[ \t\n\v\f\r]|[ \t\n\v\f\r]$') THEN 'surrounding_whitespace'
-    WHEN regexp_matches(text, '[\x00-\x1F\x7F]') THEN 'control_character' ELSE '' END AS issue, count(*) AS n FROM conversations GROUP BY 1, 2""",
+    WHEN regexp_matches(text, '[\x00-\x1F]') THEN 'control_character' ELSE '' END AS issue, count(*) AS n FROM conversations GROUP BY 1, 2""",
 )
 def b04(spark, sf):
     rows = table(spark, sf, "conversations")
@@ -567,7 +567,7 @@ def h03(spark, sf):
 
 @query(
     "h04_joined_ids",
-    """SELECT p_brand, string_agg(DISTINCT p_type, ';' ORDER BY p_type) AS types, 'control_' || lpad(CAST(min(p_size) AS VARCHAR), 4, '0') AS control FROM part GROUP BY 1""",
+    """SELECT p_brand, string_agg(DISTINCT p_type, ';' ORDER BY p_type) AS types, 'control_' || lpad(CAST(min(p_size) AS VARCHAR), CAST(greatest(4, length(CAST(min(p_size) AS VARCHAR))) AS INTEGER), '0') AS control FROM part GROUP BY 1""",
 )
 def h04(spark, sf):
     return table(spark, sf, "part").groupBy("p_brand").agg(

@@ -126,3 +126,34 @@ def test_boosting_beats_the_mean(data):
     _, df, _ = data
     out, chosen = boosted_oof(df, ["e1", "e2", "e3"], "y", [0, 1], "t", [{"maxIter": 5, "maxDepth": 2, "stepSize": 0.3}])
     assert regression_metrics(out, ["module"], spearman=False).first()["r2"] > 0.2 and len(chosen) == 2
+
+
+def test_residual_targets_do_not_see_the_test_fold(spark):
+    rng = np.random.default_rng(8)
+    rows = [(str(i), "t", i % 3, float(rng.normal()), float(rng.normal()), float(rng.normal())) for i in range(60)]
+
+    def residuals(data):
+        df = spark.createDataFrame(data, "cell_id string, target string, fold int, y double, a double, b double")
+        out = gram.residual_targets(df, ["target"], "y", ("a", "b")).filter("outer_fold = 0 AND fold <> 0").toPandas()
+        return out.sort_values("cell_id")["residual"].to_numpy()
+
+    moved = [(i, t, f, y + 100 * (f == 0) * (1 + a), a, b) for i, t, f, y, a, b in rows]
+    assert np.allclose(residuals(rows), residuals(moved), atol=1e-9)
+
+
+def test_coefficient_ranks_do_not_depend_on_units(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(90, 2))
+    y = 3 * x[:, 0] + x[:, 1] + rng.normal(size=90) * 0.1
+
+    def ranks_of(unit):
+        df = spark.createDataFrame([(str(i), str(i), i % 3, float(a * unit), float(b)) for i, (a, b) in enumerate(x)], "cell_id string, group_id string, fold int, u double, v double")
+        targets = spark.createDataFrame([(str(i), "t", float(v)) for i, v in enumerate(y)], "cell_id string, target string, y double")
+        design = gram.Design(numeric=("u", "v"), folds=(0, 1, 2))
+        fitted = gram.fit_folds(gram.fit_statistics(df, targets, design), design, "m", [(1e-6, None)])
+        table = gram.coefficient_table(fitted, design).toPandas().sort_values(["fold", "feature"])
+        return table["coef_rank"].tolist(), table["coef_std"].to_numpy()
+
+    plain, scaled = ranks_of(1.0), ranks_of(0.001)
+    assert plain[0] == scaled[0] == [1, 2] * 3
+    assert np.allclose(plain[1], scaled[1], rtol=1e-4)

@@ -181,3 +181,21 @@ def test_matrix_identities(spark):
     assert row["participation_ratio"] == pytest.approx(values.sum() ** 2 / (values**2).sum()) and row["max_asymmetry"] == 0
     got = [r["eigenvalue"] for r in corr.matrix_eigenvalues(df, "k", "i", "j", "v").orderBy("position").collect()]
     assert got == pytest.approx(list(values))
+
+
+def test_numbers_are_never_cut(spark):
+    from cohortlens.functions.text import numbered
+
+    out = spark.range(1).select(*[numbered("C", F.lit(n), 2).alias(f"n{n}") for n in (1, 10, 100, 12345)]).first()
+    assert list(out) == ["C01", "C10", "C100", "C12345"]
+
+
+def test_partitions_are_drawn_until_there_are_enough(spark):
+    from cohortlens.operators.reliability import balanced_partitions, set_sizes
+
+    rows = [(f"s{n}", f"g{i:03d}") for n in (2, 5, 8, 9, 10, 21, 40) for i in range(n)]
+    out = balanced_partitions(set_sizes(spark.createDataFrame(rows, "s string, gene string"), ["s"]), ["s"], 100).toPandas()
+    found = out.groupby("s").agg(n=("mask", "nunique"), rows=("mask", "size"), ways=("max_partitions", "first"), method=("method", "first"))
+    assert (found["n"] == found["rows"]).all() and (found["n"] == found["ways"].clip(upper=100)).all()
+    assert ((found["ways"] <= 100) == (found["method"] == "exhaustive")).all()
+    assert all(m.count("1") == len(m) // 2 for m in out["mask"])
