@@ -2,7 +2,9 @@
 
 A text's set needs an overlap of at least T with any partner. Its shingles' inverted lists are divided: the short ones,
 all but the T - t longest, are merged (grouped by shingle and counted per pair), and a partner must occur at least t
-times among them. What remains is decided by probing the long lists, a binary search of each shingle in the partner.
+times among them. A partner that is no smaller asks for a larger T, so the smaller of two texts enters still fewer
+lists: those are marked as its own. What remains is decided by probing the long lists, a binary search of each shingle
+in the partner.
 Exact: the division only needs one order of all shingles that every set uses; how well it tells short lists from long
 ones (counts in 2^20 cells over all texts) only decides the speed.
 """
@@ -24,7 +26,7 @@ CELL_BITS, CHUNK = 20, 1 << 16
 #: Pairs that one task decides, on average.
 PAIRS = 2000
 #: Stars are repeated while a round finds more than one link for so many known ones.
-FEW = 8
+FEW = 4
 
 
 def _least_shared(n):
@@ -63,32 +65,34 @@ def list_lengths(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, share: int) -> DataFrame:
-    """(id, n, h1, h2, short): size and digest of each text's set, and its shingles with the short lists."""
+    """(id, n, h1, h2, short, own): size and digest of each text's set, and its shingles with the short lists, own ones first."""
     levels = docs.sparkSession.sparkContext.broadcast(list_lengths(docs, k))  # 1 MB for any corpus
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("short", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("short", pa.list_(pa.int64())), ("own", pa.int64())])
 
     def sign(batches):
         level = levels.value
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("id")
             for a, b in in_parts(texts):
-                sizes, h1, h2, short = [], [], [], []
+                sizes, h1, h2, short, own = [], [], [], [], []
                 for s in shingle_sets(texts[a:b], k):
                     n = len(s)
                     order = level[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)
                     m = min(n, n - -(-share * n // 100) + _least_shared(n))
+                    first = min(n, n - -(-2 * share * n // (100 + share)) + _least_shared(n))
                     sizes.append(n)
                     h1.append(s.sum(dtype=np.uint64))
                     h2.append(np.bitwise_xor.reduce(s * (s >> np.uint64(7) | np.uint64(1))) if n else np.uint64(0))
-                    short.append((np.partition(order, m - 1)[:m] if m < n else order).view(np.int64))
+                    own.append(first)
+                    short.append((np.partition(order, sorted({first - 1, m - 1}))[:m] if n else order).view(np.int64))
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in short])]).astype(np.int32)
                 values = pa.array(np.concatenate(short) if short else np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(sizes, pa.int64()), *[pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2)], pa.ListArray.from_arrays(pa.array(ends), values)],
+                    [ids.slice(a, b - a), pa.array(sizes, pa.int64()), *[pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2)], pa.ListArray.from_arrays(pa.array(ends), values), pa.array(own, pa.int64())],
                     schema=schema,
                 )
 
-    return docs.select("id", "text").mapInArrow(sign, "id bigint, n bigint, h1 bigint, h2 bigint, short array<bigint>")
+    return docs.select("id", "text").mapInArrow(sign, "id bigint, n bigint, h1 bigint, h2 bigint, short array<bigint>, own bigint")
 
 
 def _alike(a: str, b: str, share: int) -> Column:
@@ -150,10 +154,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # one row per class, then its short lists; lists of one class are of no use
     one = F.row_number().over(W.partitionBy("cls").orderBy("id"))
-    single = sig.filter((F.col("n") > 0) & F.col("id").isNotNull()).select("cls", "id", "n", "short").withColumn("r", one).filter(F.col("r") == 1)
-    entries = single.select(F.explode("short").alias("list"), "cls", "n")
-    shared = entries.withColumn("m", F.count(F.lit(1)).over(W.partitionBy("list"))).filter(F.col("m") > 1)
-    lists = written(shared.select("list", "cls", "n"), "lists")
+    single = sig.filter((F.col("n") > 0) & F.col("id").isNotNull()).select("cls", "id", "n", "short", "own").withColumn("r", one).filter(F.col("r") == 1)
+    entries = single.select(F.posexplode("short").alias("at", "list"), "cls", "n", "own").select("list", "cls", "n", (F.col("at") < F.col("own")).alias("own"))
+    lists = written(_partnered(_partnered(entries, share), share), "lists")
     alive = lists.select("cls").distinct().join(classes.select("cls", F.col("first").alias("id")), "cls")
     texts = written(_own_text(docs.join(alive, "id"), k), "texts")
 
@@ -161,9 +164,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while True:
         open_, of_list = _open(lists, comp), W.partitionBy("list")
         draw = F.xxhash64("cls", F.lit(turn))
-        heads = open_ if turn == 0 else open_.groupBy("list", "comp").agg(F.min_by(F.struct("cls", "n"), draw).alias("x")).select("list", "comp", "x.*")
-        centre = F.min(F.struct(F.xxhash64("comp", F.lit(turn)), "cls", "n", "comp")).over(of_list)
+        member = F.struct("cls", "n", "own")
+        heads = open_ if turn == 0 else open_.groupBy("list", "comp").agg(F.max_by(member, F.struct("own", draw)).alias("x")).select("list", "comp", "x.*")
+        centre = F.max(F.struct("own", F.xxhash64("comp", F.lit(turn)).alias("h"), "cls", "n", "comp")).over(of_list)
         stars = heads.withColumn("c", centre).filter((F.col("c.comp") != F.col("comp")) & _alike("n", "c.n", share))
+        stars = stars.filter((F.col("own") & (F.col("n") <= F.col("c.n"))) | (F.col("c.own") & (F.col("c.n") <= F.col("n"))))
         stars = stars.select(F.col("cls").alias("a"), F.col("c.cls").alias("b"), F.col("n").alias("na"), F.col("c.n").alias("nb"))
         # a star only has to be likely: all its pairs are decided, none has to be found here
         new = written(decide(stars.select("a", "b").distinct() if turn else _enough(stars), texts, k, share), "links")
@@ -178,12 +183,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # every pair of components that meets in a list, member by member
     if found:
         open_ = _open(lists, comp)
-    meet = open_.select("list", "comp").distinct()
-    ahead = meet.withColumnRenamed("comp", "comp_b")
-    crossing = meet.withColumnRenamed("comp", "comp_a").join(ahead, "list").filter(F.col("comp_a") < F.col("comp_b"))
-    left = open_.select("list", F.col("comp").alias("comp_a"), F.col("cls").alias("a"), F.col("n").alias("na"))
+    # the smaller of the two (of equal ones the one that comes first) has the list among its own
+    meet = open_.select("list", F.col("comp").alias("comp_b")).distinct()
+    crossing = open_.filter("own").select("list", F.col("comp").alias("comp_a")).distinct().join(meet, "list").filter(F.col("comp_a") != F.col("comp_b"))
+    left = open_.filter("own").select("list", F.col("comp").alias("comp_a"), F.col("cls").alias("a"), F.col("n").alias("na"))
     right = open_.select("list", F.col("comp").alias("comp_b"), F.col("cls").alias("b"), F.col("n").alias("nb"))
-    across = crossing.join(left, ["list", "comp_a"]).join(right, ["list", "comp_b"]).filter(_alike("na", "nb", share))
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    across = crossing.join(left, ["list", "comp_a"]).join(right, ["list", "comp_b"]).filter(_alike("na", "nb", share) & smaller)
     last = written(decide(_enough(across), texts, k, share), "links")
     if not last.isEmpty():
         comp = _components(last if links is None else links.unionByName(last))
@@ -200,12 +206,26 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def _partnered(entries: DataFrame, share: int) -> DataFrame:
+    """The entries that can count: a text of fitting size stands in the same list, one of the list's texts has it as its
+    own, and the text has as many such entries as any partner must share with it."""
+    of_list = W.partitionBy("list")
+    by_size = of_list.orderBy("n", "cls")
+    near = F.coalesce(100 * F.lag("n").over(by_size) >= share * F.col("n"), F.lit(False)) | F.coalesce(
+        100 * F.col("n") >= share * F.lead("n").over(by_size), F.lit(False)
+    )
+    met = entries.withColumns({"near": near, "any": F.max("own").over(of_list)}).filter(F.col("near") & F.col("any")).select("list", "cls", "n", "own")
+    least = F.floor(F.lit(share) * F.col("n") / 3200) + 1
+    enough = met.groupBy("cls").agg(F.count(F.lit(1)).alias("lists"), F.min("n").alias("n")).filter(F.col("lists") >= least).select("cls")
+    return met.join(enough, "cls").select("list", "cls", "n", "own")
+
+
 def _open(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
     """The lists whose members are in more than one component."""
     state = lists.withColumn("comp", F.col("cls")) if comp is None else lists.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     of_list = W.partitionBy("list")
     state = state.withColumns({"low": F.min("comp").over(of_list), "high": F.max("comp").over(of_list)})
-    return written(state.filter(F.col("low") != F.col("high")).select("list", "cls", "n", "comp"), "open")
+    return written(state.filter(F.col("low") != F.col("high")).select("list", "cls", "n", "own", "comp"), "open")
 
 
 def _components(links: DataFrame) -> DataFrame:
