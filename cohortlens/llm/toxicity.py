@@ -3,7 +3,7 @@
 The kernel of two words sums over common subsequences of three letters, each weighted by how far it is spread, so an
 insult with letters put in, left out or added at its end stays close to the plain one. A sentence meets each landmark
 with its nearest word. The machine learns from sentences: all those of documents that are not toxic, and of each toxic
-document the one that looks worst to the machine of the round before.
+document that has a near word the sentence that looks worst to the machine of the round before.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import written
 
 #: Labelled documents that the machine is fitted on, at most in expectation, of each label; and its landmarks.
-TOXIC, CLEAN, LANDMARKS = 3000, 6000, 128
+TOXIC, CLEAN, LANDMARKS = 2500, 4000, 128
 LENGTH, DECAY = 3, 0.6
 #: Longer words are looked at in overlapping parts.
 LONGEST = 24
@@ -152,9 +152,9 @@ class Words:
         return out
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, rounds: int = 100) -> np.ndarray:
+def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-5, rounds: int = 100) -> np.ndarray:
     """Linear machine with a squared hinge and an intercept (last), by Newton steps over the rows inside the margin."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     weight = weight / weight.sum()
     ridge = penalty * np.append(np.ones(x.shape[1] - 1), 1e-6)
 
@@ -164,8 +164,9 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3,
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         inside = y * (x @ w) < 1
-        part = x[inside] * weight[inside, None]
-        step = np.linalg.solve(part.T @ x[inside] + np.diag(ridge), part.T @ y[inside]) - w
+        near = x[inside].astype(np.float64)
+        part = near * weight[inside, None]
+        step = np.linalg.solve(part.T @ near + np.diag(ridge), part.T @ y[inside]) - w
         size = 1.0
         while loss(w + size * step) > loss(w) and size > 1e-6:
             size /= 2
@@ -245,21 +246,28 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
         for batch in batches:
             rows = []
             for key, toxic, found in zip(batch["id"], batch["toxic"], known.sentences(batch["text"].tolist()), strict=True):
-                rows += [(key, toxic, x.tolist()) for x in found] or [(key, toxic, [])]
+                different = {x.astype(np.float16).tobytes() for x in found}
+                rows += [(key, toxic, x) for x in sorted(different)] or [(key, toxic, b"")]
             yield pd.DataFrame(rows, columns=["id", "toxic", "x"])
 
-    table = sample.mapInPandas(values, "id bigint, toxic int, x array<float>").toPandas()
+    table = sample.mapInPandas(values, "id bigint, toxic int, x binary").toPandas()
     gram = landmarks.near(words).astype(np.float64)
     own, basis = np.linalg.eigh((gram + gram.T) / 2)
     root = basis @ np.diag(1 / np.sqrt(np.maximum(own, 0.05))) @ basis.T
-    x = np.array([np.zeros(len(words)) if len(v) == 0 else np.asarray(v, float) for v in table["x"]]) @ root
+    near = np.zeros((len(table), len(words)), np.float32)
+    for i, v in enumerate(table.pop("x")):
+        if v:
+            near[i] = np.frombuffer(v, np.float16)
+    x = (near @ root.astype(np.float32)).astype(np.float32)
     toxic, doc = table["toxic"].to_numpy() == 1, pd.factorize(table["id"])[0]
-    looks = np.array([0.0 if len(v) == 0 else float(np.max(v)) for v in table["x"]])
+    looks = near.max(1)
     for _ in range(4):
         order = np.lexsort((-looks, doc))
         worst = np.zeros(len(x), bool)
         worst[order[np.concatenate([[True], np.diff(doc[order]) != 0])]] = True
-        used = ~toxic | worst
+        used = ~toxic | (worst & (near.max(1) > 0))  # a toxic document without any near word shows nothing
+        if not (used & toxic).any():
+            return none
         y = np.where(toxic[used], 1.0, -1.0)
         weight = np.where(y > 0, 1.0, (y > 0).sum() / max(1, (y < 0).sum()))
         w = svm(x[used], y, weight)
