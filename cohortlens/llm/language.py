@@ -24,7 +24,7 @@ HOST, SUFFIX, DECLARED = 10.0, 20.0, 5.0
 CONFIDENT = 0.6
 #: A text is in no known language if its trigrams are likelier by so much (in nats, each) where all cells are alike.
 FOREIGN = 1.5
-#: What a cell that a language never showed counts.
+#: Share of a language's likelihood that is spread evenly over all cells.
 SMOOTH = 0.02
 SALTS = 32
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -86,8 +86,9 @@ def trigram_models(docs: DataFrame, seed: int = 5) -> tuple[list[str], np.ndarra
     rows = sorted(rows, key=lambda r: r.declared)
     if not rows:
         return [], np.zeros((CELLS, 0), np.int32)
-    counts = np.array([np.frombuffer(r.n, "<i8") for r in rows], np.float64) + SMOOTH
-    return [r.declared for r in rows], np.rint(UNIT * np.log(counts / counts.sum(1, keepdims=True))).astype(np.int32).T.copy()
+    counts = np.array([np.frombuffer(r.n, "<i8") for r in rows], np.float64)
+    chance = (1 - SMOOTH) * counts / counts.sum(1, keepdims=True) + SMOOTH / CELLS
+    return [r.declared for r in rows], np.rint(UNIT * np.log(chance)).astype(np.int32).T.copy()
 
 
 def text_scores(docs: DataFrame, models: np.ndarray) -> DataFrame:
