@@ -193,7 +193,7 @@ def ordered_index(
 
 def text_order_key(text: Column) -> Column:
     """Whole number that never decreases along binary text order (leading seven bytes)."""
-    return F.conv(F.rpad(F.hex(F.substring(text.cast("string"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
+    return F.conv(F.rpad(F.hex(F.substring(text.cast("string").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
 
 
 def window_ranks(df: DataFrame, by: Sequence[str], col: str, out: str) -> DataFrame:
@@ -221,28 +221,38 @@ def _cut(counts: DataFrame, by: Sequence[str], col: str, wanted: Column, descend
     )
 
 
+#: Rows tied on score and id prefix that one task puts in order; more are first told apart by the next bytes of their ids.
+TIED_ROWS = 10_000
+
+
 def top_fraction(df: DataFrame, by: Sequence[str], score: str, tie: str, fraction: float) -> DataFrame:
     """The ceil(fraction*n) rows per key with the largest score, ties broken by ascending text id.
 
-    One row per key says at which score the top ends; a second says at which id prefix the rows tied at
-    that score end. Both small tables are written out, so the rows themselves are only compared with them;
-    only rows tied on score and prefix are put in order.
+    One row per key says at which score the top ends. Rows tied at that score are narrowed by seven bytes of their ids
+    at a time: a small table says at which bytes the top ends, rows before are in, rows after are out, and only rows
+    with equal bytes go on, until few are left or the ids end.
     """
     by = list(by)
     share = F.ceil(F.lit(float(fraction)) * F.col("n_total"))
     cut = cut_lineage(_cut(cumulative_counts(df, by, score), by, score, share, True, "_cut", "_need").drop("_wanted"))
-    rows = df.join(cut, by).withColumn("_id", text_order_key(F.col(tie)))
-    tied = rows.filter(F.col(score) == F.col("_cut")).select(*by, "_id")
-    prefix = cumulative_counts(tied, by, "_id").join(cut.select(*by, "_need"), by)
-    ends = cut_lineage(_cut(prefix, by, "_id", F.col("_need"), False, "_idcut", "_left").drop("_wanted"))
-    placed = rows.drop("_need").join(ends, by)
-    at_cut = F.col(score) == F.col("_cut")
-    inside = (F.col(score) > F.col("_cut")) | (at_cut & (F.col("_id") < F.col("_idcut")))
-    sure = placed.filter(inside)
-    edge = placed.filter(at_cut & (F.col("_id") == F.col("_idcut")))
-    last = edge.withColumn("_rn", F.row_number().over(W.partitionBy(*by).orderBy(tie))).filter(F.col("_rn") <= F.col("_left"))
-    helper = ["_cut", "_id", "_idcut", "_left"]
-    return sure.drop(*helper).unionByName(last.drop("_rn", *helper))
+    rows = df.join(cut, by)
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    sure = rows.filter(F.col(score) > F.col("_cut")).select(*columns)
+    edge, depth = rows.filter(F.col(score) == F.col("_cut")).drop("_cut"), 0
+    while True:
+        most = edge.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length(tie)).alias("bytes"))
+        largest = most.agg(F.max("n").alias("n"), F.max("bytes").alias("bytes")).first()
+        if (largest.n or 0) <= TIED_ROWS or (largest.bytes or 0) <= 7 * depth:
+            break
+        keyed = edge.withColumn("_id", text_order_key(F.substring(F.col(tie).cast("string").cast("binary"), 7 * depth + 1, 7).cast("string")))
+        prefix = cumulative_counts(keyed.select(*by, "_id"), by, "_id").join(edge.select(*by, "_need").distinct(), by)
+        ends = cut_lineage(_cut(prefix, by, "_id", F.col("_need"), False, "_idcut", "_left").drop("_wanted"))
+        placed = keyed.drop("_need").join(ends, by)
+        sure = sure.unionByName(placed.filter(F.col("_id") < F.col("_idcut")).select(*columns))
+        edge = cut_lineage(placed.filter(F.col("_id") == F.col("_idcut")).select(*columns, F.col("_left").alias("_need")))
+        depth += 1
+    last = edge.withColumn("_rn", F.row_number().over(W.partitionBy(*by).orderBy(tie))).filter(F.col("_rn") <= F.col("_need"))
+    return sure.unionByName(last.select(*columns))
 
 
 def set_overlap(df: DataFrame, by: Sequence[str], side: str, member: str, left, right) -> DataFrame:

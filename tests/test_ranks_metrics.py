@@ -166,3 +166,17 @@ def test_attribution_summaries(spark):
     grouped = {r["component_id"]: r["mean_abs"] for r in metrics.grouped_attribution(long, components).collect()}
     per_fold = [np.mean([(c + 1) * 3 for c in range(10) if c % 2 == k]) for k in (0, 1)]
     assert grouped["C1"] == pytest.approx(np.mean(per_fold)) and grouped["C2"] == pytest.approx(np.mean(per_fold))
+
+
+def test_top_fraction_with_long_common_prefixes(spark, monkeypatch):
+    from cohortlens.operators import ranks
+
+    monkeypatch.setattr(ranks, "TIED_ROWS", 3)
+    ids = [f"customer_{'é' * (i % 3)}{i:05d}" for i in range(200)] + ["customer_", "c"]
+    rows = [("k", i, 1.0 if n % 5 else 2.0) for n, i in enumerate(ids)] + [("m", i, 0.0) for i in ids[:50]]
+    df = spark.createDataFrame(rows, "g string, id string, s double")
+    out = ranks.top_fraction(df, ["g"], "s", "id", 0.37).collect()
+    for g in "km":
+        own = sorted(((-s, i.encode()) for k, i, s in rows if k == g))
+        want = {i for _, i in own[: -(-len(own) * 37 // 100)]}
+        assert {r.id.encode() for r in out if r.g == g} == want
