@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import written
 
 #: Labelled documents that the machine is fitted on, at most in expectation, of each label; and its landmarks.
-TOXIC, CLEAN, LANDMARKS = 2500, 4000, 128
+TOXIC, CLEAN, LANDMARKS = 2000, 3000, 128
 LENGTH, DECAY = 3, 0.6
 #: Longer words are looked at in overlapping parts.
 LONGEST = 24
@@ -114,11 +114,10 @@ class Words:
         self.landmarks, self.cold, self.hot = landmarks, set(), {}
 
     def learn(self, tokens: set[str]) -> None:
-        if len(self.cold) > REMEMBERED:
-            self.cold.clear()
         units = [(t, p) for t in tokens for p in parts(t if t.isalpha() else _NOT_LETTERS.sub("", t))]
         values = self.landmarks.near([p for _, p in units])
-        self.cold.update(tokens)
+        if len(self.cold) < REMEMBERED:  # the first words seen hold the frequent ones
+            self.cold.update(tokens)
         for i in np.flatnonzero(values.any(1)):
             token = units[i][0]
             self.hot[token] = np.maximum(self.hot[token], values[i]) if token in self.hot else values[i]
