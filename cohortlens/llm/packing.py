@@ -140,31 +140,34 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
     return np.array(sorted(p.places), np.int64).reshape(-1, 5), p.bins
 
 
-def token_pieces(docs: DataFrame, vocab: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): each text's ids and end_id, cut every `capacity` ids.
+def token_pieces(docs: DataFrame, vocab: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, piece, length, mark, ids): each text's ids and end_id, cut every `capacity` ids, in bytes of 2 or 4 an id.
 
     Whole texts; a null text is an empty one and makes one piece of end_id alone. Only texts of more than capacity ids
-    are cut, and only their last piece may be shorter than capacity.
+    are cut, and only their last piece may be shorter than capacity. mark orders pieces of repeated doc_ids.
     """
-
-    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-    schema = pa.schema(fields + [("ids", pa.list_(pa.int64()))] * with_ids)
+    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("length", pa.int64()), ("mark", pa.int64()), ("ids", pa.binary())]
+    schema = pa.schema(fields)
 
     def pieces(batches):
         enc = encoder(vocab)
-        end = np.array([end_id], enc.dtype).tobytes()
+        end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for key, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.frombuffer(enc.encode(text.as_py()) + end, enc.dtype).astype("<u4")
-                for number, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    rows.append((key, number, start, len(part), zlib.crc32(part.tobytes()), part))
-            columns = list(zip(*rows, strict=True))[: len(schema)] if rows else [()] * len(schema)
+                ids = enc.encode(text.as_py()) + end
+                for number, start in enumerate(range(0, len(ids), capacity * width)):
+                    part = ids[start : start + capacity * width]
+                    rows.append((key, number, len(part) // width, zlib.crc32(part), part))
+                held += len(ids)
+                if held > 1 << 23:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    rows, held = [], 0
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(pieces, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
+    return rows.mapInArrow(pieces, "doc_id bigint, piece int, length bigint, mark bigint, ids binary")
 
 
 def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -190,14 +193,82 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
 
     def place(batches):
         for batch in batches:
-            rank = batch.pop("_rank").to_numpy(np.int64)
-            at = np.searchsorted(keys, batch["length"].to_numpy(np.int64) << 44 | rank, "right") - 1
-            batch["sequence_id"], batch["offset"] = table[at, 3] + rank - table[at, 1], table[at, 4]
-            yield batch
+            rank, length = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_rank", "length"))
+            at = np.searchsorted(keys, length << 44 | rank, "right") - 1
+            found = [pa.array(table[at, 3] + rank - table[at, 1]), pa.array(table[at, 4])]
+            names = [c for c in batch.schema.names if c != "_rank"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *found], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInPandas(place, schema + ", sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(place, schema + ", sequence_id bigint, offset bigint")
+
+
+def _sequences(rows: pa.Table, capacity: int) -> pa.RecordBatch:
+    """Whole sequences, rows ordered by sequence_id and offset; pieces that leave a gap or overlap are an error."""
+    seq, offset, length = (rows[c].to_numpy() for c in ("sequence_id", "offset", "length"))
+    first, ends = np.flatnonzero(np.diff(seq, prepend=-1)), np.cumsum(length)
+    begin = (ends - length)[first]
+    ids = b"".join(rows["ids"].to_pylist())
+    total = int(ends[-1])
+    values = np.frombuffer(ids, "<u2" if len(ids) == 2 * total else "<u4")
+    if len(values) != total or (offset != ends - length - np.repeat(begin, np.diff(first, append=len(seq)))).any():
+        raise ValueError("pieces do not fill their sequences without gaps")
+    sizes = np.diff(begin, append=total)
+    if sizes.max() > capacity:
+        raise ValueError("a sequence is longer than its capacity")
+    by_piece = pa.array(np.append(first, len(seq)), pa.int32())
+    listed = [pa.ListArray.from_arrays(by_piece, rows[c].combine_chunks().cast(t)) for c, t in (("doc_id", pa.int64()), ("piece", pa.int32()), ("length", pa.int32()))]
+    tokens = pa.ListArray.from_arrays(pa.array(np.append(begin, total), pa.int32()), pa.array(values.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(seq[first]), tokens, *listed], names=["sequence_id", "ids", "doc_ids", "pieces", "lengths"])
 
 
 def pack_documents(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 1, capacity: int = 4096, **columns) -> DataFrame:
-    return pack_pieces(token_pieces(docs, vocab, end_id, capacity, **columns), capacity)
+    """(sequence_id, ids, doc_ids, pieces, lengths): the packed sequences, read from the shared folder.
+
+    ids are at most `capacity` token ids: those of the sequence's pieces one after the other; doc_ids, pieces (a
+    piece's number in its document) and lengths tell them apart.
+    """
+    placed = pack_pieces(token_pieces(docs, vocab, end_id, capacity, **columns), capacity)
+    rows = placed.select("sequence_id", "offset", "length", "doc_id", "piece", "ids")
+
+    def build(batches):
+        held = None  # the last sequence, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            table = new if held is None else pa.concat_tables([held, new])
+            seq = table["sequence_id"].to_numpy()
+            starts = np.flatnonzero(np.diff(seq, prepend=-1))
+            cuts = [*starts[:-1:256], starts[-1]] if len(starts) > 1 else [0]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                yield _sequences(table.slice(i, j - i), capacity)
+            held = table.slice(starts[-1]).combine_chunks()
+        if held is not None:
+            yield _sequences(held, capacity)
+
+    grouped = rows.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    schema = "sequence_id bigint, ids array<int>, doc_ids array<bigint>, pieces array<int>, lengths array<int>"
+    return written(grouped.mapInArrow(build, schema), "sequences")
+
+
+def piece_digests(sequences: DataFrame, capacity: int = 4096) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of the pieces as they lie in the sequences."""
+
+    def digests(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids, docs, pieces, lengths = (part.column(c).flatten() for c in ("ids", "doc_ids", "pieces", "lengths"))
+                data = memoryview(ids.to_numpy(zero_copy_only=False).astype("<u4").tobytes())
+                n, number = lengths.to_numpy().astype(np.int64), pieces.to_numpy().astype(np.int64)
+                per, tokens = (np.array([len(x) for x in part.column(c)], np.int64) for c in ("lengths", "ids"))
+                begin = np.cumsum(n) - n
+                whose = np.repeat(np.arange(len(per)), per)
+                offset = begin - (np.cumsum(tokens) - tokens)[whose]
+                crc = [zlib.crc32(data[4 * b : 4 * (b + k)]) for b, k in zip(begin.tolist(), n.tolist(), strict=True)]
+                out = [docs, pieces, number * capacity, n, np.array(crc, np.int64), part.column("sequence_id").to_numpy()[whose], offset]
+                yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in out], names=names)
+
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    return sequences.mapInArrow(digests, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

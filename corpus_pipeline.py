@@ -33,8 +33,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of all rows and their places in sequences."""
-    return packing.pack_documents(docs)
+    """Packed sequences of all rows' tokens, written to the shared folder; returned are the pieces read back from them."""
+    return packing.piece_digests(packing.pack_documents(docs))
 
 
 STAGES = [

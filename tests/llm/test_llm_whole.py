@@ -1,9 +1,12 @@
 """Operators do the whole job: every declared language, evidence of addresses, whole words, whole sequences."""
 
+import collections
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.llm import language
+from cohortlens.llm import language, packing, tokens
 from cohortlens.llm.common import table
 
 
@@ -31,3 +34,40 @@ def test_a_language_left_out_is_unknown(spark):
         long = out["n_trigrams"] > 200
         assert (out.loc[long & (truth == left), "reason"] == "unknown").mean() > 0.97
         assert out.loc[truth != left, "kept"].mean() > 0.97
+
+
+def test_sequences_hold_the_ids_of_all_documents(spark):
+    pytest.importorskip("public_tokenizers")
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    rows = [*texts, (7, "twice"), (7, "twice"), (None, None), (None, "no id")]
+    sequences = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), capacity=512)
+    got, encode = [], tokens.encoder("word_bpe_49k.json").ids
+    for r in sequences.collect():
+        assert len(r.ids) == sum(r.lengths) <= 512
+        at = 0
+        for key, piece, n in zip(r.doc_ids, r.pieces, r.lengths, strict=True):
+            got.append((str(key), piece, tuple(r.ids[at : at + n])))
+            at += n
+    want = []
+    for key, text in rows:
+        ids = [*encode(text).tolist(), 1]
+        want += [(str(key), i, tuple(ids[s : s + 512])) for i, s in enumerate(range(0, len(ids), 512))]
+    assert collections.Counter(got) == collections.Counter(want)
+    back = packing.piece_digests(sequences, 512).toPandas()
+    assert len(back) == len(want) and back["length"].sum() == sum(len(x[2]) for x in want)
+    assert (back["start"] == back["piece"] * 512).all()
+
+
+def test_wrong_places_are_an_error(spark, monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    right = packing.plan
+
+    def shifted(counts, capacity):
+        places, bins = right(counts, capacity)
+        return places + [0, 0, 0, 0, 1], bins
+
+    monkeypatch.setattr(packing, "plan", shifted)
+    docs = spark.createDataFrame([(1, "some words"), (2, "more")], "doc_id long, text string")
+    with pytest.raises(Exception, match="without gaps"):
+        packing.pack_documents(docs)
