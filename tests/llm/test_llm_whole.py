@@ -71,3 +71,13 @@ def test_wrong_places_are_an_error(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "some words"), (2, "more")], "doc_id long, text string")
     with pytest.raises(Exception, match="without gaps"):
         packing.pack_documents(docs)
+
+
+def test_near_copy_stage_takes_five_words_and_four_fifths(spark):
+    import corpus_pipeline as p
+
+    text = " ".join(f"w{i}" for i in range(104))  # 100 shingles of five words
+    longer = f"{text} " + " ".join(f"x{i}" for i in range(20))  # 100 of 120 are shared
+    other = f"{text} " + " ".join(f"y{i}" for i in range(26))  # 100 of 126
+    docs = spark.createDataFrame([(1, text), (2, longer), (3, other)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in dict(p.STAGES)["near_copies"](spark, docs, "").collect()) == [1, 3]
