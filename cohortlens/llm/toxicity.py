@@ -107,46 +107,48 @@ class Landmarks:
         return out
 
 
+def plain_form(token: str) -> str:
+    """The letters of a token: the same wherever a sentence is cut."""
+    return token if token.isalpha() else _NOT_LETTERS.sub("", token)
+
+
 class Words:
-    """Remembers which words are near a landmark. Most words are near none, and those are only kept as a set."""
+    """Remembers which words (by their letters alone) are near a landmark. Most words are near none, and those are only kept as a set."""
 
     def __init__(self, landmarks: Landmarks):
         self.landmarks, self.cold, self.hot = landmarks, set(), {}
 
-    def learn(self, tokens: set[str]) -> None:
-        units = [(t, p) for t in tokens for p in parts(t if t.isalpha() else _NOT_LETTERS.sub("", t))]
+    def learn(self, words: set[str]) -> None:
+        units = [(w, p) for w in words for p in parts(w)]
         values = self.landmarks.near([p for _, p in units])
         if len(self.cold) < REMEMBERED:  # the first words seen hold the frequent ones
-            self.cold.update(tokens)
+            self.cold.update(words)
         for i in np.flatnonzero(values.any(1)):
-            token = units[i][0]
-            self.hot[token] = np.maximum(self.hot[token], values[i]) if token in self.hot else values[i]
+            word = units[i][0]
+            self.hot[word] = np.maximum(self.hot[word], values[i]) if word in self.hot else values[i]
         self.cold.difference_update(self.hot)
 
     def sentences(self, texts: list[str | None]) -> list[list[np.ndarray]]:
         """For each text the landmark values of the sentences that have any."""
         lowered = [(t or "").lower() for t in texts]
-        tokens = []
+        words = []
         for i, t in enumerate(lowered):
             own = set(t.split())
             if sum(len(x) == 1 for x in own) > 2:  # letters with blanks between are one word
                 lowered[i] = t = _SPACED.sub(lambda m: re.sub(r"\s", "", m[0]), t)
                 own = set(t.split())
-            tokens.append(own)
-        unknown = set().union(*tokens) if tokens else set()
+            words.append(set(map(plain_form, own)))
+        unknown = set().union(*words) if words else set()
         unknown -= self.cold
-        self.learn(unknown.difference(self.hot))
-        hot, out = set(self.hot), []
-        for t, own in zip(lowered, tokens, strict=True):
+        self.learn(unknown.difference(self.hot, [""]))
+        hot, out = self.hot, []
+        for t, own in zip(lowered, words, strict=True):
             found = []
             if not own.isdisjoint(hot):
                 for sentence in _SENTENCE.split(t):
-                    # the sign at a sentence's end was cut off its last word
-                    values = [self.hot[y] for x in sentence.split() for y in (x, *[x + e for e in ".!?"]) if y in hot]
+                    values = [hot[y] for y in map(plain_form, sentence.split()) if y in hot]
                     if values:
                         found.append(np.max(values, axis=0))
-                if not found:
-                    found = [np.max([self.hot[x] for x in own if x in hot], axis=0)]
             out.append(found)
         return out
 

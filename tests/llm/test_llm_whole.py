@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.llm import language, packing, tokens
+from cohortlens.llm import language, packing, tokens, toxicity
 from cohortlens.llm.common import table
 
 
@@ -81,3 +81,13 @@ def test_near_copy_stage_takes_five_words_and_four_fifths(spark):
     other = f"{text} " + " ".join(f"y{i}" for i in range(26))  # 100 of 126
     docs = spark.createDataFrame([(1, text), (2, longer), (3, other)], "doc_id long, text string")
     assert sorted(r.doc_id for r in dict(p.STAGES)["near_copies"](spark, docs, "").collect()) == [1, 3]
+
+
+def test_near_words_do_not_depend_on_closing_signs_or_memory():
+    marks = toxicity.Landmarks(["moron", "idiot"])
+    text = "an idiot. you m-o-r-o-n!!! more text. what an idiot?!"
+    fresh, warmed = toxicity.Words(marks), toxicity.Words(marks)
+    warmed.sentences(["m-o-r-o-n! moron idiot m-o-r-o-n"])
+    a, b = fresh.sentences([text])[0], warmed.sentences([text])[0]
+    assert len(a) == len(b) == 3 and all((x == y).all() for x, y in zip(a, b, strict=True))
+    assert a[1][0] > 0.99 and a[2][1] > 0.99
