@@ -91,3 +91,13 @@ def test_near_words_do_not_depend_on_closing_signs_or_memory():
     a, b = fresh.sentences([text])[0], warmed.sentences([text])[0]
     assert len(a) == len(b) == 3 and all((x == y).all() for x, y in zip(a, b, strict=True))
     assert a[1][0] > 0.99 and a[2][1] > 0.99
+
+
+def test_a_dotted_suffix_changes_an_undecided_posterior(spark):
+    rng = np.random.default_rng(3)
+    words = {"de": "der die und nicht schein keit".split(), "fr": "les que dans est eau tion".split()}
+    rows = [(i, " ".join(rng.choice(words[x], 40)), x, f"h{i % 20}.{x}") for i in range(200) for x in [("de", "fr")[i % 2]]]
+    rows += [(900, "zqx", None, "new.de"), (901, "zqx", None, "new.fr"), (902, "zqx", None, "newde")]
+    out = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas().set_index("doc_id")
+    assert out.loc[[900, 901], "language"].tolist() == ["de", "fr"] and (out.loc[[900, 901], "posterior"] > 0.9).all()
+    assert out.loc[902, "posterior"] < 0.6
