@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cohortlens.llm import bitpack, chat, jaccard, language, mixing, packing, quality, topk, toxicity, warc
+from cohortlens.llm import bitpack, chat, jaccard, language, mixing, packing, quality, token_counts, topk, toxicity, warc
 from cohortlens.llm.common import table, written
 
 QUERIES: dict = {}
@@ -201,3 +201,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_language_id")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents")).drop("_key")
+
+
+@query("op12_token_counts")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
