@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cohortlens.llm import bitpack, chat, jaccard, language, mixing, packing, quality, token_counts, topk, toxicity, warc
+from cohortlens.llm import bitpack, chat, jaccard, language, mixing, negatives, packing, quality, token_counts, topk, toxicity, warc
 from cohortlens.llm.common import table, written
 
 QUERIES: dict = {}
@@ -206,3 +206,26 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_token_counts")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op13_hard_negatives", """
+WITH r AS (
+    SELECT DISTINCT CAST(vec_id AS BIGINT) AS vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS anchor_id, a.label AS own, a.v AS av, c.vec_id, c.label,
+        CAST(coalesce(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+    FROM r AS a JOIN r AS c ON a.vec_id <> c.vec_id OR a.label <> c.label WHERE a.vec_id % 50 = 0
+), p AS (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id, own, av ORDER BY score DESC, vec_id) AS place FROM s
+    WHERE label = own AND vec_id <> anchor_id QUALIFY place <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id,
+    p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.own = p.own AND s.av = p.av AND s.label <> p.own
+    AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.own, p.av, p.place ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 3
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(negatives.labelled(table(spark, sf_dir, "embeddings")))
