@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cohortlens.llm import bitpack, chat, jaccard, language, mixing, negatives, packing, quality, token_counts, topk, toxicity, warc
+from cohortlens.llm import bitpack, chat, jaccard, language, lexical, mixing, negatives, packing, quality, token_counts, topk, toxicity, warc
 from cohortlens.llm.common import table, written
 
 QUERIES: dict = {}
@@ -229,3 +229,33 @@ WINDOW w AS (PARTITION BY p.anchor_id, p.own, p.av, p.place ORDER BY s.score DES
 """)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(negatives.labelled(table(spark, sf_dir, "embeddings")))
+
+
+@query("op11_lexical_search", r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ts
+    FROM documents WHERE text IS NOT NULL
+), t AS (
+    SELECT r, doc_id, CAST(len(ts) AS BIGINT) AS n, ts FROM d WHERE len(ts) > 0
+), g AS (
+    SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM t
+), q AS (
+    SELECT k, item_id, unnest(list_distinct(ts)) AS term FROM (
+        SELECT row_number() OVER () AS k, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ts
+        FROM (SELECT DISTINCT item_id, text FROM benchmark)
+    )
+), p AS (
+    SELECT r, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, doc_id, n, unnest(ts) AS term FROM t)
+    WHERE term IN (SELECT term FROM q) GROUP BY r, doc_id, n, term
+), f AS (
+    SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) AS w
+    FROM (SELECT term, count(*) AS df FROM p GROUP BY term), g
+), s AS (
+    SELECT k, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+    FROM q JOIN p USING (term) JOIN f USING (term), g GROUP BY k, item_id, r, doc_id
+)
+SELECT item_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW w AS (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST, r) QUALIFY row_number() OVER w <= 50
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
