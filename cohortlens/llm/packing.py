@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cohortlens.llm.common import partitions, written
+from cohortlens.llm.common import partitions, shared_path, written
 from cohortlens.llm.tokens import encoder
 
 
@@ -141,66 +143,72 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
 
 
 def token_pieces(docs: DataFrame, vocab: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, length, mark, ids): each text's ids and end_id, cut every `capacity` ids, in bytes of 2 or 4 an id.
+    """(doc_id, piece, length, part, order, ids): each text's ids and end_id, cut every `capacity` ids, in bytes of 2 or 4 an id.
 
-    Whole texts; a null text is an empty one and makes one piece of end_id alone. Only texts of more than capacity ids
-    are cut, and only their last piece may be shorter than capacity. mark orders pieces of repeated doc_ids.
+    Whole texts; a null text is an empty one and makes one piece of end_id alone, null ids and repeated rows make
+    pieces like all others. Only texts of more than capacity ids are cut, and only their last piece may be shorter than
+    capacity. part is the task, order the number of the piece among those of its length in the task.
     """
-    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("length", pa.int64()), ("mark", pa.int64()), ("ids", pa.binary())]
+    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("length", pa.int64()), ("part", pa.int32()), ("order", pa.int64()), ("ids", pa.binary())]
     schema = pa.schema(fields)
 
+    def batch_of(rows):
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
     def pieces(batches):
-        enc = encoder(vocab)
+        enc, part, seen = encoder(vocab), TaskContext.get().partitionId(), Counter()
         end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         for batch in batches:
             rows, held = [], 0
             for key, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
                 ids = enc.encode(text.as_py()) + end
                 for number, start in enumerate(range(0, len(ids), capacity * width)):
-                    part = ids[start : start + capacity * width]
-                    rows.append((key, number, len(part) // width, zlib.crc32(part), part))
+                    own = ids[start : start + capacity * width]
+                    length = len(own) // width
+                    rows.append((key, number, length, part, seen[length], own))
+                    seen[length] += 1
                 held += len(ids)
                 if held > 1 << 23:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    yield batch_of(rows)
                     rows, held = [], 0
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            yield batch_of(rows)
 
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(pieces, "doc_id bigint, piece int, length bigint, mark bigint, ids binary")
+    return rows.mapInArrow(pieces, "doc_id bigint, piece int, length bigint, part int, order bigint, ids binary")
 
 
 def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
-    """Adds sequence_id and offset to pieces (length between 1 and capacity); any columns, repeated rows are pieces too.
+    """(sequence_id, offset, length, doc_id, piece, ids) of the pieces of token_pieces; an empty table gives an empty one.
 
-    A piece's rank among its length comes from 64 or more slices of its hash, so that a length that most pieces have is
-    ranked in many tasks. The places are at most a few per length and are sent to the tasks.
+    A piece's rank among its length is its order in its task and the number of such pieces in earlier tasks. The pieces
+    are stored in buckets by task, so that these numbers, one row per task, meet them where they lie: no ids are
+    shuffled here. The places are at most a few per length and are sent to the tasks.
     """
     spark = pieces.sparkSession
-    pieces = written(pieces, "pieces")
-    order = [c for c in pieces.columns if c != "ids"]
-    slices = max(64, partitions(spark))
-    counts = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}
+    path = shared_path(spark, "pieces")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    pieces.write.bucketBy(partitions(spark), "part").option("path", path).option("compression", "zstd").saveAsTable(name)
+    stored = spark.table(name)
+    sums = written(stored.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    counts = {r.length: r.n for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places, _ = plan(counts, capacity)
     keys, table = places[:, 0] << 44 | places[:, 1], places
 
-    sliced = pieces.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
-    sums = sliced.groupBy("length", "_slice").agg(F.count(F.lit(1)).alias("n"))
-    before = sums.select("length", "_slice", (F.sum("n").over(W.partitionBy("length").orderBy("_slice")) - F.col("n")).alias("_before"))
-    inside = F.row_number().over(W.partitionBy("length", "_slice").orderBy(*order)) - 1
-    ranked = sliced.withColumn("_inside", inside).join(before, ["length", "_slice"])
-    ranked = ranked.select(*[F.col(f"`{c}`") for c in pieces.columns], (F.col("_before") + F.col("_inside")).alias("_rank"))
+    earlier = sums.select("part", "length", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("n"))
+    earlier = earlier.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "n"))).alias("earlier"))
+    rank = F.element_at("earlier", F.col("length")) + F.col("order")
+    ranked = stored.join(earlier.hint("shuffle_hash"), "part").select("doc_id", "piece", "length", "ids", rank.alias("rank"))
 
     def place(batches):
         for batch in batches:
-            rank, length = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_rank", "length"))
+            rank, length = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rank", "length"))
             at = np.searchsorted(keys, length << 44 | rank, "right") - 1
             found = [pa.array(table[at, 3] + rank - table[at, 1]), pa.array(table[at, 4])]
-            names = [c for c in batch.schema.names if c != "_rank"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *found], names=[*names, "sequence_id", "offset"])
+            names = ["length", "doc_id", "piece", "ids"]
+            yield pa.RecordBatch.from_arrays([*found, *[batch.column(c) for c in names]], names=["sequence_id", "offset", *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInArrow(place, schema + ", sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(place, "sequence_id bigint, offset bigint, length bigint, doc_id bigint, piece int, ids binary")
 
 
 def _sequences(rows: pa.Table, capacity: int) -> pa.RecordBatch:
@@ -228,8 +236,7 @@ def pack_documents(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: in
     ids are at most `capacity` token ids: those of the sequence's pieces one after the other; doc_ids, pieces (a
     piece's number in its document) and lengths tell them apart.
     """
-    placed = pack_pieces(token_pieces(docs, vocab, end_id, capacity, **columns), capacity)
-    rows = placed.select("sequence_id", "offset", "length", "doc_id", "piece", "ids")
+    rows = pack_pieces(token_pieces(docs, vocab, end_id, capacity, **columns), capacity)
 
     def build(batches):
         held = None  # the last sequence, which may go on in the next batch
@@ -249,7 +256,7 @@ def pack_documents(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: in
 
     grouped = rows.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
     schema = "sequence_id bigint, ids array<int>, doc_ids array<bigint>, pieces array<int>, lengths array<int>"
-    return written(grouped.mapInArrow(build, schema), "sequences")
+    return written(grouped.mapInArrow(build, schema), "sequences", "zstd")
 
 
 def piece_digests(sequences: DataFrame, capacity: int = 4096) -> DataFrame:

@@ -38,7 +38,7 @@ class _Pieces(dict):
 class Encoder:
     """encode(text): the ids as bytes of self.dtype. The same ids as Tokenizer.encode gives for the whole text.
 
-    Between words of plain letters only the model of the tokenizer is called, which finds the merges; everything else
+    A text that holds the string of a special token goes through the library whole. Between words of plain letters only the model of the tokenizer is called, which finds the merges; everything else
     goes through the whole tokenizer, piece by piece.
     """
 
@@ -51,7 +51,8 @@ class Encoder:
 
             vocab = public_tokenizers.path(vocab)
         self.tok = Tokenizer.from_file(vocab)
-        self.tok.encode_special_tokens = True
+        #: Strings that the library reads as one special token, wherever they stand in a text.
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.lowers = self.tok.normalizer is not None
@@ -97,6 +98,8 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(x in text for x in self.special):
+            return self._slow(text)
         pieces = text.split(" ")
         try:
             return b"".join([self.first[pieces[0]], *map(self.inner.__getitem__, pieces[1:])])

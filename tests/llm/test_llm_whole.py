@@ -1,12 +1,13 @@
 """Operators do the whole job: every declared language, evidence of addresses, whole words, whole sequences."""
 
 import collections
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.llm import language, packing, tokens, toxicity
+from cohortlens.llm import bitpack, language, packing, tokens, toxicity
 from cohortlens.llm.common import table
 
 
@@ -101,3 +102,31 @@ def test_a_dotted_suffix_changes_an_undecided_posterior(spark):
     out = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas().set_index("doc_id")
     assert out.loc[[900, 901], "language"].tolist() == ["de", "fr"] and (out.loc[[900, 901], "posterior"] > 0.9).all()
     assert out.loc[902, "posterior"] < 0.6
+
+
+def test_token_files_give_the_ids_of_all_texts(spark, tmp_path, monkeypatch):
+    """Places, numbers and digests against plain ids; several files, special tokens, huge and empty texts, null and repeated ids."""
+    from tokenizers import Tokenizer
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(bitpack, "SEGMENT", 2000)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["alpha", "be ta", "<|endoftext|>", "ß\n", "中", "12"], n)) for n in rng.integers(0, 300, 60)] + [None, "", "word " * 9000]
+    rows = [(i * 3 % 63 if i % 9 else None, t) for i, t in enumerate(texts)] + [(5, "same"), (5, "same")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    path = bitpack.write_ids(docs, "byte_bpe_50k.json", 0)
+    assert spark.read.format("binaryFile").load(path).count() > 1
+    got, start = bitpack.read_ids(spark, path).toPandas(), 0
+    assert len(got) == len(rows)
+    plain = {}
+    for key, text in rows:
+        ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        plain.setdefault(key, []).append((len(ids), zlib.crc32(ids.tobytes())))
+    for r in got.sort_values("start").itertuples():
+        key = None if np.isnan(r.doc_id) else int(r.doc_id)
+        assert r.start == start
+        plain[key].remove((r.n_tokens, r.ids_crc32))
+        start += r.n_tokens
+    order = got.sort_values("start")["doc_id"].dropna().tolist()
+    assert order == sorted(order) and not any(plain.values())
