@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
 
 import numpy as np
@@ -11,8 +12,8 @@ import numpy as np
 #: A text may be cut at a single blank between two signs that aren't white: no pre-token spans it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Latin letters (but for the one that lower-cases to two signs), then plain punctuation: two pre-tokens in every vocabulary used here.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?#$%&*|]*)")
-REMEMBERED = 120_000
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?#$%&*|]*)").fullmatch
+REMEMBERED = 320_000
 
 
 class _Irregular(Exception):
@@ -22,24 +23,47 @@ class _Irregular(Exception):
 class _Pieces(dict):
     """Bytes of the ids of a piece between two blanks; the first pieces seen, which hold the frequent ones, are kept."""
 
-    def __init__(self, find):
+    def __init__(self, encoder: Encoder, led: bool):
         super().__init__()
-        self.find = find
+        self.encoder, self.led = encoder, led
 
     def __missing__(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace() or piece[-1].isspace():
+        encoder, plain = self.encoder, _PLAIN(piece)
+        if plain and (piece.isascii() or unicodedata.is_normalized("NFC", piece)):
+            word, rest = plain.groups()
+            ids = encoder.model(word.lower() if encoder.lowers else " " + word if self.led else word)
+            if rest:
+                ids += encoder.model(rest)
+        elif not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Irregular
-        ids, keep = self.find(piece)
-        if keep and len(self) < REMEMBERED:
+        else:
+            lines = piece.split("\n")
+            if len(lines) > 1 and all(x and not any(map(str.isspace, x)) for x in lines):
+                first = encoder.first
+                return encoder.line_end.join([self[lines[0]], *[first[x] for x in lines[1:]]])
+            ids = encoder.slow(" " + piece if self.led else piece)
+        if len(self) < REMEMBERED:
             self[piece] = ids
         return ids
 
 
+class _Signs(dict):
+    """What byte-level vocabularies write for a code point, for str.translate."""
+
+    def __init__(self, levels):
+        super().__init__()
+        self.levels = levels
+
+    def __missing__(self, code: int) -> str:
+        self[code] = sign = self.levels.pre_tokenize_str(chr(code))[0][0]
+        return sign
+
+
 class Encoder:
     """encode(text): the ids as bytes of self.dtype. The same ids as Tokenizer.encode gives for the whole text.
 
-    A text that holds the string of a special token goes through the library whole. Between words of plain letters only the model of the tokenizer is called, which finds the merges; everything else
-    goes through the whole tokenizer, piece by piece.
+    A text that holds the string of a special token goes through the library whole. For words of plain letters only the
+    model of the tokenizer is called, which finds the merges; everything else goes through the whole tokenizer, piece by piece.
     """
 
     def __init__(self, vocab: str):
@@ -56,57 +80,38 @@ class Encoder:
         self.size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.lowers = self.tok.normalizer is not None
-        self._bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self._signs: dict[int, str] = {}
+        self._letter = "H" if self.dtype.itemsize == 2 else "I"
+        self._signs = _Signs(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
         self._words: dict[str, bytes] = {}
-        self.inner, self.first = _Pieces(lambda p: self._piece(p, True)), _Pieces(lambda p: self._piece(p, False))
-        self._line_end = self._slow("\n")
+        self._tokenize = self.tok.model.tokenize
+        self.inner, self.first = _Pieces(self, True), _Pieces(self, False)
+        self.line_end = self.slow("\n")
 
-    def _slow(self, text: str) -> bytes:
+    def slow(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _model(self, text: str) -> bytes:
+    def model(self, text: str) -> bytes:
         """Ids of one pre-token."""
         known = self._words.get(text)
         if known is None:
-            signs = self._signs
-            try:
-                mapped = text.translate(signs) if text.isascii() and signs else None
-            except KeyError:
-                mapped = None
-            if mapped is None or len(signs) < 256:
-                for sign in text:
-                    if ord(sign) not in signs:
-                        signs[ord(sign)] = self._bytes.pre_tokenize_str(sign)[0][0]
-                mapped = text.translate(signs)
-            known = np.array([t.id for t in self.tok.model.tokenize(mapped)], self.dtype).tobytes()
+            ids = [t.id for t in self._tokenize(text.translate(self._signs))]
+            known = struct.pack(f"<{len(ids)}{self._letter}", *ids)
             if len(self._words) < REMEMBERED:
                 self._words[text] = known
         return known
 
-    def _piece(self, piece: str, led: bool) -> tuple[bytes, bool]:
-        plain = _PLAIN.fullmatch(piece)
-        if plain and (piece.isascii() or unicodedata.is_normalized("NFC", piece)):
-            word, rest = plain.groups()
-            word = word.lower() if self.lowers else " " + word if led else word
-            return self._model(word) + (self._model(rest) if rest else b""), True
-        lines = piece.split("\n")
-        if len(lines) > 1 and all(x and not any(map(str.isspace, x)) for x in lines):
-            return self._line_end.join([(self.inner if led else self.first)[lines[0]], *[self.first[x] for x in lines[1:]]]), False
-        return self._slow(" " + piece if led else piece), True
-
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if any(x in text for x in self.special):
-            return self._slow(text)
+            return self.slow(text)
         pieces = text.split(" ")
         try:
             return b"".join([self.first[pieces[0]], *map(self.inner.__getitem__, pieces[1:])])
         except _Irregular:
             pieces = _CUT.split(text)
             led = [" " + p for p in pieces[1:]]
-            return b"".join([self._slow(pieces[0]), *[self._slow(p) if any(map(str.isspace, p[1:])) else self.inner[p[1:]] for p in led]])
+            return b"".join([self.slow(pieces[0]), *[self.slow(p) if any(map(str.isspace, p[1:])) else self.inner[p[1:]] for p in led]])
 
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode(text), self.dtype)
