@@ -207,7 +207,10 @@ COEFFICIENTS = (
 
 
 def fit_folds(statistics: DataFrame, design: Design, model: str, candidates: Sequence[tuple[float, float | None]], scale: bool = True) -> DataFrame:
-    """Coefficients per (target, outer fold). With several candidates the inner split picks one by RMSE."""
+    """Coefficients per (target, outer fold). With several candidates the inner split picks one by RMSE.
+
+    Columns frozen_alpha and frozen_l1 of statistics, if there, give a target's one candidate instead.
+    """
     names, nullable, numeric = list(design.names), list(design.nullable), len(design.numeric)
     p, width = len(names), len(names) + len(nullable)
     folds = list(design.folds)
@@ -221,20 +224,21 @@ def fit_folds(statistics: DataFrame, design: Design, model: str, candidates: Seq
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         out, medians = [], rows["medians"].iloc[0]
+        options = [(rows["frozen_alpha"].iloc[0], rows["frozen_l1"].iloc[0])] if "frozen_alpha" in rows else candidates
         for fold in folds:
             train = rows[rows["fold"] != fold]
             if train.empty:
                 continue
             validates = (train["mask"].to_numpy() >> fold) & 1 == 1
             best, score = 0, None
-            if len(candidates) > 1 and validates.any() and not validates.all():
+            if len(options) > 1 and validates.any() and not validates.all():
                 inner_lift = lift(medians, fold, "inner")
                 fit_on = _imputed(_training_sums(train[~validates], width), inner_lift)
                 check_on = _imputed(_training_sums(train[validates], width), inner_lift)
-                scores = [_rmse(check_on, *_fit(fit_on, numeric, a, r, scale)[:2]) for a, r in candidates]
+                scores = [_rmse(check_on, *_fit(fit_on, numeric, a, r, scale)[:2]) for a, r in options]
                 best = int(np.argmin(scores))
                 score = scores[best]
-            alpha, l1 = candidates[best]
+            alpha, l1 = options[best]
             full_lift = lift(medians, fold, "full")
             sums = _imputed(_training_sums(train, width), full_lift)
             w, b0, mean, scaled = _fit(sums, numeric, alpha, l1, scale)
@@ -255,24 +259,24 @@ def elastic_net_grid() -> list[tuple[float, float]]:
 SALTS = 64
 
 
-def _meet(rows: DataFrame, coefficients: DataFrame) -> DataFrame:
+def _meet(rows: DataFrame, coefficients: DataFrame, on: Sequence[str] = ("fold",)) -> DataFrame:
     """Rows with the coefficients of their fold. Folds are few, so each is spread over 64 keys."""
     salted = coefficients.withColumnRenamed("outer_fold", "fold").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
-    return dealt.join(salted, ["fold", "_salt"]).drop("_salt")
+    return dealt.join(salted, [*on, "_salt"]).drop("_salt")
 
 
-def predict_folds(df: DataFrame, coefficients: DataFrame, design: Design, keep: Sequence[str] = ("cell_id", "group_id", "stratum")) -> DataFrame:
-    """Out-of-fold predictions: each row meets only coefficients fitted without its fold."""
+def predict_folds(df: DataFrame, coefficients: DataFrame, design: Design, keep: Sequence[str] = ("cell_id", "group_id", "stratum"), on: Sequence[str] = ("fold",)) -> DataFrame:
+    """Out-of-fold predictions: each row meets only coefficients fitted without its fold (and of its other keys in on)."""
     usable = [finite(F.col(c)) for c in design.numeric] + [
         F.coalesce((F.col(design.stratum) == v).cast("double"), F.lit(0.0)) for v in design.levels
     ]
-    rows = df.select(*keep, "fold", *[u.alias(f"_x{i}") for i, u in enumerate(usable)])
-    joined = _meet(rows, coefficients)
+    rows = df.select(*keep, *on, *[u.alias(f"_x{i}") for i, u in enumerate(usable)])
+    joined = _meet(rows, coefficients, on)
     value = F.col("intercept")
     for i in range(len(usable)):
         value = value + F.col("coef")[i] * F.coalesce(F.col(f"_x{i}"), F.col("median")[i])
-    return joined.select(*keep, "fold", "target", "model", value.alias("y_pred"))
+    return joined.select(*keep, *on, "target", "model", value.alias("y_pred"))
 
 
 def oof_linear(

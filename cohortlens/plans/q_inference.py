@@ -264,32 +264,32 @@ def _serpentine_sql(order: str, partition: str, rows: str, columns: str) -> str:
     SELECT *, row_number() OVER (PARTITION BY {partition} ORDER BY {order}) - 1 AS pos FROM ({rows}))"""
 
 
-@query(
-    "i09_stratified_group_folds",
-    _serpentine_sql(f"n_cells DESC, {md5_int(chr(39) + '42' + chr(39), 'group_id')}, group_id", "dominant", PROFILE_SQL, "group_id, n_cells, dominant"),
+def _stratified_sql(profile: str) -> str:
+    return _serpentine_sql(f"n_cells DESC, {md5_int(chr(39) + '42' + chr(39), 'group_id')}, group_id", "dominant", profile, "group_id, n_cells, dominant")
+
+
+FINISHED_FOLDS_SQL = _stratified_sql(PROFILE_SQL.replace("FROM cells", "FROM cells WHERE status = 'F'"))
+REPEATED_FOLDS_SQL = _serpentine_sql(
+    f"n_cells DESC, {md5_int('CAST(repeat_seed AS VARCHAR)', 'group_id')}, group_id", "repeat_seed, dominant",
+    f"SELECT * FROM ({PROFILE_SQL}), (SELECT CAST(unnest([101, 202, 303, 404, 505]) AS INTEGER) AS repeat_seed)", "repeat_seed, group_id, n_cells, dominant",
 )
+STRATUM_FOLDS_SQL = _serpentine_sql(
+    f"n_cells DESC, {md5_int(chr(39) + 'size' + chr(39), 'group_id')}, group_id", "stratum",
+    "SELECT stratum, group_id, count(*) AS n_cells FROM cells GROUP BY 1, 2", "stratum, group_id, n_cells",
+)
+
+
+@query("i09_stratified_group_folds", _stratified_sql(PROFILE_SQL))
 def i09(spark, sf):
     return folds.stratified_group_folds(v.cells(spark, sf), "group_id", "stratum", 3)
 
 
-@query(
-    "i09_repeated_folds",
-    _serpentine_sql(
-        f"n_cells DESC, {md5_int('CAST(repeat_seed AS VARCHAR)', 'group_id')}, group_id", "repeat_seed, dominant",
-        f"SELECT * FROM ({PROFILE_SQL}), (SELECT CAST(unnest([101, 202, 303, 404, 505]) AS INTEGER) AS repeat_seed)", "repeat_seed, group_id, n_cells, dominant",
-    ),
-)
+@query("i09_repeated_folds", REPEATED_FOLDS_SQL)
 def i09b(spark, sf):
     return folds.repeated_group_folds(v.cells(spark, sf), "group_id", "stratum", 3, [101, 202, 303, 404, 505])
 
 
-@query(
-    "i10_size_balanced_folds",
-    _serpentine_sql(
-        f"n_cells DESC, {md5_int(chr(39) + 'size' + chr(39), 'group_id')}, group_id", "stratum",
-        "SELECT stratum, group_id, count(*) AS n_cells FROM cells GROUP BY 1, 2", "stratum, group_id, n_cells",
-    ),
-)
+@query("i10_size_balanced_folds", STRATUM_FOLDS_SQL)
 def i10(spark, sf):
     return folds.size_balanced_folds(v.cells(spark, sf), ["stratum"], "group_id", 3)
 

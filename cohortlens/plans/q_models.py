@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlens.functions.rules import classify_omission
-from cohortlens.operators import boost, corr, expect, folds, genesets, gram, matching, metrics, ranks, resample
+from cohortlens.operators import boost, corr, cube, expect, folds, genesets, gram, matching, metrics, ranks, resample
 from cohortlens.plans import views as v
-from cohortlens.plans.q_inference import N_CONTROLS, matched
+from cohortlens.plans.q_inference import FINISHED_FOLDS_SQL, N_CONTROLS, REPEATED_FOLDS_SQL, STRATUM_FOLDS_SQL, matched
 from cohortlens.plans.q_metrics import dense
 from cohortlens.plans.q_tables import _gene_table
 from cohortlens.plans.registry import query
@@ -222,29 +222,123 @@ def j13(spark, sf):
     return metrics.regression_metrics(oof, ["module", "model"])
 
 
-@query("j14_within_stratum")
-def j14(spark, sf):
-    """Eligible strata analysed alone with their own size-balanced folds and bootstrap intervals."""
+SEEDS = [101, 202, 303, 404, 505]
+CUBE_KEYS = ("group_id", "stratum", "status")
+
+
+def cell_cube(spark, sf, features: tuple[str, ...] = v.FEATURES):
+    """(sums, values, centre, design) of the cells: one scan that all repeats, strata and cohorts are added up from."""
+    cells, design, name = v.cells(spark, sf), v.design(features=features), "_".join(features)
+    centre = cube.centre_of(cells, design, v.TARGETS)
+    sums = v.staged(spark, sf, f"cube_{name}", lambda: cube.group_sums(cells, design, v.TARGETS, CUBE_KEYS, centre))
+    values = v.staged(spark, sf, f"cube_values_{name}", lambda: cube.group_values(cells, design, CUBE_KEYS, centre)) if design.nullable else None
+    return sums, values, centre, design
+
+
+def repeat_runs(spark, sf) -> DataFrame:
+    found = folds.repeated_group_folds(v.cells(spark, sf), "group_id", "stratum", 3, SEEDS)
+    return found.select(v.text("repeat_seed").alias("run"), "group_id", "fold")
+
+
+def stratum_runs(spark, sf) -> DataFrame:
+    """Eligible strata with folds of their own."""
     cells = v.cells(spark, sf)
     eligible = folds.stratum_eligibility(cells, "stratum", "group_id", 150, 3).filter("eligible").select("stratum")
-    own = folds.size_balanced_folds(cells, ["stratum"], "group_id", 3).select("stratum", "group_id", "fold")
-    rows = cells.drop("fold").join(eligible, "stratum", "left_semi").join(own, ["stratum", "group_id"])
-    fitted = gram.ols_oof(rows.withColumn("module", F.col("stratum")).withColumn("y_true", F.col("line_value")), ["module"], "f1")
-    fitted = v.staged(spark, sf, "within_stratum", lambda: fitted.select("module", "cell_id", "group_id", "y_true", "y_pred"))
-    draws = resample.cluster_bootstrap(fitted, ["module"], n_resamples=50, spearman=False)
-    return metrics.regression_metrics(fitted, ["module"]).join(metrics.bootstrap_intervals(draws, ["module"], "r2"), "module")
+    own = folds.size_balanced_folds(cells, ["stratum"], "group_id", 3).join(eligible, "stratum", "left_semi")
+    return own.select(F.col("stratum").alias("run"), "stratum", "group_id", "fold")
+
+
+def restricted_runs(spark, sf) -> DataFrame:
+    """Finished orders alone, with new folds."""
+    finished = v.cells(spark, sf).filter("status = 'F'")
+    assigned = folds.stratified_group_folds(finished, "group_id", "stratum", 3)
+    return assigned.select(F.lit("restricted").alias("run"), F.lit("F").alias("status"), "group_id", "fold")
+
+
+def cube_oof(spark, sf, name: str, runs_of, candidates, frozen: DataFrame | None = None) -> DataFrame:
+    """Out-of-fold predictions of every run of an elastic net, written once."""
+
+    def build() -> DataFrame:
+        sums, values, centre, design = cell_cube(spark, sf)
+        runs = v.staged(spark, sf, f"{name}_runs", lambda: cube.with_inner_masks(runs_of(spark, sf), design))
+        statistics = cube.run_statistics(sums, values, runs, design)
+        if frozen is not None:
+            base = F.element_at(F.split("target", "@"), -1)
+            statistics = statistics.withColumn("_t", base).join(frozen.withColumnRenamed("target", "_t"), "_t").drop("_t")
+        coefficients, _ = cube.fit_runs(v.staged(spark, sf, f"{name}_statistics", lambda: statistics), design, centre, "elastic_net", candidates)
+        fitted = v.staged(spark, sf, f"{name}_coefficients", lambda: coefficients)
+        return cube.run_predictions(v.cells(spark, sf), runs, fitted, design, v.TARGETS)
+
+    return v.staged(spark, sf, f"{name}_oof", build)
+
+
+@query("j14_within_stratum")
+def j14(spark, sf):
+    """Eligible strata analysed alone, all targets: own size-balanced folds, inner selection, bootstrap intervals of the errors."""
+    fitted = cube_oof(spark, sf, "within", stratum_runs, gram.elastic_net_grid())
+    fitted = fitted.withColumnRenamed("target", "module").drop("run")
+    by = ["stratum", "module"]
+    draws = resample.cluster_bootstrap(fitted, by, n_resamples=200, spearman=False)
+    table = metrics.regression_metrics(fitted, by).join(fitted.groupBy(*by).agg(F.count_distinct("group_id").alias("n_groups")), by)
+    for name in ("r2", "mae", "rmse"):
+        ends = metrics.bootstrap_intervals(draws, by, name).drop("n_draws")
+        table = table.join(ends.withColumnsRenamed({"ci_low": f"{name}_ci_low", "ci_high": f"{name}_ci_high"}), by)
+    return table.withColumn("r2_descriptive_support", F.col("r2_ci_low") > 0)
 
 
 @query("j15_repeated_cv")
 def j15(spark, sf):
-    """Five regroupings with the primary configuration frozen; where the primary value lies among the repeats."""
-    cells, seeds = v.cells(spark, sf).drop("fold"), [101, 202, 303, 404, 505]
-    assigned = folds.repeated_group_folds(cells, "group_id", "stratum", 3, seeds).select("repeat_seed", "group_id", "fold")
-    rows = cells.join(assigned, "group_id").withColumn("y_true", F.col("line_value"))
-    fitted = gram.ols_oof(rows, ["repeat_seed"], "f1")
-    repeats = metrics.regression_metrics(fitted, ["repeat_seed"], spearman=False).withColumn("module", F.lit("line_value"))
-    primary = metrics.regression_metrics(v.oof(spark, sf, ("ols",)).filter("module = 'line_value'"), ["module"], spearman=False)
-    return metrics.repeat_stability(repeats, primary.withColumnRenamed("r2", "primary_value"), ["module"])
+    """Five regroupings with the configuration of the primary analysis' first fold; where each primary metric lies among the repeats."""
+    frozen = fits(spark, sf)[1].filter("outer_fold = 0").select("target", F.col("alpha").alias("frozen_alpha"), F.col("l1_ratio").alias("frozen_l1"))
+    fitted = cube_oof(spark, sf, "repeated", repeat_runs, [], frozen)
+    repeats = metrics.melt_metrics(metrics.regression_metrics(fitted.withColumnRenamed("target", "module"), ["run", "module"]), ["run", "module"])
+    primary = metrics.melt_metrics(metrics.regression_metrics(fits(spark, sf)[0], ["module"]), ["module"]).withColumnRenamed("value", "primary_value")
+    table = metrics.repeat_stability(repeats, primary, ["module", "metric"], "value")
+    return table.withColumn("fraction_gt0", F.when(F.col("metric") == "r2", F.col("fraction_gt0")))
+
+
+RIDGE_SQL = """WITH a AS ({assigned}), t AS (SELECT run, a.fold, module, f1, y_true FROM long_targets c JOIN a ON {on}),
+    s AS (SELECT run, module, k, avg(f1) AS mx, avg(y_true) AS my, covar_pop(f1, y_true) * count(*) AS xy, var_pop(f1) * count(*) AS xx
+    FROM t, folds3 WHERE t.fold <> k GROUP BY 1, 2, 3)
+    SELECT t.run, t.module AS target, count(*) AS n, 1 - sum(pow(y_true - my - xy / (xx + 1) * (f1 - mx), 2)) / (var_pop(y_true) * count(*)) AS r2,
+    sqrt(avg(pow(y_true - my - xy / (xx + 1) * (f1 - mx), 2))) AS rmse FROM t JOIN s ON s.run = t.run AND s.module = t.module AND s.k = t.fold GROUP BY 1, 2"""
+
+
+def cube_ridge(spark, sf, runs: DataFrame) -> DataFrame:
+    """Ridge on one predictor for all runs and targets, judged from the sums alone."""
+    sums, values, centre, design = cell_cube(spark, sf, ("f1",))
+    statistics = cube.run_statistics(sums, values, runs.withColumn("mask", F.lit(0)), design)
+    return cube.fit_runs(statistics, design, centre, "ridge", [(1.0, None)], scale=False)[1].select("run", "target", "n", "r2", "rmse")
+
+
+@query(
+    "j14_within_ridge",
+    RIDGE_SQL.format(
+        assigned=f"SELECT stratum AS run, stratum, group_id, fold FROM ({STRATUM_FOLDS_SQL}) WHERE stratum IN (SELECT stratum FROM cells GROUP BY 1 HAVING count(*) >= 150 AND count(DISTINCT group_id) >= 3)",
+        on="a.group_id = c.group_id AND a.stratum = c.stratum",
+    ),
+    ["r2", "rmse"],
+)
+def j14_ridge(spark, sf):
+    return cube_ridge(spark, sf, stratum_runs(spark, sf))
+
+
+@query(
+    "j15_repeated_ridge",
+    RIDGE_SQL.format(assigned=f"SELECT CAST(repeat_seed AS VARCHAR) AS run, group_id, fold FROM ({REPEATED_FOLDS_SQL})", on="a.group_id = c.group_id"),
+    ["r2", "rmse"],
+)
+def j15_ridge(spark, sf):
+    return cube_ridge(spark, sf, repeat_runs(spark, sf))
+
+
+@query(
+    "j21_restricted_ridge",
+    RIDGE_SQL.format(assigned=f"SELECT 'restricted' AS run, group_id, fold FROM ({FINISHED_FOLDS_SQL})", on="a.group_id = c.group_id AND c.status = 'F'"),
+    ["r2", "rmse"],
+)
+def j21_ridge(spark, sf):
+    return cube_ridge(spark, sf, restricted_runs(spark, sf))
 
 
 def standardised(spark, sf):
@@ -336,16 +430,24 @@ def j20(spark, sf):
 
 @query("j21_restricted_rerun")
 def j21(spark, sf):
-    """Finished orders alone with new folds, next to the full cohort, and whether the sign of R2 agrees."""
-    finished = v.cells(spark, sf).filter("status = 'F'").drop("fold")
-    assigned = folds.stratified_group_folds(finished, "group_id", "stratum", 3).select("group_id", "fold")
-    rows = finished.join(assigned, "group_id").unpivot(
-        ["cell_id", "group_id", "stratum", "fold", "f1"], list(v.TARGETS), "module", "y_true"
+    """Finished orders alone with new folds and new selection, next to the full cohort and its finished part.
+
+    Concordant: the rank correlation has the same sign and R2 moves by at most 0.10.
+    """
+    own = metrics.regression_metrics(cube_oof(spark, sf, "restricted", restricted_runs, gram.elastic_net_grid()).withColumnRenamed("target", "module"), ["module"])
+    primary = fits(spark, sf)[0]
+    finished = v.cells(spark, sf).filter("status = 'F'").select("cell_id")
+    full, part = (metrics.regression_metrics(x, ["module"]) for x in (primary, primary.join(finished, "cell_id", "left_semi")))
+
+    def suffixed(table: DataFrame, end: str) -> DataFrame:
+        return table.withColumnsRenamed({c: f"{c}_{end}" for c in ("n", *metrics.METRICS)})
+
+    table = suffixed(own, "core").join(suffixed(full, "full"), "module").join(suffixed(part, "subset"), "module")
+    delta, same = F.col("r2_core") - F.col("r2_full"), F.signum("spearman_core") == F.signum("spearman_full")
+    return table.select(
+        "*", delta.alias("delta_r2_core_full"), (F.col("r2_core") - F.col("r2_subset")).alias("delta_r2_core_subset"),
+        ((F.col("r2_core") > 0) & (F.col("r2_full") > 0)).alias("positive_r2_retained"), same.alias("same_sign"), (same & (F.abs(delta) <= 0.10)).alias("concordant"),
     )
-    restricted = metrics.regression_metrics(gram.ols_oof(rows, ["module"], "f1"), ["module"], spearman=False)
-    full = metrics.regression_metrics(v.oof(spark, sf, ("ols",)), ["module"], spearman=False)
-    table = metrics.compare_analyses(restricted, full, ["module"], ["r2", "mae", "rmse"])
-    return table.withColumn("same_sign", F.signum("value_a") == F.signum("value_b"))
 
 
 @query("j22_coefficient_ranks")
