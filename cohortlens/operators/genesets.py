@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.numeric import log2_cpm, safe_corr
 from cohortlens.functions.text import identifier_issue, last_rule
+from cohortlens.operators.blocks import set_products
 from cohortlens.operators.ranks import value_ranks
 
 
@@ -326,16 +327,8 @@ def target_definitions(standardised: DataFrame, loadings: DataFrame) -> DataFram
 
 
 def control_targets(expression: DataFrame, samples: DataFrame, sets: DataFrame) -> DataFrame:
-    """(sample_id, module, control_id, y) from weighted membership (module, control_id, gene, weight).
-
-    Zero rows of the full grid are unioned in before the one aggregation, so no second join is needed.
-    """
-    hits = expression.join(sets, "gene").select(
-        "sample_id", "module", "control_id", (F.col("x") * F.col("weight")).alias("y")
-    )
-    keys = sets.select("module", "control_id").distinct()
-    zeros = with_levels(samples.select("sample_id"), keys, ["module", "control_id"]).withColumn("y", F.lit(0.0))
-    return hits.unionByName(zeros).groupBy("sample_id", "module", "control_id").agg(F.sum("y").alias("y"))
+    """(sample_id, module, control_id, y) from weighted membership (module, control_id, gene, weight), for every sample and set."""
+    return set_products(expression, samples, sets, ["module", "control_id"], ["weight"]).withColumnRenamed("weight", "y")
 
 
 def incomplete_controls(sets: DataFrame, counts: DataFrame) -> DataFrame:

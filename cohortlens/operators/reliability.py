@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.numeric import choose, reliability_ratio, safe_corr, spearman_brown
 from cohortlens.functions.rng import hash32
 from cohortlens.functions.text import set_signature
+from cohortlens.operators.blocks import set_products
 from cohortlens.operators.metrics import observed_percentile
 from cohortlens.operators.ranks import value_ranks
 from cohortlens.session import cut_lineage
@@ -72,28 +73,21 @@ def _first_masks(sizes: DataFrame, by: list[str], draws: int, maximum: int, seed
     return first.withColumn("_rank", rank).filter(F.col("_rank") <= maximum).drop("_rank", "_draw")
 
 
-def half_scores(expression: DataFrame, sets: DataFrame, partitions: DataFrame, samples: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, mask, sample_id, a, b): mean of each half per sample and partition.
+def _single(expression: DataFrame) -> DataFrame:
+    """Single-precision values, whose sums in double are exact in any order."""
+    return expression.select("sample_id", "gene", F.col("x").cast("float").cast("double").alias("x"))
 
-    A sample's members are packed once per set (a set is short); halves are sums over that array.
-    """
+
+def half_scores(expression: DataFrame, sets: DataFrame, partitions: DataFrame, samples: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, mask, sample_id, a, b): mean of each half per sample and partition; each partition is a weighted set of its own."""
     by = list(by)
-    place = sets.withColumn("_i", (F.row_number().over(W.partitionBy(*by).orderBy("gene")) - 1).cast("int"))
-    hits = expression.join(place.select(*by, "gene", "_i"), "gene").select(
-        *by, "sample_id", F.struct("_i", F.col("x").cast("float").cast("double").alias("x")).alias("e")
-    )
-    grid = samples.select("sample_id").withColumn("_k", F.explode(sets.agg(F.collect_set(F.struct(*by))).scalar()))
-    grid = grid.select(*[F.col(f"_k.{c}").alias(c) for c in by], "sample_id", F.lit(None).cast("struct<_i:int,x:double>").alias("e"))
-    total = F.aggregate("members", F.lit(0.0), lambda acc, e: acc + e["x"])
-    vectors = hits.unionByName(grid).groupBy(*by, "sample_id").agg(F.collect_list("e").alias("members"))
-    spread = vectors.withColumn("_all", total).join(partitions, by)
+    place = sets.withColumn("_i", F.row_number().over(W.partitionBy(*by).orderBy("gene")))
+    inside = (F.substr(F.col("mask"), F.col("_i"), F.lit(1)) == "1").cast("double")
+    weighted = place.join(partitions, by).select(*by, "mask", "gene_n", "gene", inside.alias("_left"), F.lit(1.0).alias("_all"))
+    sums = set_products(_single(expression), samples, weighted, [*by, "mask", "gene_n"], ["_left", "_all"])
     left_n = F.floor(F.col("gene_n") / 2)
-    # Members are single-precision values added in double, so the sums are exact and the right half is the rest.
-    left = F.aggregate(
-        "members", F.lit(0.0), lambda acc, e: acc + F.when(F.substr(F.col("mask"), e["_i"] + 1, F.lit(1)) == "1", e["x"]).otherwise(0.0)
-    )
-    halves = spread.select(*by, "mask", "sample_id", "gene_n", "_all", left.alias("_left"))
-    return halves.select(
+    # the sums are exact, so the right half is the rest
+    return sums.select(
         *by,
         "mask",
         "sample_id",
@@ -102,6 +96,16 @@ def half_scores(expression: DataFrame, sets: DataFrame, partitions: DataFrame, s
     )
 
 
+def set_spread(expression: DataFrame, sets: DataFrame, samples: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, genes, set_signature, score_variance): members, their digest, and the variance of the mean score over the samples."""
+    by = list(by)
+    sums = set_products(_single(expression), samples, sets.withColumn("_y", F.lit(1.0)), by, ["_y"])
+    names = F.array_sort(F.collect_list("gene"))  # a set is short
+    members = sets.groupBy(*by).agg(F.concat_ws("|", names).alias("genes"), set_signature(F.collect_list("gene")).alias("set_signature"), F.count("gene").alias("_n"))
+    spread = sums.join(members, by).groupBy(*by, "genes", "set_signature").agg(F.var_pop(F.col("_y") / F.col("_n")).alias("score_variance"))
+    return spread
+
+
 def split_half_table(halves: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, mask, rho, sb) per partition."""
     keys = [*by, "mask"]
@@ -140,13 +144,19 @@ def reliability(expression: DataFrame, sets: DataFrame, samples: DataFrame, by:
     partitions = cut_lineage(balanced_partitions(sizes, by, maximum, seed))
     table = split_half_table(half_scores(expression, sets, partitions, samples, by), by)
     kinds = partitions.select(*by, "gene_n", "max_partitions", "method").distinct()
-    return split_half_summary(table, by).join(kinds, list(by))
+    return split_half_summary(table, by).join(kinds, list(by)).join(set_spread(expression, sets, samples, by), list(by))
 
 
 def reliability_percentile(controls: DataFrame, observed: DataFrame) -> DataFrame:
-    """Where the observed set's median Spearman-Brown falls among its controls."""
+    """Where the observed set's median Spearman-Brown and its score variance fall among its controls."""
     seen = observed.select("module", F.col("median_sb").alias("observed_median_sb"))
-    return observed_percentile(controls, seen, ["module"], "median_sb", "observed_median_sb")
+    spread = observed.select("module", F.col("score_variance").alias("observed_score_variance"))
+    placed = observed_percentile(controls, seen, ["module"], "median_sb", "observed_median_sb")
+    varied = observed_percentile(controls, spread, ["module"], "score_variance", "observed_score_variance").select(
+        "module", "observed_score_variance", F.col("percentile").alias("variance_percentile")
+    )
+    medians = controls.groupBy("module").agg(F.median("score_variance").alias("control_median_variance"), F.median("median_sb").alias("control_median_sb"))
+    return placed.join(varied, "module").join(medians, "module", "left")
 
 
 def reliability_context(control_r2: DataFrame, control_sb: DataFrame, observed: DataFrame) -> DataFrame:

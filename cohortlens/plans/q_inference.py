@@ -445,6 +445,18 @@ def k06(spark, sf):
     return observed_reliability(spark, sf).select("module", "partition_n", *SPLIT_DOUBLES)
 
 
+@query(
+    "k06_score_variance",
+    """SELECT module, genes, set_signature, var_pop(score) AS score_variance FROM (SELECT module, sample_id, sum(CAST(CAST(x AS FLOAT) AS DOUBLE)) / count(*) AS score FROM dense GROUP BY 1, 2)
+    JOIN (SELECT module, string_agg(gene, '|' ORDER BY gene) AS genes, sha256(string_agg(gene, chr(10) ORDER BY gene)) AS set_signature FROM present GROUP BY 1) USING (module) GROUP BY 1, 2, 3""",
+    ["score_variance"],
+)
+def k06b(spark, sf):
+    counts, library = v.counts(spark, sf), v.library(spark, sf)
+    present = genesets.present_members(v.requested(spark, sf), counts).select("module", "gene")
+    return reliability.set_spread(genesets.long_expression(counts, library), present, library, ["module"])
+
+
 def control_reliability(spark, sf):
     counts, library = v.counts(spark, sf), v.library(spark, sf)
     sets = matching.set_weights(matched(spark, sf)).select("module", "control_id", "gene")
