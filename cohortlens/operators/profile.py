@@ -12,7 +12,7 @@ from cohortlens.operators.ranks import exact_quantiles, top_k
 
 
 def column_profile(df: DataFrame, columns: Sequence[str], top: int = 20) -> DataFrame:
-    """Per column: missing, distinct values and the most frequent values as JSON text.
+    """Per column: missing, distinct values, the most frequent values as JSON text, and of numbers the exact quartiles.
 
     Values are stacked as text and counted once per (column, value); everything else derives from those counts.
     """
@@ -31,9 +31,13 @@ def column_profile(df: DataFrame, columns: Sequence[str], top: int = 20) -> Data
             F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "value", "n"))), lambda s: F.struct(s["value"], s["n"])))
         ).alias("top_values")
     )
+    numbers = [c for c, t in kinds.items() if t.split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")]
+    values = present.filter(F.col("column").isin(numbers)).select("column", finite(F.col("value").cast("double")).alias("x"), "n").filter(F.col("x").isNotNull())
+    spread = exact_quantiles(values, ["column"], "x", {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}, weight="n").drop("n")
     kind = F.create_map(*[F.lit(x) for item in kinds.items() for x in item])
     return (
         totals.join(tops, "column", "left")
+        .join(spread, "column", "left")
         .withColumn("dtype", F.element_at(kind, F.col("column")))
         .withColumn("missing_fraction", F.try_divide(F.col("n_missing").cast("double"), F.col("n_rows")))
     )

@@ -16,6 +16,11 @@ VIEWS = {
     "present": "SELECT * FROM requested WHERE gene IN (SELECT gene FROM counts)",
     "dense": """SELECT l.sample_id, p.module, p.gene, coalesce(c.cnt, 0) AS cnt, coalesce(c.x, 0.0) AS x
         FROM library l CROSS JOIN present p LEFT JOIN expression c ON c.sample_id = l.sample_id AND c.gene = p.gene""",
+    "every_set": """SELECT b.p_brand AS module, b.p_brand || '|' || CAST(s.i AS VARCHAR) AS gene, CAST(s.i AS INTEGER) AS ordinal
+        FROM (SELECT DISTINCT p_brand FROM part WHERE p_brand IS NOT NULL) b, (SELECT unnest(range(1, CAST((SELECT max(p_size) FROM part) AS INTEGER) + 1)) AS i) s""",
+    "every_present": "SELECT * FROM every_set WHERE gene IN (SELECT gene FROM counts)",
+    "every_dense": """SELECT l.sample_id, p.module, p.gene, coalesce(c.cnt, 0) AS cnt, coalesce(c.x, 0.0) AS x
+        FROM library l CROSS JOIN every_present p LEFT JOIN expression c ON c.sample_id = l.sample_id AND c.gene = p.gene""",
     "qc": """SELECT g.gene, CAST(sum(CASE WHEN cnt > 0 THEN 1 ELSE 0 END) AS BIGINT) AS detected_n, avg(x) AS mean_log2cpm,
         avg(CASE WHEN cnt > 0 THEN 1.0 ELSE 0.0 END) AS detection_rate, var_pop(x) AS variance_log2cpm
         FROM (SELECT l.sample_id, g.gene, coalesce(e.cnt, 0) AS cnt, coalesce(e.x, 0.0) AS x

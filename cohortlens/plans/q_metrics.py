@@ -35,9 +35,9 @@ def d02(spark, sf):
     )
 
 
-@query("d03_module_scores", "SELECT sample_id, module, count(*) AS n_genes, avg(x) AS score FROM dense GROUP BY 1, 2", ["score"])
+@query("d03_module_scores", "SELECT sample_id, module, count(*) AS n_genes, avg(x) AS score FROM every_dense GROUP BY 1, 2", ["score"])
 def d03(spark, sf):
-    return genesets.module_scores(v.counts(spark, sf), v.library(spark, sf), v.requested(spark, sf))
+    return genesets.module_scores(v.counts(spark, sf), v.library(spark, sf), v.every_set(spark, sf))
 
 
 @query(
@@ -45,24 +45,25 @@ def d03(spark, sf):
     """SELECT r.module, count(*) AS n_requested, count(p.gene) AS n_present, coalesce(string_agg(p.gene, ';' ORDER BY p.gene), '') AS genes_present,
     coalesce(string_agg(r.gene, ';' ORDER BY r.gene) FILTER (p.gene IS NULL), '') AS genes_missing, any_value(s.m) AS score_mean, any_value(s.sd) AS score_sd,
     count(p.gene) / count(*) AS coverage_fraction, count(p.gene) >= 2 AND count(p.gene) / count(*) >= 0.25 AS coverage_ok, count(p.gene) / count(*) < 0.5 AS coverage_warning
-    FROM requested r LEFT JOIN present p ON p.module = r.module AND p.gene = r.gene LEFT JOIN (
-    SELECT module, avg(score) AS m, stddev_samp(score) AS sd FROM (SELECT sample_id, module, avg(x) AS score FROM dense GROUP BY 1, 2) GROUP BY 1) s ON s.module = r.module GROUP BY 1""",
+    FROM every_set r LEFT JOIN every_present p ON p.module = r.module AND p.gene = r.gene LEFT JOIN (
+    SELECT module, avg(score) AS m, stddev_samp(score) AS sd FROM (SELECT sample_id, module, avg(x) AS score FROM every_dense GROUP BY 1, 2) GROUP BY 1) s ON s.module = r.module GROUP BY 1""",
     ["score_mean", "score_sd", "coverage_fraction"],
 )
 def d04(spark, sf):
-    counts, requested = v.counts(spark, sf), v.requested(spark, sf)
+    counts, requested = v.counts(spark, sf), v.every_set(spark, sf)
     return genesets.module_coverage(requested, counts, genesets.module_scores(counts, v.library(spark, sf), requested))
 
 
 def dense(spark, sf):
+    """Values of every brand's present genes in every sample, zeros included."""
     counts = v.counts(spark, sf)
     return v.staged(
-        spark, sf, "dense", lambda: genesets.dense_members(counts, v.library(spark, sf), genesets.present_members(v.requested(spark, sf), counts))
+        spark, sf, "dense", lambda: genesets.dense_members(counts, v.library(spark, sf), genesets.present_members(v.every_set(spark, sf), counts))
     )
 
 
 LOO_SQL = """SELECT sample_id, module, gene, cnt, x, s / m AS score, (s - x) / nullif(m - 1, 0) AS loo, m FROM (
-    SELECT *, sum(x) OVER (PARTITION BY sample_id, module) AS s, count(*) OVER (PARTITION BY sample_id, module) AS m FROM dense)"""
+    SELECT *, sum(x) OVER (PARTITION BY sample_id, module) AS s, count(*) OVER (PARTITION BY sample_id, module) AS m FROM every_dense)"""
 
 
 @query(
@@ -161,19 +162,21 @@ def d12b(spark, sf):
     return profile.cohort_counts(v.cells(spark, sf), ["stratum", "status", "fold"])
 
 
-PROFILED = ["lang", "source", "quality", "toxic"]
+PROFILED = ["lang", "source", "quality", "toxic", "n_chars"]
 
 
 @query(
     "d13_column_profile",
-    """WITH long AS (SELECT * FROM (SELECT lang, source, CAST(quality AS VARCHAR) AS quality, CAST(toxic AS VARCHAR) AS toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
-    UNPIVOT INCLUDE NULLS (value FOR "column" IN (lang, source, quality, toxic))),
+    """WITH long AS (SELECT * FROM (SELECT lang, source, CAST(quality AS VARCHAR) AS quality, CAST(toxic AS VARCHAR) AS toxic, CAST(n_chars AS VARCHAR) AS n_chars FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+    UNPIVOT INCLUDE NULLS (value FOR "column" IN (lang, source, quality, toxic, n_chars))),
     c AS (SELECT "column", value, count(*) AS n FROM long GROUP BY 1, 2),
-    t AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS rn FROM c WHERE value IS NOT NULL)
-    SELECT "column", CAST(sum(n) AS BIGINT) AS n_rows, CAST(coalesce(sum(n) FILTER (value IS NULL), 0) AS BIGINT) AS n_missing, count(value) AS n_distinct,
+    t AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS rn FROM c WHERE value IS NOT NULL),
+    q AS (SELECT "column", quantile_cont(CAST(value AS DOUBLE), [0, 0.25, 0.5, 0.75, 1]) AS q FROM long WHERE "column" IN ('quality', 'toxic', 'n_chars') GROUP BY 1)
+    SELECT "column", (SELECT q[1] FROM q WHERE q."column" = c."column") AS min, (SELECT q[2] FROM q WHERE q."column" = c."column") AS q1, (SELECT q[3] FROM q WHERE q."column" = c."column") AS median,
+    (SELECT q[4] FROM q WHERE q."column" = c."column") AS q3, (SELECT q[5] FROM q WHERE q."column" = c."column") AS max, CAST(sum(n) AS BIGINT) AS n_rows, CAST(coalesce(sum(n) FILTER (value IS NULL), 0) AS BIGINT) AS n_missing, count(value) AS n_distinct,
     (SELECT '{' || string_agg('"' || value || '":' || CAST(n AS VARCHAR), ',' ORDER BY rn) || '}' FROM t WHERE t."column" = c."column" AND rn <= 20) AS top_values,
-    CASE WHEN "column" IN ('quality', 'toxic') THEN 'int' ELSE 'string' END AS dtype, coalesce(sum(n) FILTER (value IS NULL), 0) / sum(n) AS missing_fraction FROM c GROUP BY 1""",
-    ["missing_fraction"],
+    CASE WHEN "column" IN ('quality', 'toxic') THEN 'int' WHEN "column" = 'n_chars' THEN 'bigint' ELSE 'string' END AS dtype, coalesce(sum(n) FILTER (value IS NULL), 0) / sum(n) AS missing_fraction FROM c GROUP BY 1""",
+    ["missing_fraction", "min", "q1", "median", "q3", "max"],
 )
 def d13(spark, sf):
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")

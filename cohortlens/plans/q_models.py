@@ -121,8 +121,8 @@ def control_fits(spark, sf):
     return gram.gram_performance(statistics, coefficients, design), named
 
 
-def observed_scores(spark, sf):
-    scores = genesets.module_scores(v.counts(spark, sf), v.library(spark, sf), v.requested(spark, sf))
+def observed_scores(spark, sf, sets=v.requested):
+    scores = genesets.module_scores(v.counts(spark, sf), v.library(spark, sf), sets(spark, sf))
     return scores.select(F.col("sample_id").alias("cell_id"), F.col("module").alias("target"), F.col("score").alias("y"))
 
 
@@ -353,7 +353,7 @@ def standardised(spark, sf):
 
 @query(
     "j16_zmean_definition",
-    """SELECT sample_id, module, avg(x) AS mean_score, avg((x - m) / s) AS zmean FROM (SELECT *, avg(x) OVER (PARTITION BY module, gene) AS m, stddev_pop(x) OVER (PARTITION BY module, gene) AS s FROM dense) GROUP BY 1, 2""",
+    """SELECT sample_id, module, avg(x) AS mean_score, avg((x - m) / s) AS zmean FROM (SELECT *, avg(x) OVER (PARTITION BY module, gene) AS m, stddev_pop(x) OVER (PARTITION BY module, gene) AS s FROM every_dense) GROUP BY 1, 2""",
     ["mean_score", "zmean"],
 )
 def j16(spark, sf):
@@ -399,7 +399,7 @@ def j17(spark, sf):
 def j18(spark, sf):
     """Leave-one-out scores judged against predictions made for the full set; nothing is refitted."""
     samples, design = v.samples(spark, sf), v.sample_design()
-    oof, _ = gram.oof_linear(samples, observed_scores(spark, sf), design, "fixed", FIXED)
+    oof, _ = gram.oof_linear(samples, observed_scores(spark, sf, v.every_set), design, "fixed", FIXED)
     loo = genesets.leave_one_out_scores(dense(spark, sf)).select(F.col("sample_id").alias("cell_id"), "module", "gene", "loo_score")
     rows = oof.join(loo, ["cell_id", "module"])
     full = {f"{k}_full": c.alias(f"{k}_full") for k, c in metrics.error_metrics("y_true", "y_pred").items()}
@@ -409,13 +409,13 @@ def j18(spark, sf):
 
 @query(
     "j19_alias_extended_target",
-    """WITH d AS (SELECT sample_id, module, sum(x) AS s, count(*) AS m FROM dense GROUP BY 1, 2)
+    """WITH d AS (SELECT sample_id, module, sum(x) AS s, count(*) AS m FROM every_dense GROUP BY 1, 2)
     SELECT d.sample_id, d.module, s / m AS score, (s + coalesce(e.x, 0.0)) / (m + 1) AS extended_score FROM d LEFT JOIN expression e ON e.sample_id = d.sample_id AND e.gene = 'Brand#7|1'""",
     ["score", "extended_score"],
 )
 def j19(spark, sf):
     counts, library = v.counts(spark, sf), v.library(spark, sf)
-    modules = v.requested(spark, sf).select("module").distinct().withColumn("gene", F.lit("Brand#7|1"))
+    modules = v.every_set(spark, sf).select("module").distinct().withColumn("gene", F.lit("Brand#7|1"))
     return genesets.alias_extended_scores(dense(spark, sf), genesets.dense_members(counts, library, modules))
 
 

@@ -72,6 +72,14 @@ def requested(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def every_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(module, gene, ordinal): every brand of part with every size up to the largest, whether or not a part has them."""
+    parts = table(spark, sf_dir, "part")
+    largest = parts.agg(F.max("p_size").cast("int")).scalar()
+    brands = parts.filter(F.col("p_brand").isNotNull()).select(F.col("p_brand").alias("module")).distinct()
+    return brands.withColumn("ordinal", F.explode(F.sequence(F.lit(1), largest))).select("module", F.concat_ws("|", "module", text("ordinal")).alias("gene"), "ordinal")
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order, exact whole-number sums: money in cents, rates in hundredths."""
 
