@@ -153,27 +153,68 @@ class Words:
         return out
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-5, rounds: int = 100) -> np.ndarray:
-    """Linear machine with a squared hinge and an intercept (last), by Newton steps over the rows inside the margin."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    weight = weight / weight.sum()
-    ridge = penalty * np.append(np.ones(x.shape[1] - 1), 1e-6)
+def _vectors(stored: list[bytes], root: np.ndarray) -> np.ndarray:
+    """Stored landmark values (none: all 0) in the Nystroem basis, with a 1 for the intercept at the end."""
+    width = len(root)
+    near = np.frombuffer(b"".join(v or bytes(2 * width) for v in stored), np.float16).reshape(-1, width)
+    return np.hstack([near.astype(np.float64) @ root, np.ones((len(near), 1))])
 
-    def loss(w: np.ndarray) -> float:
-        return float((weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum() + (ridge * w * w).sum())
 
-    w = np.zeros(x.shape[1])
+def _inside(x: np.ndarray, y: float, n: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss, products and sums of n rows of each x with label y that lie inside the margin of w."""
+    gap = 1 - y * (x @ w)
+    x, n, gap = x[gap > 0], n[gap > 0], gap[gap > 0]
+    return float((n * gap * gap).sum()), (x * n[:, None]).T @ x, y * (x * n[:, None]).sum(0)
+
+
+def svm(clean: DataFrame, root: np.ndarray, toxic: tuple[np.ndarray, np.ndarray], start: np.ndarray, penalty: float = 1e-5, rounds: int = 100) -> np.ndarray:
+    """Linear machine with a squared hinge and an intercept (last), by Newton steps over the rows inside the margin.
+
+    clean: x, n (landmark values and how often they occur), of any number of rows. A step reads them once and sums the
+    products of those inside the margin cell by cell; the driver holds one matrix. toxic: vectors and counts.
+    """
+    size = len(root) + 1
+    upper = np.triu_indices(size)
+    good, bad = float(toxic[1].sum()), float(clean.agg(F.sum("n")).first()[0] or 0)
+    weight = good / max(1.0, bad)
+    total = good + weight * bad
+    ridge = penalty * np.append(np.ones(size - 1), 1e-6)
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def add(batches):
+            loss, products, sums = 0.0, np.zeros((size, size)), np.zeros(size)
+            for batch in batches:
+                part = _inside(_vectors(batch["x"].tolist(), root), -1.0, batch["n"].to_numpy(np.float64), w)
+                loss, products, sums = loss + part[0], products + part[1], sums + part[2]
+            cells = np.concatenate([[loss], sums, products[upper]])
+            yield pd.DataFrame({"cell": np.arange(len(cells)), "v": cells})
+
+        cells = np.zeros(1 + size + len(upper[0]))
+        summed = clean.mapInPandas(add, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas()
+        cells[summed["cell"].to_numpy()] = summed["v"].to_numpy()
+        loss, products, sums = _inside(toxic[0], 1.0, toxic[1], w)
+        other = np.zeros((size, size))
+        other[upper] = cells[1 + size :]
+        other = np.triu(other) + np.triu(other, 1).T
+        return (
+            (loss + weight * cells[0]) / total + float((ridge * w * w).sum()),
+            (products + weight * other) / total,
+            (sums + weight * cells[1 : 1 + size]) / total,
+        )
+
+    w = start
+    loss, products, sums = at(w)
     for _ in range(rounds):
-        inside = y * (x @ w) < 1
-        near = x[inside].astype(np.float64)
-        part = near * weight[inside, None]
-        step = np.linalg.solve(part.T @ near + np.diag(ridge), part.T @ y[inside]) - w
-        size = 1.0
-        while loss(w + size * step) > loss(w) and size > 1e-6:
-            size /= 2
-        w = w + size * step
-        if np.abs(size * step).max() < 1e-9:
+        step, part = np.linalg.solve(products + np.diag(ridge), sums) - w, 1.0
+        if np.abs(step).max() < 1e-7:
+            break
+        new = at(w + step)
+        while new[0] > loss and part > 1e-6:
+            part /= 2
+            new = at(w + part * step)
+        if new[0] >= loss:
             break
+        w, (loss, products, sums) = w + part * step, new
     return w
 
 
@@ -251,30 +292,42 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
                 rows += [(key, toxic, x) for x in sorted(different)] or [(key, toxic, b"")]
             yield pd.DataFrame(rows, columns=["id", "toxic", "x"])
 
-    table = sample.mapInPandas(values, "id bigint, toxic int, x binary").toPandas()
+    # sentences stay in the shared folder; clean ones are counted by value, toxic ones keep their document
+    table = written(sample.mapInPandas(values, "id bigint, toxic int, x binary"), "sentences")
+    clean = written(table.filter("toxic = 0").groupBy("x").agg(F.count(F.lit(1)).alias("n")), "clean")
+    suspects = written(table.filter("toxic = 1").select("id", "x").distinct(), "suspects")
     gram = landmarks.near(words).astype(np.float64)
     own, basis = np.linalg.eigh((gram + gram.T) / 2)
     root = basis @ np.diag(1 / np.sqrt(np.maximum(own, 0.05))) @ basis.T
-    near = np.zeros((len(table), len(words)), np.float32)
-    for i, v in enumerate(table.pop("x")):
-        if v:
-            near[i] = np.frombuffer(v, np.float16)
-    x = (near @ root.astype(np.float32)).astype(np.float32)
-    toxic, doc = table["toxic"].to_numpy() == 1, pd.factorize(table["id"])[0]
-    looks = near.max(1)
+
+    def looks(w: np.ndarray | None):
+        """The decision value of each row, before the first round its largest landmark value."""
+
+        def value(batches):
+            for batch in batches:
+                x = batch["x"].tolist()
+                if w is None:
+                    batch["v"] = [float(np.frombuffer(b, np.float16).max(initial=0)) for b in x]
+                else:
+                    batch["v"] = _vectors(x, root) @ w if x else np.zeros(0)
+                yield batch
+
+        return value
+
+    w = None
     for _ in range(4):
-        order = np.lexsort((-looks, doc))
-        worst = np.zeros(len(x), bool)
-        worst[order[np.concatenate([[True], np.diff(doc[order]) != 0])]] = True
-        used = ~toxic | (worst & (near.max(1) > 0))  # a toxic document without any near word shows nothing
-        if not (used & toxic).any():
+        seen = suspects.filter(F.length("x") > 0)  # a toxic document without any near word shows nothing
+        seen = seen.mapInPandas(looks(w), "id bigint, x binary, v double")
+        worst = seen.groupBy("id").agg(F.min_by("x", F.struct(-F.col("v"), "x")).alias("x")).select("x").toPandas()["x"].tolist()
+        if not worst:
             return none
-        y = np.where(toxic[used], 1.0, -1.0)
-        weight = np.where(y > 0, 1.0, (y > 0).sum() / max(1, (y < 0).sum()))
-        w = svm(x[used], y, weight)
-        looks = x @ w[:-1] + w[-1]
-    best = pd.DataFrame({"doc": doc, "v": np.maximum(looks, w[-1]), "toxic": toxic}).groupby("doc").agg({"v": "max", "toxic": "first"})
-    slope, offset = sigmoid_of(best["v"].to_numpy(), np.where(best["toxic"], 1.0, -1.0))
+        # at most one row for each of the sampled toxic documents
+        positive = _vectors(worst, root), np.ones(len(worst))
+        w = svm(clean, root, positive, np.zeros(len(words) + 1) if w is None else w)
+    # one number for each sampled document
+    scored = table.mapInPandas(looks(w), "id bigint, toxic int, x binary, v double").groupBy("id").agg(F.max("v").alias("v"), F.first("toxic").alias("toxic"))
+    best = scored.select("v", "toxic").toPandas()
+    slope, offset = sigmoid_of(np.maximum(best["v"].to_numpy(), w[-1]), np.where(best["toxic"] == 1, 1.0, -1.0))
     return Model(landmarks, root, w, slope, offset)
 
 
