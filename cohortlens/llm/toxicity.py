@@ -27,6 +27,8 @@ LONGEST = 24
 SCREEN = 0.6
 FOLDS = 5
 REMEMBERED = 400_000
+#: Pairs of words that one pass of the kernel takes.
+STEP = 4096
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _SPACED = re.compile(r"(?<!\S)\w(?:\s\w){3,}(?!\S)")
 _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)")
@@ -42,21 +44,21 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def subsequence_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Kernel of row i of a with row i of b (letters as numbers, filled up with 0), by dynamic programming over all rows at once."""
     rows, n, m = len(a), a.shape[1], b.shape[1]
-    same = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] > 0)
+    across, down = np.ascontiguousarray(a.T)[:, None], np.ascontiguousarray(b.T)[None]
+    same = (across == down) & (across > 0)  # rows last, so that each step below reads them in one piece
     before = np.ones((n + 1, m + 1, rows), np.float32)
     square = np.float32(DECAY * DECAY)
     for _ in range(LENGTH - 1):
         now = np.zeros_like(before)
         for i in range(1, n + 1):
-            run = np.zeros(rows, np.float32)
-            for j in range(1, m + 1):
-                run = run * np.float32(DECAY) + same[:, i - 1, j - 1] * (square * before[i - 1, j - 1])
-                now[i, j] = now[i - 1, j] * np.float32(DECAY) + run
+            run = same[i - 1] * (square * before[i - 1, :-1])
+            for j in range(1, m):
+                run[j] += run[j - 1] * np.float32(DECAY)
+            now[i, 1:] = now[i - 1, 1:] * np.float32(DECAY) + run
         before = now
     out = np.zeros(rows, np.float64)
     for i in range(n):
-        for j in range(m):
-            out += same[:, i, j] * (square * before[i, j])
+        out += (same[i] * (square * before[i, :-1])).sum(0, dtype=np.float64)
     return out
 
 
@@ -98,12 +100,18 @@ class Landmarks:
                 common += np.bitwise_count(masks[:, word, None] & self.masks[None, :, word])
             w, l = np.nonzero((common >= SCREEN * self.bits) & (lengths[:, None] >= LENGTH))
             if len(w):
-                used, at = np.unique(w, return_inverse=True)
-                norm = np.sqrt(np.maximum(subsequence_kernel(codes[used], codes[used]), 1e-12))
-                for i in range(0, len(w), 16384):
-                    s = slice(i, i + 16384)
-                    value = subsequence_kernel(codes[w[s]], self.codes[l[s]])
-                    out[begin + w[s], l[s]] = value / (norm[at[s]] * self.norm[l[s]])
+                by_length = np.argsort(lengths[w], kind="stable")  # short words together need few columns
+                w, l = w[by_length], l[by_length]
+                norm, used = np.zeros(len(codes)), np.unique(w)
+                used = used[np.argsort(lengths[used], kind="stable")]
+                for i in range(0, len(used), STEP):
+                    x = used[i : i + STEP]
+                    own = codes[x, : lengths[x].max()]
+                    norm[x] = np.sqrt(np.maximum(subsequence_kernel(own, own), 1e-12))
+                for i in range(0, len(w), STEP):
+                    x, y = w[i : i + STEP], l[i : i + STEP]
+                    value = subsequence_kernel(codes[x, : lengths[x].max()], self.codes[y, : self.lengths[y].max()])
+                    out[begin + x, y] = value / (norm[x] * self.norm[y])
         return out
 
 
