@@ -11,9 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.functions.numeric import finite
 from cohortlens.functions.rng import UINT32
@@ -299,49 +302,82 @@ def bh_input_violations(df: DataFrame, by: Sequence[str], p: str, family_size: i
     )
 
 
+#: Where a curve begins: the state before its first epoch.
+_BEGIN = -(1 << 63)
+
+
+def _segment_moves(pdf: pd.DataFrame, run: str, min_delta: float, patience: int) -> pd.DataFrame:
+    """Where the rule stands at the end of a segment, for every epoch it may stand at on entry."""
+    pdf = pdf.sort_values("_step")
+    step, loss, n = pdf["_step"].to_numpy(np.int64), pdf["_loss"].to_numpy(np.float64), len(pdf)
+    follows, waiting = np.full(n, -1), np.arange(n)
+    for ahead in range(1, n):
+        waiting = waiting[waiting < n - ahead]
+        waiting = waiting[step[waiting + ahead] <= step[waiting] + patience]
+        if not len(waiting):
+            break
+        better = np.isnan(loss[waiting]) | (loss[waiting + ahead] < loss[waiting] - min_delta)
+        follows[waiting[better]] = waiting[better] + ahead
+        waiting = waiting[~better]
+    end = list(range(n))
+    for i in range(n - 1, -1, -1):
+        if follows[i] >= 0:
+            end[i] = end[follows[i]]
+    entry = np.flatnonzero(pdf["_entry"].to_numpy())
+    come = step[entry] if len(entry) else np.array([_BEGIN])
+    at = np.array(end)[entry if len(entry) else [0]]
+    return pd.DataFrame({run: pdf[run].iloc[0], "_segment": pdf["_segment"].iloc[0], "_from": come, "_to": step[at], "_loss": loss[at]})
+
+
+def _joined_moves(pdf: pd.DataFrame, run: str, merged: int) -> pd.DataFrame:
+    """Moves of neighbouring segments as one: what no segment moves stays where it is."""
+    states, group = None, int(pdf["_segment"].iloc[0]) // merged
+    for _, part in pdf.groupby("_segment", sort=True):
+        moves = dict(zip(part["_from"], zip(part["_to"], part["_loss"], strict=True), strict=True))
+        states = moves if states is None else {k: moves.get(v[0], v) for k, v in states.items()}
+    to, loss = zip(*states.values(), strict=True)
+    return pd.DataFrame({run: pdf[run].iloc[0], "_segment": group, "_from": list(states), "_to": to, "_loss": loss})
+
+
 def early_stopping(
-    df: DataFrame, run: str, step: str, loss: str, min_delta: float, patience: int, chunk: int = 4096
+    df: DataFrame, run: str, step: str, loss: str, min_delta: float, patience: int, chunk: int = 4096, merged: int = 512
 ) -> DataFrame:
-    """Where each learning curve would stop: an epoch counts only if it beats the best by min_delta.
+    """Where each learning curve would stop: an epoch counts only if it beats the best by min_delta (0 or more).
 
-    Only epochs that set a new minimum can count, so each curve is first thinned to those records
-    (chunk minima, then a running minimum inside a chunk) and the rule is folded over what is left.
-    """
-    chunked = df.select(run, F.col(step).cast("bigint").alias(step), F.col(loss).cast("double").alias(loss)).withColumn(
-        "_chunk", F.floor(F.col(step) / chunk)
-    )
-    lows = chunked.groupBy(run, "_chunk").agg(F.min(loss).alias("_low"))
-    before = W.partitionBy(run).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    lows = lows.select(run, "_chunk", F.min("_low").over(before).alias("_floor"))
-    inside = W.partitionBy(run, "_chunk").orderBy(step).rowsBetween(W.unboundedPreceding, -1)
-    records = (
-        chunked.join(lows, [run, "_chunk"])
-        .withColumn("_seen", F.least(F.min(loss).over(inside), F.col("_floor")))
-        .filter(F.col("_seen").isNull() | (F.col(loss) < F.col("_seen")))
-    )
-    last = df.groupBy(run).agg(F.max(F.col(step).cast("bigint")).alias("last_step"), F.count(F.lit(1)).alias("n_steps"))
-    curve = records.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(step, loss))).alias("_curve"))
-    start = F.struct(
-        F.lit(None).cast("double").alias("best"), F.lit(None).cast("bigint").alias("at"), F.lit(False).alias("done")
-    )
+    A curve is cut into segments of `chunk` epochs (`patience`, if that is more). The rule can only move on from the
+    last `patience` epochs before a segment, so a segment is a small table of moves from each of them to where the rule
+    stands at its end. Moves of neighbours are joined, `merged` at a time, until one table is left for a curve: no task sees
+    more than a segment or so many tables, whatever the length of the curve.
 
-    def advance(state, point):
-        late = state["done"] | (point[step] > state["at"] + patience)
-        improves = state["best"].isNull() | (point[loss] < state["best"] - F.lit(min_delta))
-        done = F.coalesce(late, F.lit(False))
-        take = improves & ~done
-        return F.struct(
-            F.when(take, point[loss]).otherwise(state["best"]).alias("best"),
-            F.when(take, point[step]).otherwise(state["at"]).alias("at"),
-            done.alias("done"),
-        )
-
-    folded = curve.select(run, F.aggregate("_curve", start, advance).alias("s"))
-    return folded.join(last, run).select(
+    Rows of one epoch count with their least loss. A null or NaN loss improves nothing, and any later epoch in reach
+    improves on it. Rows without a step count in n_steps only. An empty table gives an empty table.
+    """
+    if min_delta < 0:
+        raise ValueError("min_delta must be 0 or more")
+    size, at = max(chunk, patience, 1), F.col("_step")
+    rows = df.select(run, F.col(step).cast("bigint").alias("_step"), F.col(loss).cast("double").alias("_loss"))
+    points = rows.filter(at.isNotNull()).groupBy(run, "_step").agg(F.min("_loss").alias("_loss"))
+    bounds = points.agg(F.min("_step"), F.max("_step")).first()
+    begin, span = bounds[0] or 0, ((bounds[1] or 0) - (bounds[0] or 0)) // size
+    own = F.floor((at - begin) / F.lit(size)).cast("bigint")
+    placed = points.withColumns({"_segment": own, "_entry": F.lit(False)})
+    handed = placed.filter(at - begin >= (F.col("_segment") + 1) * size - patience)
+    placed = placed.unionByName(handed.withColumns({"_segment": F.col("_segment") + 1, "_entry": F.lit(True)}))
+    key = T.StructType([df.schema[run]])
+    for name, kind in (("_segment", T.LongType()), ("_from", T.LongType()), ("_to", T.LongType()), ("_loss", T.DoubleType())):
+        key = key.add(name, kind)
+    moves = placed.groupBy(run, "_segment").applyInPandas(lambda pdf: _segment_moves(pdf, run, min_delta, patience), key)
+    span += 1  # the last segment is handed on as well
+    while span:
+        moves = moves.groupBy(run, F.floor(F.col("_segment") / merged)).applyInPandas(lambda pdf: _joined_moves(pdf, run, merged), key)
+        span //= merged
+    last = rows.groupBy(run).agg(F.max("_step").alias("last_step"), F.count(F.lit(1)).alias("n_steps"))
+    return moves.filter(F.col("_from") == _BEGIN).join(last, run).select(
         run,
         "n_steps",
-        F.col("s.at").alias("best_step"),
-        F.col("s.best").alias("best_loss"),
-        F.least(F.col("s.at") + patience, F.col("last_step")).alias("stop_step"),
-        (F.col("s.at") + patience <= F.col("last_step")).alias("stopped_early"),
+        F.col("_to").alias("best_step"),
+        F.col("_loss").alias("best_loss"),
+        F.least(F.col("_to") + patience, F.col("last_step")).alias("stop_step"),
+        (F.col("_to") + patience <= F.col("last_step")).alias("stopped_early"),
     )
+

@@ -135,6 +135,38 @@ def test_early_stopping_follows_the_sequential_rule(spark):
         assert got[k]["best_loss"] == best
 
 
+@pytest.mark.parametrize("merged", [2, 512])
+def test_early_stopping_over_segments(spark, merged):
+    """Falling curves over many segments, gaps, repeated epochs, missing losses and steps below zero, by the plain rule."""
+    rng = random.Random(8)
+    rows = [("falling", i, 1e6 - i) for i in range(-300, 700)]
+    rows += [("gap", i, 50.0 - i) for i in range(20)] + [("gap", i, -100.0 - i) for i in range(200, 220)]
+    rows += [("holes", i, 90.0 - i) for i in range(0, 400, 6)] + [("holes", 401, 1.0), ("holes", 401, -900.0), ("holes", None, -1e9)]
+    rows += [("late", 0, None), ("late", 3, None), ("late", 5, 2.0), ("late", 6, None), ("late", 7, 1.0), ("one", 4, 1.5), ("none", 1, None)]
+    rows += [(f"walk{k}", i, sum(rng.random() for _ in range(4)) + 40 / (1 + i * k)) for k in range(1, 5) for i in range(150)]
+    df = spark.createDataFrame(rows, "run string, step int, loss double")
+    got = {r["run"]: r for r in ranks.early_stopping(df, "run", "step", "loss", 0.2, 7, chunk=16, merged=merged).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for run, row in got.items():
+        epochs = {}
+        for _, i, v in (r for r in rows if r[0] == run and r[1] is not None):
+            epochs[i] = min((x for x in (epochs.get(i), v) if x is not None), default=None)
+        at = best = None
+        for i in sorted(epochs):
+            if at is None:
+                at, best = i, epochs[i]
+            elif i > at + 7:
+                break
+            elif best is None or (epochs[i] is not None and epochs[i] < best - 0.2):
+                at, best = i, epochs[i]
+        last = max(epochs)
+        assert (row["best_step"], row["best_loss"], row["stop_step"], row["stopped_early"]) == (at, best, min(at + 7, last), at + 7 <= last), run
+        assert row["n_steps"] == sum(r[0] == run for r in rows)
+    assert ranks.early_stopping(df.limit(0), "run", "step", "loss", 0.2, 7).collect() == []
+    with pytest.raises(ValueError):
+        ranks.early_stopping(df, "run", "step", "loss", -0.1, 7)
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("a b", 1.0), (" x", float("inf")), ("", float("nan")), ("t\tb", None)], "s string, x double")
     got = df.select(text.identifier_issue(F.col("s")).alias("i"), numeric.finite(F.col("x")).alias("x"), text.first_token(F.col("s")).alias("t")).collect()
