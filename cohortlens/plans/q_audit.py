@@ -236,7 +236,7 @@ def s01(spark, sf):
     """Count files arrive in four batches; the running totals end equal to the batch job's."""
     path = v.scratch(spark)
     v.counts(spark, sf).repartition(4).write.parquet(path)
-    totals = count_qc.running_sample_totals(count_qc.count_stream(spark, path, 1))
-    name = "qc_" + path.rsplit("-", 1)[1]
-    count_qc.start(totals, name, v.scratch(spark)).awaitTermination()
-    return spark.table(name)
+    totals = count_qc.running_sample_totals(count_qc.once(count_qc.count_stream(spark, path, 1)))
+    table = v.scratch(spark)
+    count_qc.start_table(totals, table, v.scratch(spark)).awaitTermination()
+    return count_qc.current(spark, table, ["sample_id"])

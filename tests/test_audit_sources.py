@@ -152,3 +152,27 @@ def test_every_query_is_registered_once_and_runs_small(spark, sf):
     assert entry(spark).count() == 3
     for name in ("b05_candidate_eligibility", "d06_regression_metrics", "x02_exactly_once", "i09_stratified_group_folds"):
         assert names[name](spark, sf).count() > 0
+
+
+def test_stream_counts_a_repeated_file_once_and_goes_on_after_a_restart(spark, tmp_path):
+    rows = [(f"s{i % 3}", f"g{i}", i % 4) for i in range(60)]
+    path, table, state = (str(tmp_path / x) for x in ("in", "totals", "state"))
+
+    def arrive(part):
+        spark.createDataFrame(part, count_qc.COUNTS).coalesce(1).write.mode("append").parquet(path)
+
+    def run():
+        stream = count_qc.running_sample_totals(count_qc.once(count_qc.count_stream(spark, path, 1)))
+        count_qc.start_table(stream, table, state).awaitTermination()
+        return sorted(map(tuple, count_qc.current(spark, table, ["sample_id"]).collect()))
+
+    def plain(part):
+        held = {s: [c for t, _, c in part if t == s] for s, _, _ in part}
+        return sorted((s, sum(c), sum(x > 0 for x in c)) for s, c in held.items())
+
+    arrive(rows[:30])
+    arrive(rows[:30])
+    assert run() == plain(rows[:30])
+    arrive(rows[20:])
+    assert run() == plain(rows)
+    assert run() == plain(rows)
