@@ -4,7 +4,8 @@ A text's set needs an overlap of at least T with any partner. Its shingles' inve
 all but the T - t longest, are merged (grouped by shingle and counted per pair), and a partner must occur at least t
 times among them. A partner that is no smaller asks for a larger T, so the smaller of two texts enters still fewer
 lists: those are marked as its own. What remains is decided by probing the long lists, a binary search of each shingle
-in the partner.
+in the partner. Lists that many texts have among their own ones hold changed copies of one text; there the same
+search runs once more, over the lists of what each copy changed.
 Exact: the division only needs one order of all shingles that every set uses; how well it tells short lists from long
 ones (counts in 2^20 cells over all texts) only decides the speed.
 """
@@ -25,6 +26,10 @@ from cohortlens.llm.shingles import in_parts, shingle_hashes, shingle_sets
 CELL_BITS, CHUNK = 20, 1 << 16
 #: Pairs that one task decides, on average.
 PAIRS = 2000
+#: Shingles of both sides of the pairs that one task compares for their differences, on average.
+SET_SIZES = 1 << 21
+#: Lists that more texts have among their own ones are worked through by differences from a centre.
+MANY = 32
 #: Stars are repeated while a round finds more than one link for so many known ones.
 FEW = 4
 
@@ -105,33 +110,92 @@ def _enough(pairs: DataFrame) -> DataFrame:
     return counted.filter(F.col("shared") >= F.floor(F.least("na", "nb") / 32) + 1).select("a", "b")
 
 
-def decide(pairs: DataFrame, texts: DataFrame, k: int, share: int) -> DataFrame:
-    """The pairs (a, b) of classes with 100 * intersection >= share * union.
+def _over_sets(pairs: DataFrame, texts: DataFrame, k: int, blocks: int, row, schema: str) -> DataFrame:
+    """row(x, y, a, b) of every pair (a, b) of classes with the sets x and y, where it is not None.
 
     Pairs are dealt out by a; a text is sent once to each block that needs it, so a class with very many partners (b)
     is copied to the blocks instead of gathering its partners in one task.
     """
-    pairs = written(pairs, "pairs")
-    blocks = max(partitions(pairs.sparkSession), -(-pairs.count() // PAIRS))
     dealt = pairs.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int"))
     wanted = dealt.select("block", F.col("a").alias("cls")).unionByName(dealt.select("block", F.col("b").alias("cls"))).distinct()
     sent = wanted.join(texts, "cls").select(F.col("block").alias("to"), "cls", "text")
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def probe(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         sets: dict[int, np.ndarray] = {}
-        found, names = right["text"].tolist(), right["cls"].tolist()
+        found, own = right["text"].tolist(), right["cls"].tolist()
         for x, y in in_parts(found):
-            sets.update(zip(names[x:y], shingle_sets(found[x:y], k), strict=True))
-        kept = []
-        for a, b in zip(left["a"], left["b"], strict=True):
-            small, large = sorted((sets[a], sets[b]), key=len)
-            at = np.searchsorted(large, small)
-            both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-            if (100 + share) * both >= share * (len(small) + len(large)):
-                kept.append((a, b))
-        return pd.DataFrame(kept, columns=["a", "b"]).astype("int64")
+            sets.update(zip(own[x:y], shingle_sets(found[x:y], k), strict=True))
+        rows = (row(sets[a], sets[b], a, b) for a, b in zip(left["a"], left["b"], strict=True))
+        return pd.DataFrame([r for r in rows if r is not None], columns=names)
+
+    return dealt.groupBy("block").cogroup(sent.groupBy("to")).applyInPandas(probe, schema)
+
+
+def _shared(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+    """Which shingles of one set the other one holds: a binary search of each."""
+    return large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small
+
+
+def decide(pairs: DataFrame, texts: DataFrame, k: int, share: int) -> DataFrame:
+    """The pairs (a, b) of classes with 100 * intersection >= share * union."""
+    pairs = written(pairs, "pairs")
+
+    def linked(x, y, a, b):
+        small, large = sorted((x, y), key=len)
+        both = int(_shared(small, large).sum())
+        return (a, b) if (100 + share) * both >= share * (len(small) + len(large)) else None
+
+    blocks = max(partitions(pairs.sparkSession), -(-pairs.count() // PAIRS))
+    return _over_sets(pairs, texts, k, blocks, linked, "a bigint, b bigint")
+
 
-    return dealt.groupBy("block").cogroup(sent.groupBy("to")).applyInPandas(probe, "a bigint, b bigint")
+def _around_centres(wide: DataFrame, links: DataFrame | None, texts: DataFrame, k: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """(links with centres, pairs (a, b) that are still to be decided) for the lists with many members.
+
+    Members of such lists are mostly changed copies of one text. Each list gets a centre c (of its members the one with
+    the most links so far), and a member a is described by how it differs: shingles of c that it lacks and shingles
+    that c lacks. As |a n b| = |c| - |c - a| - |c - b| + shared differences, a and b link only if they share
+    r = T - |c| + |c - a| + |c - b| differences. If r <= 0 both link with c, and nothing is to be found. Otherwise the
+    same division as before is made among the lists of differences, rarest first and those of one member left out: of
+    the differences from the first shared one on, both must have r left.
+    """
+    degree = wide.select("cls").distinct().withColumn("links", F.lit(0))
+    if links is not None:
+        ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls")))
+        degree = degree.drop("links").join(ends.groupBy("cls").agg(F.count(F.lit(1)).alias("links")), "cls", "left")
+    ranked = wide.join(degree, "cls").select("list", "cls", "n", F.struct(F.coalesce("links", F.lit(0)).alias("links"), F.xxhash64("cls").alias("h"), "cls", "n").alias("rank"))
+    centres = ranked.groupBy("list").agg(F.max("rank").alias("c"))
+    near = wide.join(centres, "list").select(F.col("cls").alias("a"), F.col("c.cls").alias("b"), "n", F.col("c.n").alias("nc"), "comp").filter(F.col("a") != F.col("b")).distinct()
+    near = written(near, "near")
+
+    def differing(x, y, a, b):
+        more, less = x[~_shared(x, y)], y[~_shared(y, x)]
+        return a, b, len(less), np.concatenate([more, less]).view(np.int64)
+
+    signs = near.agg(F.sum(F.col("n") + F.col("nc"))).first()[0] or 0
+    blocks = max(partitions(near.sparkSession), -(-signs // SET_SIZES))
+    found = _over_sets(near.select("a", "b"), texts, k, blocks, differing, "a bigint, b bigint, lacks bigint, diff array<bigint>")
+    found = written(found, "differences")
+    known = near.join(found.select("a", "b", "lacks"), ["a", "b"])
+    # weight: (100 + share) * (lacks + its part of T), so that (100 + share) * r is the sum of two less that of |c|
+    whole = 100 + share
+    weighed = known.withColumns({"w": whole * F.col("lacks") + share * F.col("n"), "base": whole * F.col("nc")})
+    linked = known.filter(whole * (F.col("nc") - F.col("lacks")) >= share * (F.col("n") + F.col("nc"))).select("a", "b")
+
+    each = found.select("b", "a", F.explode("diff").alias("x"))
+    often = each.groupBy("b", "x").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1)
+    rare = each.join(often, ["b", "x"]).groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("diff"))
+    least = weighed.groupBy("b").agg(F.min("w").alias("least"))
+    state = weighed.join(rare, ["b", "a"]).join(least, "b").select("*", F.size("diff").alias("d"))
+    placed = state.select("a", "b", "comp", "w", "base", "least", "d", F.posexplode("diff").alias("p", "e")).withColumn("left", whole * (F.col("d") - F.col("p")))
+    placed = written(placed.filter(F.col("left") >= F.col("w") + F.col("least") - F.col("base")).select("a", "b", "comp", "w", "base", "left", F.col("e.x").alias("x")), "placed")
+    own = placed.filter(F.col("left") >= 2 * F.col("w") - F.col("base")).alias("s")
+    other = placed.select("b", "x", *[F.col(c).alias(f"{c}_o") for c in ("a", "comp", "w", "left")])
+    first = (F.col("w") < F.col("w_o")) | ((F.col("w") == F.col("w_o")) & (F.col("a") < F.col("a_o")))
+    enough = F.least("left", "left_o") >= F.col("w") + F.col("w_o") - F.col("base")
+    pairs = own.join(other, ["b", "x"]).filter(first & (F.col("comp") != F.col("comp_o")) & enough)
+    return linked, pairs.select("a", F.col("a_o").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, share: int = 85) -> DataFrame:
@@ -180,9 +244,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         total, turn = total + found, turn + 1
 
-    # every pair of components that meets in a list, member by member
+    # every pair of components that meets in a list: around a centre where a list is the own one of many, else member by member
     if found:
         open_ = _open(lists, comp)
+    wide = open_.groupBy("list").agg(F.count_if("own").alias("owners")).filter(F.col("owners") > MANY).select("list")
+    at_centre, near = _around_centres(open_.join(wide, "list"), links, texts, k, share)
+    open_ = open_.join(wide, "list", "left_anti")
     # the smaller of the two (of equal ones the one that comes first) has the list among its own
     meet = open_.select("list", F.col("comp").alias("comp_b")).distinct()
     crossing = open_.filter("own").select("list", F.col("comp").alias("comp_a")).distinct().join(meet, "list").filter(F.col("comp_a") != F.col("comp_b"))
@@ -190,7 +257,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     right = open_.select("list", F.col("comp").alias("comp_b"), F.col("cls").alias("b"), F.col("n").alias("nb"))
     smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     across = crossing.join(left, ["list", "comp_a"]).join(right, ["list", "comp_b"]).filter(_alike("na", "nb", share) & smaller)
-    last = written(decide(_enough(across), texts, k, share), "links")
+    last = written(decide(_enough(across).unionByName(near).distinct(), texts, k, share).unionByName(at_centre), "links")
     if not last.isEmpty():
         comp = _components(last if links is None else links.unionByName(last))
 

@@ -164,6 +164,26 @@ def test_near_copies(spark):
     assert kept == [i for i in range(len(texts)) if label[i] == i]
 
 
+@pytest.mark.parametrize("many", [2])
+def test_many_changed_copies_of_one_text(spark, monkeypatch, many):
+    """Copies that are linked with few others only: links that no centre has are found by what the copies changed."""
+    monkeypatch.setattr(jaccard, "MANY", many)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(70)]
+    changed = [*base[:30], *(f"v{i}" for i in range(8)), *base[38:]]
+    texts = []
+    for i in range(150):
+        own = list(base if i % 3 else changed)
+        for at in rng.choice(14, rng.integers(2, 6), replace=False):
+            own[int(at) * 5] = f"z{rng.integers(3)}"
+        texts.append(" ".join(own[: len(own) - int(rng.integers(3))]))
+    sizes, label = brute_components(texts, 4, 85)
+    assert 20 < len(set(label)) < 140 and len({x for x in label if label.count(x) > 1}) > 5
+    out = jaccard.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).toPandas().sort_values("doc_id")
+    assert out["n_shingles"].tolist() == sizes
+    assert out["component_id"].tolist() == label
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(st.sampled_from(list("aAbB \n\té")), max_size=30)), max_size=5))
 def test_shingles_equal_where_words_are(texts):
