@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortlens.functions.numeric import log2_cpm, safe_corr
+from cohortlens.functions.numeric import billionths, log2_cpm, safe_corr
 from cohortlens.functions.text import identifier_issue, last_rule
 from cohortlens.operators.blocks import set_products
 from cohortlens.operators.ranks import value_ranks
@@ -192,22 +192,19 @@ def module_coverage(requested: DataFrame, counts: DataFrame, scores: DataFrame)
 
 
 def module_dominance(dense: DataFrame) -> DataFrame:
-    """Part-whole and leave-one-out diagnostics per member. The rest of a set is sum minus the member."""
+    """Part-whole and leave-one-out diagnostics per member. The rest of a set is sum minus the member.
+
+    Sums are taken in whole billionths: samples with the same members' values tie, in whatever order they are added.
+    """
     member = W.partitionBy("sample_id", "module")
-    rows = dense.select(
-        "module",
-        "gene",
-        "cnt",
-        "x",
-        F.sum("x").over(member).alias("_s"),
-        F.count(F.lit(1)).over(member).alias("_m"),
-    )
+    rows = dense.select("sample_id", "module", "gene", "cnt", "x", billionths(F.col("x")).alias("_b"))
+    rows = rows.withColumns({"_s": F.sum("_b").over(member), "_m": F.count(F.lit(1)).over(member)})
     rows = rows.withColumns(
         {
-            "score": F.col("_s") / F.col("_m"),
-            "loo": F.when(F.col("_m") > 1, (F.col("_s") - F.col("x")) / (F.col("_m") - 1)),
+            "score": F.col("_s") / (F.col("_m") * F.lit(1e9)),
+            "loo": F.when(F.col("_m") > 1, (F.col("_s") - F.col("_b")) / ((F.col("_m") - 1) * F.lit(1e9))),
         }
-    )
+    ).drop("sample_id", "_b", "_s")
     keys = ["module", "gene"]
     ranked = value_ranks(rows, keys, {"x": "rx", "score": "rs", "loo": "rl"})
     table = ranked.groupBy(*keys).agg(

@@ -66,11 +66,16 @@ LOO_SQL = """SELECT sample_id, module, gene, cnt, x, s / m AS score, (s - x) / n
     SELECT *, sum(x) OVER (PARTITION BY sample_id, module) AS s, count(*) OVER (PARTITION BY sample_id, module) AS m FROM every_dense)"""
 
 
+#: Scores with and without a member from sums of whole billionths, so that equal samples tie.
+DOMINANCE_SQL = """SELECT sample_id, module, gene, cnt, x, s / (m * 1e9) AS score, (s - b) / nullif((m - 1) * 1e9, 0) AS loo, m FROM (
+    SELECT *, CAST(sum(b) OVER (PARTITION BY sample_id, module) AS DOUBLE) AS s, count(*) OVER (PARTITION BY sample_id, module) AS m FROM (SELECT *, CAST(floor(x * 1e9 + 0.5) AS BIGINT) AS b FROM every_dense))"""
+
+
 @query(
     "d05_module_dominance",
     f"""WITH r AS (SELECT *, rank() OVER (PARTITION BY module, gene ORDER BY x) + (count(*) OVER (PARTITION BY module, gene, x) - 1) / 2.0 AS rx,
     rank() OVER (PARTITION BY module, gene ORDER BY score) + (count(*) OVER (PARTITION BY module, gene, score) - 1) / 2.0 AS rs,
-    rank() OVER (PARTITION BY module, gene ORDER BY loo) + (count(*) OVER (PARTITION BY module, gene, loo) - 1) / 2.0 AS rl FROM ({LOO_SQL})),
+    rank() OVER (PARTITION BY module, gene ORDER BY loo) + (count(*) OVER (PARTITION BY module, gene, loo) - 1) / 2.0 AS rl FROM ({DOMINANCE_SQL})),
     t AS (SELECT module, gene, var_samp(x) AS gene_variance, avg(CASE WHEN cnt > 0 THEN 1.0 ELSE 0.0 END) AS nonzero_fraction, corr(x, score) AS gene_module_pearson,
     corr(rx, rs) AS gene_module_spearman, corr(x, loo) AS gene_loo_pearson, corr(rx, rl) AS gene_loo_spearman, corr(rs, rl) AS module_loo_spearman,
     covar_samp(x / m, score) / var_samp(score) AS covariance_share FROM r GROUP BY 1, 2)

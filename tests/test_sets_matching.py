@@ -199,3 +199,14 @@ def test_partitions_are_drawn_until_there_are_enough(spark):
     assert (found["n"] == found["rows"]).all() and (found["n"] == found["ways"].clip(upper=100)).all()
     assert ((found["ways"] <= 100) == (found["method"] == "exhaustive")).all()
     assert all(m.count("1") == len(m) // 2 for m in out["mask"])
+
+
+def test_samples_with_equal_scores_tie_in_any_order_of_members(spark):
+    values = {"s1": (0.1, 0.2, 0.3), "s2": (0.3, 0.2, 0.1), "s3": (0.2, 0.3, 0.1), "s4": (0.9, 0.4, 0.8), "s5": (0.0, 0.1, 0.05)}
+    rows = [(s, "m", f"g{i}", 1, x) for s, xs in values.items() for i, x in enumerate(xs)]
+    dense = spark.createDataFrame(rows, "sample_id string, module string, gene string, cnt long, x double").coalesce(1)
+    got = {r.gene: r for r in genesets.module_dominance(dense).collect()}
+    scores = [0.2, 0.2, 0.2, 0.7, 0.05]
+    for i in range(3):
+        loo = [round((sum(xs) - xs[i]) / 2, 6) for xs in values.values()]
+        assert got[f"g{i}"].module_loo_spearman == pytest.approx(spearman(scores, loo), abs=1e-12)
