@@ -212,3 +212,13 @@ def test_top_fraction_with_long_common_prefixes(spark, monkeypatch):
         own = sorted(((-s, i.encode()) for k, i, s in rows if k == g))
         want = {i for _, i in own[: -(-len(own) * 37 // 100)]}
         assert {r.id.encode() for r in out if r.g == g} == want
+
+
+def test_ranges_do_not_depend_on_the_order_rows_arrive_in(spark):
+    rows = spark.range(400_000).select(F.lit("k").alias("g"), (F.xxhash64("id") % 1_000_003).alias("v"), F.col("id"), F.lit(1).cast("bigint").alias("w"))
+    orders = [rows.orderBy("id"), rows.orderBy(F.desc("v")), rows.repartition(13, "v").sortWithinPartitions("v")]
+    fractions = [i / 64 for i in range(1, 64)]
+    cuts = [ranks._with_ranges(o, ["g"], "v", "w", 64, ["id"]).groupBy("_range").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("n")) for o in orders]
+    first, *others = [sorted(map(tuple, c.collect())) for c in cuts]
+    assert len(first) == len(fractions) + 1 and all(o == first for o in others)
+    assert max(r[3] for r in first) < 3 * 400_000 / 64
