@@ -48,7 +48,8 @@ def _replicate_errors(df: DataFrame, by, group, y, preds, groups: DataFrame, pla
     by = list(by)
     stats = _group_stats(df, by, group, y, preds).join(groups.select(group, "slot"), group).drop(group)
     sums = ["n", "sy", "syy"] + [f"{k}_{p}" for p in preds for k in ("abs", "sq")]
-    drawn = plan.join(stats, "slot").groupBy(*by, "replicate").agg(*[F.sum(c).alias(c) for c in sums])
+    # The plan has n_resamples rows a group, which Spark does not see in its estimate: it must stream, never be broadcast.
+    drawn = plan.join(stats.hint("shuffle_hash"), "slot").groupBy(*by, "replicate").agg(*[F.sum(c).alias(c) for c in sums])
     n = F.col("n")
     sst = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n)
     out = []

@@ -143,3 +143,11 @@ def test_groups_with_equal_rows_tie_in_any_order_of_rows(spark):
     got = {r.group_id: r for r in resample.group_level_means(df, ["module"], "group_id", "stratum").collect()}
     assert got["a"].y_true == got["b"].y_true == got["c"].y_true != got["d"].y_true
     assert got["a"].y_pred == got["b"].y_pred == got["c"].y_pred
+
+
+def test_draws_are_never_broadcast(spark):
+    rows = spark.range(3000).select(F.lit("m").alias("module"), F.col("id").cast("string").alias("group_id"), F.rand(1).alias("y_true"), F.rand(2).alias("y_pred"))
+    draws = resample.cluster_bootstrap(resample.cut_lineage(rows), ["module"], n_resamples=50, spearman=False)
+    draws.collect()
+    plan = draws._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [slot" in plan and "BroadcastHashJoin [slot" not in plan
