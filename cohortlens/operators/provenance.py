@@ -2,28 +2,114 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions.numeric import finite
 from cohortlens.functions.rng import hash32
 
 
-def artifact_manifest(spark: SparkSession, root: str, strip: str = "", glob: str | None = None) -> DataFrame:
-    """(path, bytes, sha256, suffix) of every finished file under root, hashed on the executors."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
+#: Files up to this size are hashed whole by one task; larger ones in blocks, by as many tasks as Spark splits them into.
+WHOLE_BYTES = 64 << 20
+BLOCK_BYTES = 4 << 20
+#: Names that Spark's line reader would unpack: such files are hashed whole, whatever their size.
+_PACKED = r"(?i)\.(gz|bz2|deflate|lz4|snappy|zst|zstd)$"
+
+
+def _block_pieces(batches: Iterator[pa.RecordBatch], offsets: dict, lengths: dict, size: int) -> Iterator[pa.RecordBatch]:
+    """Digests of the blocks that lie inside one split; of blocks on the edge of a split, its bytes."""
+
+    def piece(file: int, at: int, held: bytes) -> pa.RecordBatch:
+        whole = len(held) == size
+        row = (file, at // size, at % size, len(held), hashlib.sha256(held).digest() if whole else None, None if whole else held)
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+
+    kinds = [pa.int64()] * 4 + [pa.binary()] * 2
+    schema = pa.schema(list(zip(["_file", "_block", "_at", "_bytes", "_digest", "_raw"], kinds, strict=True)))
+    split, at, held = None, 0, bytearray()
+    for batch in batches:
+        files, starts, lines = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+        turns = np.flatnonzero((np.diff(files) != 0) | (np.diff(starts) != 0)) + 1
+        for low, high in zip([0, *turns], [*turns, len(files)], strict=True):
+            if low == high:
+                continue
+            here = (int(files[low]), int(starts[low]))
+            if here != split:
+                if held:
+                    yield piece(split[0], at, bytes(held))
+                split, at, held = here, offsets[here], bytearray()
+            held += b"\n".join(lines.slice(low, high - low).to_pylist()) + b"\n"
+            del held[max(0, lengths[split[0]] - at) :]  # the last line of a file may have no end
+            while at % size + len(held) >= size:
+                cut = size - at % size
+                yield piece(split[0], at, bytes(held[:cut]))
+                at, held = at + cut, held[cut:]
+    if held:
+        yield piece(split[0], at, bytes(held))
+
+
+def block_digests(lines: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
+    """(_file, _read, sha256) from (_file, _size, _start, value): the digest of the digests of a file's blocks, in order.
+
+    lines are a file's bytes cut at line ends, in order within each split. A first scan adds up the bytes of the splits,
+    so that the second knows where in the file each begins; blocks do not depend on where Spark cuts.
+    """
+    sums = lines.groupBy("_file", "_start").agg(F.sum(F.octet_length("value") + 1).alias("n"), F.max("_size").alias("size"))
+    offsets, lengths, ends = {}, {}, {}
+    for r in sums.orderBy("_file", "_start").toLocalIterator():  # one row a split
+        offsets[r["_file"], r["_start"]], lengths[r["_file"]] = ends.get(r["_file"], 0), r["size"]
+        ends[r["_file"]] = ends.get(r["_file"], 0) + r["n"]
+    pieces = lines.select("_file", "_start", "value").mapInArrow(
+        lambda batches: _block_pieces(batches, offsets, lengths, size),
+        "_file bigint, _block bigint, _at bigint, _bytes bigint, _digest binary, _raw binary",
+    )
+    edges = F.transform(F.sort_array(F.collect_list(F.when(F.col("_raw").isNotNull(), F.struct("_at", "_raw")))), lambda e: e["_raw"])
+    joined = F.aggregate(edges, F.lit(b""), lambda a, e: F.concat(a, e))
+    blocks = pieces.groupBy("_file", "_block").agg(
+        F.sum("_bytes").alias("_bytes"), F.coalesce(F.max("_digest"), F.unhex(F.sha2(joined, 256))).alias("_digest")
+    )
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("_block", "_digest"))), lambda e: F.hex(e["_digest"]))
+    return blocks.groupBy("_file").agg(F.sum("_bytes").alias("_read"), F.sha2(F.unhex(F.concat_ws("", ordered)), 256).alias("sha256"))
+
+
+def artifact_manifest(
+    spark: SparkSession, root: str, strip: str = "", glob: str | None = None, whole: int = WHOLE_BYTES, block: int = BLOCK_BYTES
+) -> DataFrame:
+    """(path, bytes, sha256, suffix) of every finished file under root, hashed on the executors.
+
+    sha256 is that of the content; of a file above `whole` bytes it is the SHA-256 of the SHA-256 digests (32 bytes each)
+    of its blocks of `block` bytes, in order, so that no task reads more than a split of it.
+    """
+
+    def reader(fmt: str) -> DataFrameReader:
+        made = spark.read.format(fmt).option("recursiveFileLookup", True)
+        return made.option("pathGlobFilter", glob) if glob else made
+
     name = F.regexp_replace("path", r"^file:/+", "/")
     if strip:
         name = F.regexp_replace(name, "^" + strip.rstrip("/") + "/", "")
-    files = reader.load(root).select(
-        name.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
+    uri, length = F.col("_metadata.file_path"), F.col("_metadata.file_size")
+    all_files = reader("binaryFile").load(root)
+    unfinished, packed = F.col("path").rlike(r"(\.tmp|\.partial|\.crc)$|/_temporary/"), F.col("path").rlike(_PACKED)
+    named = [name.alias("path"), F.col("length").alias("bytes")]
+    small = all_files.filter(length <= whole).select(*named, F.sha2("content", 256).alias("sha256"))
+    # Named by _metadata, files are left out before they are opened; by path, only after their content was read.
+    kept = all_files.filter((length > whole) & uri.rlike(_PACKED)).select(*named, F.sha2("content", 256).alias("sha256"))
+    large = all_files.filter((F.col("length") > whole) & ~packed & ~unfinished).select(*named, F.xxhash64(uri).alias("_file"))
+    lines = (
+        reader("text").option("lineSep", "\n").load(root)
+        .filter((length > whole) & ~uri.rlike(_PACKED) & ~uri.rlike(r"(\.tmp|\.partial|\.crc)$|/_temporary/"))
+        .select(F.xxhash64(uri).alias("_file"), length.alias("_size"), F.col("_metadata.file_block_start").alias("_start"), F.col("value").cast("binary").alias("value"))
     )
-    unfinished = F.col("path").rlike(r"(\.tmp|\.partial|\.crc)$|/_temporary/")
-    return files.filter(~unfinished).withColumn("suffix", F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1))
+    complete = F.when(F.col("_read") == F.col("bytes"), F.col("sha256")).otherwise(F.raise_error(F.concat(F.lit("not read in full: "), F.col("path"))))
+    blocked = large.join(block_digests(lines, block), "_file", "left").select("path", "bytes", complete.alias("sha256"))
+    files = small.unionByName(kept).filter(~unfinished).unionByName(blocked)
+    return files.withColumn("suffix", F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1))
 
 
 def manifest_status(recorded: DataFrame, actual: DataFrame) -> DataFrame:

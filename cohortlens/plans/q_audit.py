@@ -12,6 +12,7 @@ from cohortlens.plans.q_metrics import DRAWS20
 from cohortlens.plans.q_models import attributions, fits
 from cohortlens.plans.q_tables import _manifest
 from cohortlens.plans.registry import query
+from cohortlens.session import cut_lineage
 from cohortlens.sources import sinks
 from cohortlens.sources.tables import table
 from cohortlens.streaming import count_qc
@@ -77,7 +78,7 @@ def x06(spark, sf):
 
 def _altered_manifest(spark, sf):
     """The manifest as recorded, with the marks of what can go wrong derived from it."""
-    kept = _manifest(spark, sf).select("path", "bytes", "sha256")
+    kept = cut_lineage(_manifest(spark, sf).select("path", "bytes", "sha256"))
     named = F.col("path")
     wrong = kept.withColumn("bytes", F.when(named.startswith("n"), F.col("bytes") + 1).otherwise(F.col("bytes"))).withColumn(
         "sha256", F.when(named.startswith("r"), F.lit("0")).otherwise(F.col("sha256"))
@@ -96,10 +97,9 @@ def x08(spark, sf):
 @query("x09_stage_receipts")
 def x09(spark, sf):
     """A stage's receipt written as a table and checked against the files as they are and as altered."""
-    manifest = _manifest(spark, sf)
     path = v.scratch(spark)
-    sinks.write_table(provenance.stage_receipt(manifest, "inputs", ""), path)
-    receipt = spark.read.parquet(path)
+    sinks.write_table(provenance.stage_receipt(_manifest(spark, sf), "inputs", ""), path)
+    receipt, manifest = spark.read.parquet(path), cut_lineage(_manifest(spark, sf))
     same = provenance.receipt_valid(receipt, manifest).withColumn("against", F.lit("same"))
     other = provenance.receipt_valid(receipt, manifest.withColumn("sha256", F.when(F.col("path").startswith("r"), F.lit("0")).otherwise(F.col("sha256"))))
     return same.unionByName(other.withColumn("against", F.lit("altered")))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,3 +177,26 @@ def test_stream_counts_a_repeated_file_once_and_goes_on_after_a_restart(spark, t
     arrive(rows[20:])
     assert run() == plain(rows)
     assert run() == plain(rows)
+
+
+@pytest.mark.parametrize("split", [1000, 4096, 50_000])
+def test_large_files_are_hashed_in_blocks_wherever_they_are_split(spark, tmp_path, split):
+    rng = random.Random(3)
+    contents = {
+        "noise.bin": rng.randbytes(70_001), "ends.bin": rng.randbytes(40_959) + b"\n", "lines.bin": b"\r\n\n" * 9_000, "few.bin": b"x" * 30_000 + b"\n" + b"y" * 9_000,
+        "with blank%20+.bin": rng.randbytes(20_480), "small.bin": rng.randbytes(8_192), "packed.gz": rng.randbytes(9_000), "gone.bin.tmp": rng.randbytes(9_000),
+    }
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+
+    def digest(data, size=4096):
+        return hashlib.sha256(b"".join(hashlib.sha256(data[i : i + size]).digest() for i in range(0, len(data), size))).hexdigest()
+
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        got = {r.path: (r.bytes, r.sha256) for r in provenance.artifact_manifest(spark, str(tmp_path), strip=str(tmp_path), whole=8_192, block=4096).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    plain = {n: hashlib.sha256(contents[n]).hexdigest() for n in ("small.bin", "packed.gz")}
+    assert got == {n: (len(d), plain.get(n) or digest(d)) for n, d in contents.items() if not n.endswith(".tmp")}
