@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cohortlens.llm.common import partitions, shared_path, written
-from cohortlens.llm.tokens import encoder
+from cohortlens.llm.tokens import encoder, forget
 
 
 class _Plan:
@@ -201,6 +201,7 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     ranked = stored.join(earlier.hint("shuffle_hash"), "part").select("doc_id", "piece", "length", "ids", rank.alias("rank"))
 
     def place(batches):
+        forget()
         for batch in batches:
             rank, length = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rank", "length"))
             at = np.searchsorted(keys, length << 44 | rank, "right") - 1
@@ -239,6 +240,7 @@ def pack_documents(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: in
     rows = pack_pieces(token_pieces(docs, vocab, end_id, capacity, **columns), capacity)
 
     def build(batches):
+        forget()
         held = None  # the last sequence, which may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
@@ -263,6 +265,7 @@ def piece_digests(sequences: DataFrame, capacity: int = 4096) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of the pieces as they lie in the sequences."""
 
     def digests(batches):
+        forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -125,3 +126,10 @@ def encoder(vocab: str) -> Encoder:
     if vocab not in _ENCODERS:
         _ENCODERS[vocab] = Encoder(vocab)
     return _ENCODERS[vocab]
+
+
+def forget() -> None:
+    """Gives back the memory of a worker's encoders: for steps that come after the last token."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()  # encoders and their pieces refer to each other
