@@ -9,7 +9,7 @@ sums are taken inside a range, and the small per-range totals supply the offsets
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -326,10 +326,9 @@ def bh_input_violations(df: DataFrame, by: Sequence[str], p: str, family_size: i
 _BEGIN = -(1 << 63)
 
 
-def _segment_moves(pdf: pd.DataFrame, run: str, min_delta: float, patience: int) -> pd.DataFrame:
-    """Where the rule stands at the end of a segment, for every epoch it may stand at on entry."""
-    pdf = pdf.sort_values("_step")
-    step, loss, n = pdf["_step"].to_numpy(np.int64), pdf["_loss"].to_numpy(np.float64), len(pdf)
+def _segment_moves(step: np.ndarray, loss: np.ndarray, entry: np.ndarray, min_delta: float, patience: int) -> tuple:
+    """(from, to, loss): where the rule stands at the end of a segment, for every epoch it may stand at on entry."""
+    n = len(step)
     follows, waiting = np.full(n, -1), np.arange(n)
     for ahead in range(1, n):
         waiting = waiting[waiting < n - ahead]
@@ -340,23 +339,57 @@ def _segment_moves(pdf: pd.DataFrame, run: str, min_delta: float, patience: int)
         follows[waiting[better]] = waiting[better] + ahead
         waiting = waiting[~better]
     end = list(range(n))
-    for i in range(n - 1, -1, -1):
-        if follows[i] >= 0:
-            end[i] = end[follows[i]]
-    entry = np.flatnonzero(pdf["_entry"].to_numpy())
-    come = step[entry] if len(entry) else np.array([_BEGIN])
-    at = np.array(end)[entry if len(entry) else [0]]
-    return pd.DataFrame({run: pdf[run].iloc[0], "_segment": pdf["_segment"].iloc[0], "_from": come, "_to": step[at], "_loss": loss[at]})
-
-
-def _joined_moves(pdf: pd.DataFrame, run: str, merged: int) -> pd.DataFrame:
-    """Moves of neighbouring segments as one: what no segment moves stays where it is."""
-    states, group = None, int(pdf["_segment"].iloc[0]) // merged
-    for _, part in pdf.groupby("_segment", sort=True):
-        moves = dict(zip(part["_from"], zip(part["_to"], part["_loss"], strict=True), strict=True))
+    for i, after in zip(range(n - 1, -1, -1), follows[::-1].tolist(), strict=True):
+        if after >= 0:
+            end[i] = end[after]
+    entry = np.flatnonzero(entry)
+    come = step[entry].tolist() if len(entry) else [_BEGIN]
+    at = [end[i] for i in entry] if len(entry) else [end[0]]
+    return come, step[at].tolist(), loss[at].tolist()
+
+
+def _joined_moves(segment: np.ndarray, come: np.ndarray, to: np.ndarray, loss: np.ndarray) -> tuple:
+    """Moves of neighbouring segments, in order, as one: what no segment moves stays where it is."""
+    states, turns = None, (np.flatnonzero(np.diff(segment)) + 1).tolist()
+    for low, high in zip([0, *turns], [*turns, len(segment)], strict=True):
+        ends = zip(to[low:high].tolist(), loss[low:high].tolist(), strict=True)
+        moves = dict(zip(come[low:high].tolist(), ends, strict=True))
         states = moves if states is None else {k: moves.get(v[0], v) for k, v in states.items()}
-    to, loss = zip(*states.values(), strict=True)
-    return pd.DataFrame({run: pdf[run].iloc[0], "_segment": group, "_from": list(states), "_to": to, "_loss": loss})
+    ends, losses = zip(*states.values(), strict=True)
+    return list(states), ends, losses
+
+
+def _moves_of(df: DataFrame, run: str, segment: Column, order: Sequence[str], work: Callable, schema: T.StructType) -> DataFrame:
+    """work on the rows of each (run, segment), in order. Rows come sorted, so a task goes from one to the next in a stream
+    and holds one at a time: short curves by the million cost no more than their rows."""
+    rows = df.withColumn("_of", segment).repartition(run, "_of").sortWithinPartitions(run, "_of", *order)
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            pdf = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            runs, own = pdf[run].to_numpy(), pdf["_of"].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (runs[1:] != runs[:-1]) | (own[1:] != own[:-1])])).tolist()
+            if len(starts) > 1:
+                yield _results(pdf, starts)
+            held = pdf.iloc[starts[-1] :]
+        if held is not None:
+            yield _results(held, [0, len(held)])
+
+    def _results(pdf: pd.DataFrame, starts: list[int]) -> pd.DataFrame:
+        columns = [pdf[c].to_numpy() for c in names]
+        at, out = [], ([], [], [])
+        for low, high in zip(starts, starts[1:], strict=False):
+            made = work(*[c[low:high] for c in columns])
+            at += [low] * len(made[0])
+            for column, values in zip(out, made, strict=True):
+                column.extend(values)
+        return pd.DataFrame({run: pdf[run].to_numpy()[at], "_segment": pdf["_of"].to_numpy()[at], "_from": out[0], "_to": out[1], "_loss": out[2]})
+
+    names = [c for c in df.columns if c != run and (c != "_segment" or "_from" in df.columns)]
+    return rows.mapInPandas(stream, schema)
 
 
 def early_stopping(
@@ -375,7 +408,7 @@ def early_stopping(
     if min_delta < 0:
         raise ValueError("min_delta must be 0 or more")
     size, at = max(chunk, patience, 1), F.col("_step")
-    rows = df.select(run, F.col(step).cast("bigint").alias("_step"), F.col(loss).cast("double").alias("_loss"))
+    rows = df.filter(F.col(run).isNotNull()).select(run, F.col(step).cast("bigint").alias("_step"), F.col(loss).cast("double").alias("_loss"))
     points = rows.filter(at.isNotNull()).groupBy(run, "_step").agg(F.min("_loss").alias("_loss"))
     bounds = points.agg(F.min("_step"), F.max("_step")).first()
     begin, span = bounds[0] or 0, ((bounds[1] or 0) - (bounds[0] or 0)) // size
@@ -386,10 +419,11 @@ def early_stopping(
     key = T.StructType([df.schema[run]])
     for name, kind in (("_segment", T.LongType()), ("_from", T.LongType()), ("_to", T.LongType()), ("_loss", T.DoubleType())):
         key = key.add(name, kind)
-    moves = placed.groupBy(run, "_segment").applyInPandas(lambda pdf: _segment_moves(pdf, run, min_delta, patience), key)
+    placed = placed.select(run, "_segment", "_step", "_loss", "_entry")
+    moves = _moves_of(placed, run, F.col("_segment"), ["_step"], lambda *columns: _segment_moves(*columns, min_delta, patience), key)
     span += 1  # the last segment is handed on as well
     while span:
-        moves = moves.groupBy(run, F.floor(F.col("_segment") / merged)).applyInPandas(lambda pdf: _joined_moves(pdf, run, merged), key)
+        moves = _moves_of(moves, run, F.floor(F.col("_segment") / merged), ["_segment"], _joined_moves, key)
         span //= merged
     last = rows.groupBy(run).agg(F.max("_step").alias("last_step"), F.count(F.lit(1)).alias("n_steps"))
     return moves.filter(F.col("_from") == _BEGIN).join(last, run).select(

@@ -222,3 +222,21 @@ def test_ranges_do_not_depend_on_the_order_rows_arrive_in(spark):
     first, *others = [sorted(map(tuple, c.collect())) for c in cuts]
     assert len(first) == len(fractions) + 1 and all(o == first for o in others)
     assert max(r[3] for r in first) < 3 * 400_000 / 64
+
+
+def test_short_curves_by_the_thousand_stop_as_one_by_one(spark):
+    rng = random.Random(11)
+    curves = {run: [rng.random() for _ in range(rng.randrange(1, 12))] for run in range(12_000)}
+    rows = [(run, i + 1, x) for run, losses in curves.items() for i, x in enumerate(losses)]
+    df = spark.createDataFrame(rows, "run long, step long, loss double")
+    stopped = ranks.early_stopping(df, "run", "step", "loss", 0.1, 3, chunk=5)
+    got = {r.run: (r.best_step, r.best_loss) for r in stopped.collect()}
+    assert "FlatMapGroupsInPandas" not in stopped._jdf.queryExecution().executedPlan().toString()
+    for run, losses in curves.items():
+        hit = 0
+        for i, x in enumerate(losses):
+            if i - hit <= 3 and x < losses[hit] - 0.1:
+                hit = i
+            elif i - hit > 3:
+                break
+        assert got[run] == (hit + 1, losses[hit])
