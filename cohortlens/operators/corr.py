@@ -13,7 +13,7 @@ from cohortlens.functions.text import numbered
 from cohortlens.functions.numeric import finite, safe_corr
 from cohortlens.operators.gram import residual_coefficients
 from cohortlens.operators.ranks import value_ranks
-from cohortlens.session import cut_lineage
+from cohortlens.session import cut_lineage, measured
 
 
 def _column_pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
@@ -147,7 +147,7 @@ def train_centred(df: DataFrame, by: Sequence[str], stratum: str, y: str) -> Dat
     means = sums.select(
         *by, "fold", stratum, F.try_divide(F.sum("_s").over(over) - F.col("_s"), F.sum("_n").over(over) - F.col("_n")).alias("_mean")
     )
-    return df.join(means, [*by, "fold", stratum]).withColumn("y_centred", F.col(y) - F.col("_mean")).drop("_mean")
+    return df.join(measured(means), [*by, "fold", stratum]).withColumn("y_centred", F.col(y) - F.col("_mean")).drop("_mean")
 
 
 def target_variants(targets: DataFrame, stratum: str, z: tuple[str, str]) -> DataFrame:

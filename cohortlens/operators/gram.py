@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.numeric import finite
 from cohortlens.operators.folds import inner_validation_mask
 from cohortlens.operators.ranks import exact_quantiles
-from cohortlens.session import cut_lineage
+from cohortlens.session import cut_lineage, measured
 
 # Fixed values of the analyses: the elastic-net search grid.
 ALPHAS = (0.001, 0.01, 0.1, 1.0)
@@ -370,7 +370,7 @@ def mean_baseline(df: DataFrame, by: Sequence[str], y: str = "y_true") -> DataFr
     by = list(by)
     sums = df.groupBy(*by, "fold").agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
     means = _complement(sums, by, ["_s", "_n"]).select(*by, "fold", F.try_divide(F.col("_s"), F.col("_n")).alias("y_pred"))
-    return df.join(means, [*by, "fold"])
+    return df.join(measured(means), [*by, "fold"])
 
 
 def stratum_baseline(df: DataFrame, by: Sequence[str], stratum: str, y: str = "y_true", alpha: float = 1.0) -> DataFrame:
@@ -380,7 +380,7 @@ def stratum_baseline(df: DataFrame, by: Sequence[str], stratum: str, y: str = "y
     with the intercept b chosen so that residuals sum to zero.
     """
     by = list(by)
-    sums = df.groupBy(*by, "fold", stratum).agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
+    sums = measured(df.groupBy(*by, "fold", stratum).agg(F.sum(y).alias("_s"), F.count(y).alias("_n")))
     whole = sums.groupBy(*by, stratum).agg(F.sum("_s").alias("_ts"), F.sum("_n").alias("_tn"))
     folds = sums.select(*by, "fold").distinct()
     train = (
@@ -404,7 +404,7 @@ def stratum_baseline(df: DataFrame, by: Sequence[str], stratum: str, y: str = "y
         *by, "fold", stratum, (F.col("_b") + (F.col("_s") - F.col("_n") * F.col("_b")) / (F.col("_n") + alpha)).alias("_fit")
     )
     base = train.withColumn("_b", intercept).select(*by, "fold", "_b").distinct()
-    joined = df.join(base, [*by, "fold"]).join(fitted, [*by, "fold", stratum], "left")
+    joined = df.join(measured(base), [*by, "fold"]).join(measured(fitted), [*by, "fold", stratum], "left")
     return joined.withColumn("y_pred", F.coalesce("_fit", "_b")).drop("_fit", "_b")
 
 
@@ -412,7 +412,7 @@ def ols_fold_coefficients(df: DataFrame, by: Sequence[str], x: str, y: str) -> D
     """(by, fold, slope, intercept) of y on one covariate, fitted on the other folds; sums are taken about the mean."""
     by = list(by)
     usable = finite(F.col(x)).isNotNull() & finite(F.col(y)).isNotNull()
-    centre = df.filter(usable).groupBy(*by).agg(F.avg(x).alias("_cx"), F.avg(y).alias("_cy"))
+    centre = measured(df.filter(usable).groupBy(*by).agg(F.avg(x).alias("_cx"), F.avg(y).alias("_cy")))
     rows = df.filter(usable).join(centre, by)
     dx, dy = F.col(x) - F.col("_cx"), F.col(y) - F.col("_cy")
     sums = rows.groupBy(*by, "fold").agg(
@@ -441,7 +441,7 @@ def ols_fold_coefficients(df: DataFrame, by: Sequence[str], x: str, y: str) -> D
 def ols_oof(df: DataFrame, by: Sequence[str], x: str, y: str = "y_true") -> DataFrame:
     """Adds y_pred from the one-covariate fit of the other folds."""
     coefficients = ols_fold_coefficients(df, by, x, y).drop("train_n")
-    joined = df.join(coefficients, [*by, "fold"])
+    joined = df.join(measured(coefficients), [*by, "fold"])
     return joined.withColumn("y_pred", F.col("intercept") + F.col("slope") * F.col(x)).drop("slope", "intercept")
 
 
@@ -488,7 +488,7 @@ def residual_performance(
 def residual_coefficients(df: DataFrame, by: Sequence[str], y: str, z: tuple[str, str]) -> DataFrame:
     """(by, fold, b0, b1, b2): least squares of y on two covariates over the other folds."""
     by, (a, b) = list(by), z
-    centre = df.groupBy(*by).agg(F.avg(a).alias("_ca"), F.avg(b).alias("_cb"), F.avg(y).alias("_cy"))
+    centre = measured(df.groupBy(*by).agg(F.avg(a).alias("_ca"), F.avg(b).alias("_cb"), F.avg(y).alias("_cy")))
     rows = df.join(centre, by)
     da, db, dy = F.col(a) - F.col("_ca"), F.col(b) - F.col("_cb"), F.col(y) - F.col("_cy")
     columns = {"n": F.lit(1), "sa": da, "sb": db, "sy": dy, "aa": da * da, "bb": db * db, "ab": da * db, "ay": da * dy, "by": db * dy}
@@ -512,7 +512,7 @@ def residual_coefficients(df: DataFrame, by: Sequence[str], y: str, z: tuple[str
         - c("b1") * (c("_ca") + F.try_divide(c("sa"), n))
         - c("b2") * (c("_cb") + F.try_divide(c("sb"), n))
     )
-    return solved.select(*by, "fold", b0.alias("b0"), "b1", "b2")
+    return measured(solved.select(*by, "fold", b0.alias("b0"), "b1", "b2"))
 
 
 def fold_preprocessing(df: DataFrame, features: Sequence[str], stratum: str, folds: Sequence[int]) -> DataFrame:

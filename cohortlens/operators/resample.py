@@ -16,7 +16,7 @@ from cohortlens.functions.numeric import billionths, plus_one_p, safe_corr, sign
 from cohortlens.functions.rng import hash32, pick
 from cohortlens.operators.metrics import METRICS, bootstrap_intervals, oriented_delta, paired_finite
 from cohortlens.operators.ranks import batched_mid_ranks, ordered_index, value_ranks
-from cohortlens.session import cut_lineage
+from cohortlens.session import cut_lineage, measured
 
 
 def index_groups(df: DataFrame, group: str, seed: int) -> DataFrame:
@@ -34,7 +34,7 @@ def draw_plan(groups: DataFrame, n_resamples: int, seed: int) -> DataFrame:
 
 
 def _group_stats(df: DataFrame, by: Sequence[str], group: str, y: str, preds: Sequence[str]) -> DataFrame:
-    centre = df.groupBy(*by).agg(F.avg(y).alias("_c"))
+    centre = measured(df.groupBy(*by).agg(F.avg(y).alias("_c")))
     t = F.col(y) - F.col("_c")
     aggs: list[Column] = [F.count(y).alias("n"), F.sum(t).alias("sy"), F.sum(t * t).alias("syy")]
     for p in preds:
@@ -210,7 +210,7 @@ def paired_summary(draws: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def _centred_ranks(df: DataFrame, by: Sequence[str], y: str, p: str) -> DataFrame:
     ranked = value_ranks(df, by, {y: "_ry", p: "_rp"})
-    n = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    n = measured(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))
     mid = (F.col("_n") + 1) / 2.0
     return ranked.join(n, list(by)).withColumns({"_ry": F.col("_ry") - mid, "_rp": F.col("_rp") - mid}).drop("_n")
 
@@ -311,7 +311,7 @@ def permutation_moments(df: DataFrame, by: Sequence[str], stratum: str, y: str =
 def centre_by_stratum(df: DataFrame, by: Sequence[str], stratum: str, cols: Sequence[str]) -> DataFrame:
     """Adds <col>_residual = value minus its (by, stratum) mean; means are joined, not windowed."""
     keys = [*by, stratum]
-    means = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_mean_{c}") for c in cols])
+    means = measured(df.groupBy(*keys).agg(*[F.avg(c).alias(f"_mean_{c}") for c in cols]))
     return df.join(means, keys).withColumns(
         {f"{c}_residual": F.col(c) - F.col(f"_mean_{c}") for c in cols}
     ).drop(*[f"_mean_{c}" for c in cols])

@@ -141,32 +141,32 @@ def long_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).unpivot(["cell_id", "group_id", "stratum", "status", "fold", "f1", "f4"], list(TARGETS), "module", "y_true")
 
 
-def build_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold predictions of three simple models: fold-complement mean, one-covariate OLS, stratum ridge."""
+def build_oof(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
+    """Out-of-fold predictions of a simple model: fold-complement mean, one-covariate OLS or stratum ridge."""
     y = long_targets(spark, sf_dir)
     keep = ["cell_id", "group_id", "stratum", "status", "fold", "module", "model", "analysis", "y_true", "y_pred"]
-    made = {
-        ("mean", "dummy"): mean_baseline(y, ["module"]),
-        ("ols", "features_only"): ols_oof(y, ["module"], "f1"),
-        ("stratum", "stratum_only"): stratum_baseline(y, ["module"], "stratum"),
-    }
-    out = None
-    for (model, analysis), rows in made.items():
-        part = rows.withColumns({"model": F.lit(model), "analysis": F.lit(analysis)}).select(*keep)
-        out = part if out is None else out.unionByName(part)
-    return out
+    analysis, make = {
+        "mean": ("dummy", lambda: mean_baseline(y, ["module"])),
+        "ols": ("features_only", lambda: ols_oof(y, ["module"], "f1")),
+        "stratum": ("stratum_only", lambda: stratum_baseline(y, ["module"], "stratum")),
+    }[model]
+    return make().withColumns({"model": F.lit(model), "analysis": F.lit(analysis)}).select(*keep)
 
 
 def oof(spark: SparkSession, sf_dir: str, models: tuple[str, ...] = MODELS) -> DataFrame:
-    table = staged(spark, sf_dir, "oof", lambda: build_oof(spark, sf_dir))
-    return table if models == MODELS else table.filter(F.col("model").isin(*models))
+    """The predictions of the given models; each model is made and written when it is first asked for."""
+    out = None
+    for model in models:
+        part = staged(spark, sf_dir, f"oof_{model}", lambda: build_oof(spark, sf_dir, model))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ols against mean on the same cells."""
     from cohortlens.operators.resample import paired_view
 
-    return paired_view(oof(spark, sf_dir, ("mean", "ols")), "ols", "mean")[0]
+    return staged(spark, sf_dir, "pairs", lambda: paired_view(oof(spark, sf_dir, ("mean", "ols")), "ols", "mean")[0])
 
 
 def control_performance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,19 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def measured(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read back, so that Spark plans with the size it has.
+
+    Rows that meet a small one then stay where they are: without a size Spark moves every row to its key first, and a
+    handful of keys is a handful of tasks. A large table is joined by a shuffle as before; nothing is forced.
+    """
+    spark = df.sparkSession
+    _checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/measured-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def bucket_count(df: DataFrame, ceiling: int = 1024) -> int:
     """How many value ranges a hot group is cut into: follows the cluster's shuffle width."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
