@@ -82,7 +82,10 @@ def _shared(table: DataFrame, runs: DataFrame) -> list[str]:
 
 def run_medians(values: DataFrame, runs: DataFrame, design: Design) -> DataFrame:
     """(run, medians): training medians per outer fold, feature and scope ('inner' leaves out validation groups)."""
-    counted = values.join(runs, _shared(values, runs)).groupBy("run", "fold", "mask", "feature", "x").agg(F.sum("w").alias("w"))
+    return _medians(values.join(runs, _shared(values, runs)).groupBy("run", "fold", "mask", "feature", "x").agg(F.sum("w").alias("w")), design)
+
+
+def _medians(counted: DataFrame, design: Design) -> DataFrame:
     spread = counted.withColumn("outer_fold", F.explode(F.array(*map(F.lit, design.folds)))).filter(F.col("fold") != F.col("outer_fold"))
     scopes = F.when(F.expr("getbit(mask, outer_fold)") == 1, F.array(F.lit("full"))).otherwise(F.array(F.lit("full"), F.lit("inner")))
     keys = ["run", "outer_fold", "scope", "feature"]
@@ -90,6 +93,26 @@ def run_medians(values: DataFrame, runs: DataFrame, design: Design) -> DataFrame
     return medians.groupBy("run").agg(F.collect_list(F.struct("outer_fold", "scope", "feature", "median")).alias("medians"))
 
 
+def _solver_rows(flat: DataFrame, p: int, pairs: list[tuple[int, int]]) -> DataFrame:
+    return flat.select(
+        "run", F.concat_ws("@", "run", "target").alias("target"), "fold", "mask", F.col("n").alias("ny"), "sy", "syy",
+        F.array(*[f"c{i}" for i in range(p)]).alias("sxy"), "n", F.array(*[f"s{i}" for i in range(p)]).alias("sx"),
+        F.array(*[f"p{i}_{j}" for i, j in pairs]).alias("sxx"),
+    )
+
+
+def row_statistics(df: DataFrame, runs: DataFrame, design: Design, targets: Sequence[str], centre: Centre) -> DataFrame:
+    """run_statistics for runs that are known beforehand: rows meet their folds and are summed where they lie.
+
+    No cube is made, which has nearly as many rows as the table itself where groups hold few rows of one kind.
+    """
+    rows, keys = df.drop("fold", "mask").join(runs, _shared(df, runs)), ["run", "fold", "mask"]
+    out = _solver_rows(group_sums(rows, design, targets, keys, centre), *_sizes(design))
+    if not design.nullable:
+        return out.withColumn("medians", F.lit(None).cast("array<struct<outer_fold:int,scope:string,feature:string,median:double>>"))
+    return out.join(_medians(group_values(rows, design, keys, centre), design), "run", "left")
+
+
 def run_statistics(sums: DataFrame, values: DataFrame | None, runs: DataFrame, design: Design) -> DataFrame:
     """What the solver needs, per (run, target, fold, mask), from the cube alone; target is written run@target.
 
@@ -98,11 +121,7 @@ def run_statistics(sums: DataFrame, values: DataFrame | None, runs: DataFrame, d
     p, pairs = _sizes(design)
     flat = [c for c in sums.columns if c in {"n", "sy", "syy"} or c[0] in "scp" and c[1:2].isdigit()]
     joined = sums.join(runs, _shared(sums, runs)).groupBy("run", "target", "fold", "mask").agg(*[F.sum(c).alias(c) for c in flat])
-    out = joined.select(
-        "run", F.concat_ws("@", "run", "target").alias("target"), "fold", "mask", F.col("n").alias("ny"), "sy", "syy",
-        F.array(*[f"c{i}" for i in range(p)]).alias("sxy"), "n", F.array(*[f"s{i}" for i in range(p)]).alias("sx"),
-        F.array(*[f"p{i}_{j}" for i, j in pairs]).alias("sxx"),
-    )
+    out = _solver_rows(joined, p, pairs)
     if values is None or not design.nullable:
         none = F.lit(None).cast("array<struct<outer_fold:int,scope:string,feature:string,median:double>>")
         return out.withColumn("medians", none)

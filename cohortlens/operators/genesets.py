@@ -17,6 +17,7 @@ from cohortlens.functions.numeric import billionths, log2_cpm, safe_corr
 from cohortlens.functions.text import identifier_issue, last_rule
 from cohortlens.operators.blocks import set_products
 from cohortlens.operators.ranks import value_ranks
+from cohortlens.session import measured
 
 
 def with_levels(df: DataFrame, levels: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -206,7 +207,7 @@ def module_dominance(dense: DataFrame) -> DataFrame:
         }
     ).drop("sample_id", "_b", "_s")
     keys = ["module", "gene"]
-    ranked = value_ranks(rows, keys, {"x": "rx", "score": "rs", "loo": "rl"})
+    ranked = value_ranks(measured(rows), keys, {"x": "rx", "score": "rs", "loo": "rl"})
     table = ranked.groupBy(*keys).agg(
         F.var_samp("x").alias("gene_variance"),
         F.avg((F.col("cnt") > 0).cast("double")).alias("nonzero_fraction"),

@@ -57,7 +57,7 @@ def _pairs(p: int) -> list[tuple[int, int]]:
 
 def with_mask(df: DataFrame, design: Design) -> DataFrame:
     """Adds the inner-validation mask of each row's group."""
-    masks = cut_lineage(inner_validation_mask(df, design.group, design.folds, seed=design.seed))
+    masks = measured(inner_validation_mask(df, design.group, design.folds, seed=design.seed))
     return df.join(masks, design.group, "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
 
 
@@ -276,7 +276,7 @@ def predict_folds(df: DataFrame, coefficients: DataFrame, design: Design, keep:
     value = F.col("intercept")
     for i in range(len(usable)):
         value = value + F.col("coef")[i] * F.coalesce(F.col(f"_x{i}"), F.col("median")[i])
-    return joined.select(*keep, *on, "target", "model", value.alias("y_pred"))
+    return joined.select(*keep, *dict.fromkeys([*on, "target"]), "model", value.alias("y_pred"))
 
 
 def oof_linear(
@@ -285,9 +285,10 @@ def oof_linear(
 ) -> tuple[DataFrame, DataFrame]:
     """(out-of-fold predictions with truth, coefficient table) for every target at once."""
     grid = list(candidates) if candidates is not None else elastic_net_grid()
-    coefficients = fit_folds(fit_statistics(df, targets, design, key), design, model, grid, scale)
-    predictions = predict_folds(df, coefficients, design, keep=[key, "group_id", "stratum"])
-    oof = predictions.join(targets.select(key, "target", F.col("y").alias("y_true")), [key, "target"])
+    coefficients = measured(fit_folds(fit_statistics(df, targets, design, key), design, model, grid, scale))
+    keep = [key, "group_id", "stratum"]
+    rows = targets.select(key, "target", F.col("y").alias("y_true")).join(df, key)
+    oof = predict_folds(rows, coefficients, design, keep=[*keep, "y_true"], on=("fold", "target"))
     return oof.withColumnRenamed("target", "module"), coefficients
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from cohortlens.functions.numeric import finite
 from cohortlens.functions.rng import UINT32
-from cohortlens.session import bucket_count, cut_lineage
+from cohortlens.session import bucket_count, cut_lineage, measured
 
 
 #: Rows of a key that stay in one range. percentile_approx is exact, so independent of the order rows arrive in, up to
@@ -95,53 +95,105 @@ def cumulative_counts(
     )
 
 
-def value_ranks(
-    df: DataFrame,
-    by: Sequence[str],
-    columns: Mapping[str, str],
-    weight: str | None = None,
-    share: bool = False,
-    buckets: int | None = None,
+def _row_cuts(df: DataFrame, by: Sequence[str], columns: Sequence[str], buckets: int | None) -> DataFrame:
+    """(by, a list of cut points per column) of the keys of more than CUT_ROWS rows, from about CUT_ROWS/2 rows a key.
+
+    A value that holds more than a range's share of the rows is itself a cut point. Cut points are written out, so every
+    evaluation sees the same ones; ranks do not depend on them.
+    """
+    k = 1 << max(1, (buckets or bucket_count(df)).bit_length() - 1)
+    values = [finite(F.col(c)) for c in columns]
+    counts = df.groupBy(*by).agg(*[F.count(x).alias(f"_rows{i}") for i, x in enumerate(values)])
+    sizes = [F.col(f"_rows{i}") for i in range(len(columns))]
+    most = F.greatest(*sizes) if len(sizes) > 1 else sizes[0]
+    large = measured(counts.filter(most > CUT_ROWS))
+    fractions, share = [i / k for i in range(1, k)], F.rand(0) * 2 / F.lit(CUT_ROWS)
+    drawn = df.withColumn("_u", share).join(large, list(by))
+    picked = [F.when((n > CUT_ROWS) & (F.col("_u") * n < 1), x) for x, n in zip(values, sizes, strict=True)]
+    return measured(drawn.groupBy(*by).agg(*[F.percentile_approx(x, fractions, 10000).alias(f"_cuts{i}") for i, x in enumerate(picked)]))
+
+
+def _with_row_range(df: DataFrame, by: Sequence[str], col: str, cuts: DataFrame, name: str, k: int) -> DataFrame:
+    """Adds _v and _range, ascending: even between two cut points, odd on one. Small keys have range 0."""
+    placed = df.join(cuts.select(*by, F.col(name).alias("_cuts")), list(by), "left").withColumns({"_v": finite(F.col(col)), "_range": F.lit(0)})
+    step = k // 2
+    while step:
+        probe = F.get("_cuts", F.col("_range") + (step - 1)) < F.col("_v")
+        placed = placed.withColumn("_range", F.when(probe, F.col("_range") + step).otherwise(F.col("_range")))
+        step //= 2
+    on = F.coalesce((F.get("_cuts", F.col("_range")) == F.col("_v")).cast("int"), F.lit(0))
+    return placed.withColumn("_range", 2 * F.col("_range") + on)
+
+
+def _row_ranks(
+    df: DataFrame, by: Sequence[str], col: str, cuts: DataFrame, name: str, k: int,
+    weights: Sequence[Column], out: Sequence[str], source: DataFrame, total: str | None = None,
 ) -> DataFrame:
+    """Adds the mid-rank of each row under each weighting, moving every row once.
+
+    Rows between two cut points meet in one window. Rows on a cut point all have one rank, known from the totals, so they
+    are dealt out by the place they come from: a hot value never ends in one task.
+    """
+    by, names = list(by), [f"_w{i}" for i in range(len(weights))]
+    wide = dict(zip(names, weights, strict=True))
+    totals = _with_row_range(source.withColumns(wide), by, col, cuts, name, k).filter(F.col("_cuts").isNotNull() & F.col("_v").isNotNull())
+    per_range = totals.groupBy(*by, "_range").agg(*[F.sum(w).alias(w) for w in names])
+    upto = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)
+    offsets = measured(
+        per_range.select(
+            *by, "_range", *[F.col(w).alias(f"_n{w}") for w in names],
+            *[(F.sum(w).over(upto) - F.col(w)).alias(f"_o{w}") for w in names], F.sum(names[0]).over(W.partitionBy(*by)).alias("_rank_total"),
+        )
+    )
+    placed = _with_row_range(df.withColumns(wide), by, col, cuts, name, k).drop("_cuts").join(offsets, [*by, "_range"], "left")
+    settled = F.col("_range") % 2 == 1
+    dealt = placed.withColumn("_salt", F.when(settled | F.col("_v").isNull(), F.spark_partition_id()).otherwise(F.lit(-1)))
+    part = [*by, "_range", "_salt"]
+    smaller = W.partitionBy(*part).orderBy("_v").rangeBetween(W.unboundedPreceding, W.currentRow)
+    tied = W.partitionBy(*part, "_v")
+    within = dealt.withColumns({f"_u{w}": F.sum(w).over(smaller) for w in names})
+    within = within.withColumns({f"_t{w}": F.sum(w).over(tied) for w in names})
+    usable = F.col("_v").isNotNull()
+    for key in by:
+        usable = usable & F.col(key).isNotNull()
+    ranks = {}
+    for w, to in zip(names, out, strict=True):
+        inner = F.coalesce(F.col(f"_o{w}"), F.lit(0)) + F.col(f"_u{w}") - F.col(f"_t{w}") + (F.col(f"_t{w}") + 1) / 2.0
+        ranks[to] = F.when(usable, F.when(settled, F.col(f"_o{w}") + (F.col(f"_n{w}") + 1) / 2.0).otherwise(inner))
+    if total:
+        own = F.sum(F.when(F.col("_v").isNotNull(), F.col(names[0]))).over(W.partitionBy(*part))
+        within = within.withColumn(total, F.coalesce("_rank_total", own))
+    return within.select(*df.columns, *[c.alias(to) for to, c in ranks.items()], *([total] if total else []))
+
+
+def value_ranks(df: DataFrame, by: Sequence[str], columns: Mapping[str, str], share: bool = False, buckets: int | None = None) -> DataFrame:
     """Adds average-tie ranks within by, one per {column: name}; NULL for non-finite values.
 
-    Every column is ranked from df itself, so ranking two columns reads df three times rather than
-    once more per rank already added. With share=True ranks are divided by the number of finite values.
+    df is read a few times for cut points and totals, so it should be a table that is written out; after that every row
+    moves once per column. With share=True ranks are divided by the number of finite values.
     """
     by, out = list(by), df
-    for col, name in columns.items():
-        rank = F.col("n_before") + (F.col("n") + 1) / 2.0
-        counts = cumulative_counts(df, by, col, weight, buckets)
-        ranks = counts.select(*by, F.col(col).alias("_v"), (rank / F.col("n_total") if share else rank).alias(name))
-        condition = F.col(f"l.{col}") == F.col("r._v")
-        for key in by:
-            condition = condition & (F.col(f"l.{key}") == F.col(f"r.{key}"))
-        out = out.alias("l").join(ranks.alias("r"), condition, "left").select("l.*", f"r.{name}")
+    k = 1 << max(1, (buckets or bucket_count(df)).bit_length() - 1)
+    cuts = _row_cuts(df, by, list(columns), buckets)
+    one = F.lit(1).cast("bigint")
+    for i, (col, name) in enumerate(columns.items()):
+        out = _row_ranks(out, by, col, cuts, f"_cuts{i}", k, [one], [name], df, "_total" if share else None)
+        if share:
+            out = out.withColumn(name, F.col(name) / F.col("_total")).drop("_total")
     return out
 
 
-def batched_mid_ranks(df: DataFrame, by: Sequence[str], col: str, weights: Sequence[str], out: Sequence[str]) -> DataFrame:
-    """(by, col, out...): the mid-rank of each value under each of several weight columns.
+def batched_mid_ranks(df: DataFrame, by: Sequence[str], columns: Mapping[str, Sequence[str]], weights: Sequence[str]) -> DataFrame:
+    """Adds, for each column, the mid-rank of each row's value under each of several weight columns.
 
-    The order of values is the same for every weighting, so one sort serves them all. Values need to be finite.
+    The order of values is the same for every weighting, so one pass serves them all. Values need to be finite, and df a
+    table that is written out.
     """
-    by = list(by)
-    counted = df.groupBy(*by, col).agg(*[F.sum(w).cast("bigint").alias(w) for w in weights], F.count(F.lit(1)).alias("_n"))
-    ranged = _with_ranges(counted, by, col, "_n", None)
-    per_range = ranged.groupBy(*by, "_range").agg(*[F.sum(w).alias(w) for w in weights])
-    earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_range.select(
-        *by, "_range", *[F.coalesce(F.sum(w).over(earlier), F.lit(0)).alias(f"_o_{w}") for w in weights]
-    )
-    inside = W.partitionBy(*by, "_range").orderBy(col).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return ranged.join(offsets, [*by, "_range"]).select(
-        *by,
-        col,
-        *[
-            (F.col(f"_o_{w}") + F.sum(w).over(inside) - F.col(w) + (F.col(w) + 1) / 2.0).alias(name)
-            for w, name in zip(weights, out, strict=True)
-        ],
-    )
+    k = 1 << max(1, bucket_count(df).bit_length() - 1)
+    cuts, out = _row_cuts(df, by, list(columns), None), df
+    for i, (col, names) in enumerate(columns.items()):
+        out = _row_ranks(out, by, col, cuts, f"_cuts{i}", k, [F.col(w).cast("bigint") for w in weights], names, df)
+    return out
 
 
 def exact_quantiles(

@@ -14,7 +14,7 @@ from cohortlens.functions.text import set_signature
 from cohortlens.operators.blocks import set_products
 from cohortlens.operators.metrics import observed_percentile
 from cohortlens.operators.ranks import value_ranks
-from cohortlens.session import cut_lineage
+from cohortlens.session import cut_lineage, measured
 
 def set_sizes(sets: DataFrame, by: Sequence[str]) -> DataFrame:
     """Members per set, how many balanced splits exist and the set's signature."""
@@ -109,7 +109,7 @@ def set_spread(expression: DataFrame, sets: DataFrame, samples: DataFrame, by: S
 def split_half_table(halves: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, mask, rho, sb) per partition."""
     keys = [*by, "mask"]
-    ranked = value_ranks(halves, keys, {"a": "ra", "b": "rb"})
+    ranked = value_ranks(measured(halves), keys, {"a": "ra", "b": "rb"})
     rho = ranked.groupBy(*keys).agg(safe_corr(F.col("ra"), F.col("rb")).alias("rho"))
     return rho.withColumn("sb", spearman_brown(F.col("rho")))
 

@@ -16,7 +16,7 @@ from cohortlens.functions.numeric import billionths, plus_one_p, safe_corr, sign
 from cohortlens.functions.rng import hash32, pick
 from cohortlens.operators.metrics import METRICS, bootstrap_intervals, oriented_delta, paired_finite
 from cohortlens.operators.ranks import batched_mid_ranks, ordered_index, value_ranks
-from cohortlens.session import cut_lineage, measured
+from cohortlens.session import measured
 
 
 def index_groups(df: DataFrame, group: str, seed: int) -> DataFrame:
@@ -77,12 +77,9 @@ def _replicate_spearman(df: DataFrame, by, group, y, preds, groups: DataFrame, p
         .join(groups, "slot")
         .select("batch", group, *weights)
     )
-    drawn = cut_lineage(drawn)
-    rows = df.select(*by, group, y, *preds).join(drawn, group).drop(group)
-    keys, placed = [*by, "batch"], rows
-    for column in (y, *preds):
-        names = [f"{w}_{column}" for w in weights]
-        placed = placed.join(batched_mid_ranks(rows, keys, column, weights, names), [*keys, column])
+    rows = measured(df.select(*by, group, y, *preds).join(measured(drawn), group).drop(group))
+    keys = [*by, "batch"]
+    placed = batched_mid_ranks(rows, keys, {column: [f"{w}_{column}" for w in weights] for column in (y, *preds)}, weights)
     sums = []
     for w in weights:
         weight, a = F.col(w), F.col(f"{w}_{y}")
@@ -230,7 +227,7 @@ def stratified_permutation(
     Ranks are computed once. A cell takes the prediction rank found at its hash-ordered position.
     """
     by = list(by)
-    ranked = cut_lineage(_centred_ranks(df.select(*by, stratum, cell, y, p), by, y, p))
+    ranked = measured(_centred_ranks(df.select(*by, stratum, cell, y, p), by, y, p))
     slots = ordered_index(
         ranked.select(*by, stratum, cell, "_rp"), [*by, stratum], hash32(seed, "slot", F.col(cell)), [cell], "_slot",
         hashed=True,
@@ -327,11 +324,12 @@ def group_level_means(df: DataFrame, by: Sequence[str], group: str, stratum: str
     def mean(c: str) -> Column:
         return F.try_divide(F.sum(billionths(F.col(c))), F.count(c) * F.lit(1e9))
 
-    return centred.groupBy(*by, group).agg(
+    means = centred.groupBy(*by, group).agg(
         mean("y_true_residual").alias("y_true"),
         mean("y_pred_residual").alias("y_pred"),
         F.count("y_true").alias("n_cells"),
     )
+    return measured(means)
 
 
 def group_permutation(df: DataFrame, by: Sequence[str], group: str, stratum: str, n_permutations: int, seed: int) -> DataFrame:
