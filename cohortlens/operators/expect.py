@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,22 +106,44 @@ def drop_features(df: DataFrame, features: Sequence[str], drop: Sequence[str]) -
     return df.drop(*drop), [f for f in features if f not in set(drop)]
 
 
+#: Combinations of levels that are counted side by side in one row of a cell.
+SLOTS = 16
+
+
 def oof_audit(oof: DataFrame, cells: DataFrame, levels: Mapping[str, Sequence], cell: str = "cell_id") -> DataFrame:
-    """Exactly-once coverage per model key: rows, distinct, missing, extra and non-finite counts."""
-    keys = list(levels)
-    per_cell = oof.groupBy(*keys, cell).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count_if(finite(F.col("y_true")).isNull() | finite(F.col("y_pred")).isNull()).alias("_bad"),
+    """Exactly-once coverage per model key: rows, distinct, missing, extra and non-finite counts.
+
+    A cell's rows are counted in one row per SLOTS combinations of levels, beside the mark that the cell is expected, so
+    what is shuffled grows with the cells. Rows of keys that no combination has are counted one by one.
+    """
+    keys, combinations = list(levels), list(product(*[dict.fromkeys(values) for values in levels.values()]))
+    bad = finite(F.col("y_true")).isNull() | finite(F.col("y_pred")).isNull()
+    whole = oof.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).alias("n_nonfinite"))
+
+    code = F.lit(0)
+    for key, values in levels.items():
+        own = list(dict.fromkeys(values))
+        code = code * len(own) + F.coalesce(*[F.when(F.col(key) == F.lit(x), F.lit(i)) for i, x in enumerate(own)])
+    coded = oof.select(*keys, cell, code.alias("_code"))
+    seen = coded.filter(F.col("_code").isNotNull()).select(cell, F.floor(F.col("_code") / SLOTS).cast("int").alias("_block"), (F.col("_code") % SLOTS).alias("_slot"), F.lit(0).alias("_want"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((len(combinations) - 1) // SLOTS)))
+    wanted = cells.select(cell, blocks.alias("_block"), F.lit(None).cast("int").alias("_slot"), F.lit(1).alias("_want"))
+    alone = F.when(F.col(cell).isNull(), F.col("_want"))  # a missing id equals no other
+    counts = [F.count_if(F.col("_slot") == i).alias(f"_n{i}") for i in range(min(SLOTS, len(combinations)))]
+    per_cell = seen.unionByName(wanted).groupBy(cell, "_block", alone.alias("_alone")).agg(F.max("_want").alias("_want"), *counts)
+    slots = F.posexplode(F.array(*[f"_n{i}" for i in range(len(counts))])).alias("_slot", "_n")
+    expected = F.col("_want") == 1
+    known = per_cell.select("_block", "_want", slots).groupBy((F.col("_block") * SLOTS + F.col("_slot")).alias("_code")).agg(
+        F.count_if(F.col("_n") > 1).alias("n_duplicated"), F.count_if(expected & (F.col("_n") == 0)).alias("n_missing"), F.count_if(~expected & (F.col("_n") > 0)).alias("n_extra"), F.max("_want").alias("_any"),
+    ).filter((F.col("_code") < len(combinations)) & ((F.col("_any") == 1) | (F.col("n_extra") > 0)))
+    names = F.array(*[F.struct(*[F.lit(x).cast(oof.schema[k].dataType).alias(k) for k, x in zip(keys, c, strict=True)]) for c in combinations])
+    known = known.withColumn("_key", names[F.col("_code")]).select("_key.*", "n_duplicated", "n_missing", "n_extra")
+    unknown = coded.filter(F.col("_code").isNull()).groupBy(*keys, cell).agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(
+        F.count_if(F.col("_n") > 1).alias("n_duplicated"), F.count(F.lit(1)).alias("n_extra")
     )
-    wanted = expected_grid(cells, [cell], levels).withColumn("_want", F.lit(1))
-    full = wanted.join(per_cell, [*keys, cell], "full_outer")
-    return full.groupBy(*keys).agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
-        F.count_if(F.col("_n") > 1).alias("n_duplicated"),
-        F.count_if(F.col("_n").isNull()).alias("n_missing"),
-        F.count_if(F.col("_want").isNull()).alias("n_extra"),
-        F.coalesce(F.sum("_bad"), F.lit(0)).alias("n_nonfinite"),
-    ).withColumn(
+    parts = whole.unionByName(known, allowMissingColumns=True).unionByName(unknown, allowMissingColumns=True)
+    totals = ["n_rows", "n_duplicated", "n_missing", "n_extra", "n_nonfinite"]
+    return parts.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in totals]).withColumn(
         "exactly_once",
         (F.col("n_duplicated") + F.col("n_missing") + F.col("n_extra") + F.col("n_nonfinite")) == 0,
     )

@@ -58,6 +58,24 @@ def test_oof_audit_counts_every_defect(spark):
     assert (row["n_rows"], row["n_duplicated"], row["n_missing"], row["n_extra"], row["n_nonfinite"], row["exactly_once"]) == (4, 1, 1, 1, 1, False)
 
 
+def test_oof_audit_meets_cells_without_a_join_of_all_rows(spark):
+    levels = {"module": [f"m{i}" for i in range(3)], "feature": list(range(7))}  # more than one row of counts a cell
+    cells = spark.range(40).select(F.concat(F.lit("c"), F.col("id")).alias("cell_id"))
+    full = cells
+    for name, values in levels.items():
+        full = full.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    full = full.withColumns({"y_true": F.lit(1.0), "y_pred": F.lit(2.0)})
+    odd = [("c3", "m1", 6, 1.0, None), (None, "m0", 0, 1.0, 1.0), ("c1", "other", 6, 1.0, 1.0), ("c1", "other", 6, 1.0, 1.0), ("c2", None, 1, 1.0, 1.0)]
+    rows = full.filter("not (cell_id = 'c9' and module = 'm2' and feature = 4)").unionByName(spark.createDataFrame(odd, "cell_id string, module string, feature int, y_true double, y_pred double"))
+    made = expect.oof_audit(rows, cells.unionByName(spark.createDataFrame([(None,)], "cell_id string")), levels)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    got = {(r.module, r.feature): tuple(r)[2:] for r in made.collect()}
+    usual = (40, 0, 1, 0, 0, False)  # the cell without an id is met by nothing
+    special = {("m1", 6): (41, 1, 1, 0, 1, False), ("m0", 0): (41, 0, 1, 1, 0, False), ("m2", 4): (39, 0, 2, 0, 0, False), ("other", 6): (2, 1, 0, 1, 0, False), (None, 1): (1, 0, 0, 1, 0, False)}
+    assert got == {(m, f): usual for m in levels["module"] for f in levels["feature"]} | special
+
+
 def test_compare_and_identity(spark):
     a = spark.createDataFrame([(1, 1.0, None), (2, 2.0, 3.0)], "k int, x double, z double")
     b = spark.createDataFrame([(1, 1.0 + 1e-12, None), (2, 2.5, 3.0), (3, 0.0, 0.0)], "k int, x double, z double")
