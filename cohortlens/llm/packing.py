@@ -227,15 +227,17 @@ def _sequences(rows: pa.Table, capacity: int) -> pa.RecordBatch:
         raise ValueError("a sequence is longer than its capacity")
     by_piece = pa.array(np.append(first, len(seq)), pa.int32())
     listed = [pa.ListArray.from_arrays(by_piece, rows[c].combine_chunks().cast(t)) for c, t in (("doc_id", pa.int64()), ("piece", pa.int32()), ("length", pa.int32()))]
-    tokens = pa.ListArray.from_arrays(pa.array(np.append(begin, total), pa.int32()), pa.array(values.astype(np.int32)))
+    ends = (np.append(begin, total) * values.dtype.itemsize).astype(np.int32)
+    tokens = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
     return pa.RecordBatch.from_arrays([pa.array(seq[first]), tokens, *listed], names=["sequence_id", "ids", "doc_ids", "pieces", "lengths"])
 
 
-def pack_documents(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 1, capacity: int = 4096, **columns) -> DataFrame:
+def pack_sequences(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 1, capacity: int = 4096, **columns) -> DataFrame:
     """(sequence_id, ids, doc_ids, pieces, lengths): the packed sequences, read from the shared folder.
 
-    ids are at most `capacity` token ids: those of the sequence's pieces one after the other; doc_ids, pieces (a
-    piece's number in its document) and lengths tell them apart.
+    ids are the bytes, 2 or 4 each, of at most `capacity` token ids: those of the sequence's pieces one after the other;
+    doc_ids, pieces (a piece's number in its document) and lengths tell them apart. Ids are bytes from the encoder on,
+    so that Spark never handles them one by one.
     """
     rows = pack_pieces(token_pieces(docs, vocab, end_id, capacity, **columns), capacity)
 
@@ -257,22 +259,49 @@ def pack_documents(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: in
             yield _sequences(held, capacity)
 
     grouped = rows.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
-    schema = "sequence_id bigint, ids array<int>, doc_ids array<bigint>, pieces array<int>, lengths array<int>"
+    schema = "sequence_id bigint, ids binary, doc_ids array<bigint>, pieces array<int>, lengths array<int>"
     return written(grouped.mapInArrow(build, schema), "sequences", "zstd")
 
 
+def pack_documents(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 1, capacity: int = 4096, **columns) -> DataFrame:
+    """pack_sequences with the ids of a sequence as a list of numbers."""
+
+    def listed(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                values, tokens = _token_values(part)
+                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tokens)), pa.int32()), pa.array(values.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([ids if c == "ids" else part.column(c) for c in names], names=names)
+
+    names = ["sequence_id", "ids", "doc_ids", "pieces", "lengths"]
+    packed = pack_sequences(docs, vocab, end_id, capacity, **columns)
+    return packed.mapInArrow(listed, "sequence_id bigint, ids array<int>, doc_ids array<bigint>, pieces array<int>, lengths array<int>")
+
+
+def _token_values(sequences: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of some sequences, stored as bytes or listed, and the number of each sequence's."""
+    per = np.array([len(x) for x in sequences.column("lengths")], np.int64)
+    tokens = np.add.reduceat(np.append(sequences.column("lengths").flatten().to_numpy().astype(np.int64), 0), np.cumsum(per) - per)
+    if not pa.types.is_binary(sequences.schema.field("ids").type):
+        return sequences.column("ids").flatten().to_numpy(), tokens
+    data = b"".join(sequences.column("ids").to_pylist())
+    return np.frombuffer(data, "<u2" if len(data) == 2 * tokens.sum() else "<u4"), tokens
+
+
 def piece_digests(sequences: DataFrame, capacity: int = 4096) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of the pieces as they lie in the sequences."""
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of the pieces as they lie in the sequences of either form."""
 
     def digests(batches):
         forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids, docs, pieces, lengths = (part.column(c).flatten() for c in ("ids", "doc_ids", "pieces", "lengths"))
-                data = memoryview(ids.to_numpy(zero_copy_only=False).astype("<u4").tobytes())
+                docs, pieces, lengths = (part.column(c).flatten() for c in ("doc_ids", "pieces", "lengths"))
+                values, tokens = _token_values(part)
+                data = memoryview(values.astype("<u4").tobytes())
                 n, number = lengths.to_numpy().astype(np.int64), pieces.to_numpy().astype(np.int64)
-                per, tokens = (np.array([len(x) for x in part.column(c)], np.int64) for c in ("lengths", "ids"))
+                per = np.array([len(x) for x in part.column("lengths")], np.int64)
                 begin = np.cumsum(n) - n
                 whose = np.repeat(np.arange(len(per)), per)
                 offset = begin - (np.cumsum(tokens) - tokens)[whose]

@@ -164,7 +164,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_sequence_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.piece_digests(packing.pack_documents(table(spark, sf_dir, "documents")))
+    return packing.piece_digests(packing.pack_sequences(table(spark, sf_dir, "documents")))
 
 
 @query("op6_token_files")

@@ -34,7 +34,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed sequences of all rows' tokens, written to the shared folder; returned are the pieces read back from them."""
-    return packing.piece_digests(packing.pack_documents(docs))
+    return packing.piece_digests(packing.pack_sequences(docs))
 
 
 STAGES = [

@@ -60,6 +60,16 @@ def test_sequences_hold_the_ids_of_all_documents(spark):
     assert (back["start"] == back["piece"] * 512).all()
 
 
+def test_sequences_are_stored_as_bytes(spark):
+    """Spark handles no id one by one: two bytes an id are stored, and digests of both forms agree."""
+    pytest.importorskip("public_tokenizers")
+    docs = spark.createDataFrame([(1, "a b c " * 50), (2, None), (3, "x"), (3, "x")], "doc_id long, text string")
+    stored = packing.pack_sequences(docs, capacity=64)
+    assert dict(stored.dtypes)["ids"] == "binary" and all(len(r.ids) == 2 * sum(r.lengths) for r in stored.collect())
+    listed = [packing.piece_digests(x, 64).drop("sequence_id", "offset").collect() for x in (stored, packing.pack_documents(docs, capacity=64))]
+    assert sorted(listed[0]) == sorted(listed[1]) and {r.doc_id for r in listed[0]} == {1, 2, 3}
+
+
 def test_wrong_places_are_an_error(spark, monkeypatch):
     pytest.importorskip("public_tokenizers")
     right = packing.plan
