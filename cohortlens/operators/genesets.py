@@ -259,7 +259,7 @@ def alias_extended_scores(dense: DataFrame, extra: DataFrame) -> DataFrame:
 def standardised_members(dense: DataFrame) -> DataFrame:
     """Members as population z-scores."""
     stats = dense.groupBy("module", "gene").agg(F.avg("x").alias("_mean"), F.stddev_pop("x").alias("_scale"))
-    return dense.join(stats, ["module", "gene"]).withColumn("z", F.try_divide(F.col("x") - F.col("_mean"), F.col("_scale"))).drop(
+    return dense.join(measured(stats), ["module", "gene"]).withColumn("z", F.try_divide(F.col("x") - F.col("_mean"), F.col("_scale"))).drop(
         "_mean", "_scale"
     )
 

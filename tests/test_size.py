@@ -31,6 +31,14 @@ def test_simple_models_do_not_move_rows_to_their_fold(rows):
         assert "SortMergeJoin" not in plan(df) and "Exchange hashpartitioning" not in plan(df)
 
 
+def test_standardised_members_stay_where_they_are(rows):
+    from cohortlens.operators import genesets
+
+    dense = rows.select(F.col("cell_id").alias("sample_id"), "module", F.col("group_id").alias("gene"), F.col("y_true").alias("x"))
+    made = plan(genesets.standardised_members(dense))
+    assert "SortMergeJoin" not in made and "Exchange hashpartitioning" not in made
+
+
 def test_ranks_move_every_row_once_per_column(rows):
     from cohortlens.operators import ranks
 
