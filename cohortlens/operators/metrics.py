@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortlens.functions.numeric import finite, plus_one_p, safe_corr
+from cohortlens.functions.numeric import finite, plus_one_p
 from cohortlens.functions.rules import range_position
-from cohortlens.operators.ranks import cumulative_counts, exact_quantiles, top_fraction, value_ranks
-from cohortlens.session import cut_lineage
+from cohortlens.operators.rankcorr import spearman as rank_correlation
+from cohortlens.operators.ranks import cumulative_counts, exact_quantiles, top_fraction
+from cohortlens.session import cut_lineage, measured
 
 METRICS = ("r2", "mae", "rmse", "spearman")
 
@@ -55,9 +56,9 @@ def regression_metrics(
     basic = {name: column.alias(name) for name, column in error_metrics(y, p).items()}
     if not spearman:
         return clean.groupBy(*by).agg(n, *basic.values())
-    ranked = value_ranks(clean, by, {y: "_ry", p: "_rp"})
-    rho = F.when(F.count(y) >= 2, safe_corr(F.col("_ry"), F.col("_rp")))
-    return ranked.groupBy(*by).agg(n, *basic.values(), rho.alias("spearman"))
+    table = measured(clean.groupBy(*by).agg(n, *basic.values()))
+    rho = rank_correlation(clean, by, y, p, table).select(*by, F.col("rho").alias("spearman"))
+    return table.join(rho, by, "left")
 
 
 def subset_metrics(df: DataFrame, by: Sequence[str], inside: Column, y: str = "y_true", p: str = "y_pred") -> DataFrame:

@@ -183,19 +183,6 @@ def value_ranks(df: DataFrame, by: Sequence[str], columns: Mapping[str, str], sh
     return out
 
 
-def batched_mid_ranks(df: DataFrame, by: Sequence[str], columns: Mapping[str, Sequence[str]], weights: Sequence[str]) -> DataFrame:
-    """Adds, for each column, the mid-rank of each row's value under each of several weight columns.
-
-    The order of values is the same for every weighting, so one pass serves them all. Values need to be finite, and df a
-    table that is written out.
-    """
-    k = 1 << max(1, bucket_count(df).bit_length() - 1)
-    cuts, out = _row_cuts(df, by, list(columns), None), df
-    for i, (col, names) in enumerate(columns.items()):
-        out = _row_ranks(out, by, col, cuts, f"_cuts{i}", k, [F.col(w).cast("bigint") for w in weights], names, df)
-    return out
-
-
 def exact_quantiles(
     df: DataFrame, by: Sequence[str], col: str, probs: Mapping[str, float], weight: str | None = None
 ) -> DataFrame:

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortlens.functions.numeric import choose, reliability_ratio, safe_corr, spearman_brown
+from cohortlens.functions.numeric import choose, reliability_ratio, spearman_brown
 from cohortlens.functions.rng import hash32
 from cohortlens.functions.text import set_signature
 from cohortlens.operators.blocks import set_products
 from cohortlens.operators.metrics import observed_percentile
-from cohortlens.operators.ranks import value_ranks
-from cohortlens.session import cut_lineage, measured
+from cohortlens.operators.rankcorr import spearman
+from cohortlens.session import cut_lineage
 
 def set_sizes(sets: DataFrame, by: Sequence[str]) -> DataFrame:
     """Members per set, how many balanced splits exist and the set's signature."""
@@ -106,11 +106,10 @@ def set_spread(expression: DataFrame, sets: DataFrame, samples: DataFrame, by: S
     return spread
 
 
-def split_half_table(halves: DataFrame, by: Sequence[str]) -> DataFrame:
+def split_half_table(halves: DataFrame, partitions: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, mask, rho, sb) per partition."""
     keys = [*by, "mask"]
-    ranked = value_ranks(measured(halves), keys, {"a": "ra", "b": "rb"})
-    rho = ranked.groupBy(*keys).agg(safe_corr(F.col("ra"), F.col("rb")).alias("rho"))
+    rho = partitions.select(*keys).join(spearman(halves, keys, "a", "b", partitions).select(*keys, "rho"), keys, "left")
     return rho.withColumn("sb", spearman_brown(F.col("rho")))
 
 
@@ -142,7 +141,7 @@ def reliability(expression: DataFrame, sets: DataFrame, samples: DataFrame, by:
     """The whole chain for any number of sets: partitions, half scores, correlations, quartiles."""
     sizes = set_sizes(sets, by)
     partitions = cut_lineage(balanced_partitions(sizes, by, maximum, seed))
-    table = split_half_table(half_scores(expression, sets, partitions, samples, by), by)
+    table = split_half_table(half_scores(expression, sets, partitions, samples, by), partitions, by)
     kinds = partitions.select(*by, "gene_n", "max_partitions", "method").distinct()
     return split_half_summary(table, by).join(kinds, list(by)).join(set_spread(expression, sets, samples, by), list(by))
 

@@ -12,11 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.numeric import billionths, plus_one_p, safe_corr, sign_tail_p
+from cohortlens.functions.numeric import billionths, plus_one_p, sign_tail_p
 from cohortlens.functions.rng import hash32, pick
 from cohortlens.operators.metrics import METRICS, bootstrap_intervals, oriented_delta, paired_finite
-from cohortlens.operators.ranks import batched_mid_ranks, ordered_index, value_ranks
-from cohortlens.session import measured
+from cohortlens.operators.rankcorr import spearman, spearman_lanes
+from cohortlens.operators.ranks import ordered_index, value_ranks
+from cohortlens.session import cut_lineage, measured  # noqa: F401  (a test takes cut_lineage from here)
 
 
 def index_groups(df: DataFrame, group: str, seed: int) -> DataFrame:
@@ -77,42 +78,15 @@ def _replicate_spearman(df: DataFrame, by, group, y, preds, groups: DataFrame, p
         .join(groups, "slot")
         .select("batch", group, *weights)
     )
-    rows = measured(df.select(*by, group, y, *preds).join(measured(drawn), group).drop(group))
-    keys = [*by, "batch"]
-    placed = batched_mid_ranks(rows, keys, {column: [f"{w}_{column}" for w in weights] for column in (y, *preds)}, weights)
-    sums = []
-    for w in weights:
-        weight, a = F.col(w), F.col(f"{w}_{y}")
-        sums += [F.sum(weight).alias(f"{w}_n"), F.sum(weight * a).alias(f"{w}_a"), F.sum(weight * a * a).alias(f"{w}_aa")]
-        for p in preds:
-            b = F.col(f"{w}_{p}")
-            sums += [
-                F.sum(weight * b).alias(f"{w}_b_{p}"),
-                F.sum(weight * b * b).alias(f"{w}_bb_{p}"),
-                F.sum(weight * a * b).alias(f"{w}_ab_{p}"),
-            ]
-    totals = placed.groupBy(*keys).agg(*sums)
-
-    def rho(w: str, p: str) -> Column:
-        n, a, b = F.col(f"{w}_n"), F.col(f"{w}_a"), F.col(f"{w}_b_{p}")
-        va, vb = F.col(f"{w}_aa") - a * a / n, F.col(f"{w}_bb_{p}") - b * b / n
-        return F.when((va > 0) & (vb > 0), F.try_divide(F.col(f"{w}_ab_{p}") - a * b / n, F.sqrt(va) * F.sqrt(vb)))
-
-    entries = F.array(
-        *[
-            F.struct(
-                (F.col("batch") * batch + i).cast("int").alias("replicate"),
-                F.col(f"{w}_n").alias("n"),
-                *[F.when(F.col(f"{w}_n") > 0, rho(w, p)).alias(f"spearman_{p}") for p in preds],
-            )
-            for i, w in enumerate(weights)
-        ]
-    )
-    return (
-        totals.select(*by, F.explode(entries).alias("e"))
-        .filter(F.col("e.n") > 0)
-        .select(*by, "e.replicate", *[f"e.spearman_{p}" for p in preds])
-    )
+    drawn, out = measured(drawn), None
+    keys = measured(df.select(*by).distinct().crossJoin(drawn.select("batch").distinct()))
+    for p in preds:
+        rows = df.select(*by, group, y, p).join(drawn, group)
+        rho = spearman_lanes(rows, [*by, "batch"], y, p, weights, keys).filter(F.col("n") > 0)
+        replicate = (F.col("batch") * batch + F.col("lane")).cast("int").alias("replicate")
+        rho = rho.select(*by, replicate, F.col("rho").alias(f"spearman_{p}"))
+        out = rho if out is None else out.join(rho, [*by, "replicate"])
+    return out
 
 
 def cluster_bootstrap(
@@ -254,14 +228,13 @@ def stratified_permutation(
 
 
 def observed_spearman(df: DataFrame, by: Sequence[str], y: str = "y_true", p: str = "y_pred") -> DataFrame:
-    ranked = value_ranks(df, by, {y: "_ry", p: "_rp"})
-    return ranked.groupBy(*by).agg(safe_corr(F.col("_ry"), F.col("_rp")).alias("observed_spearman"))
+    return spearman(df, by, y, p).select(*by, F.col("rho").alias("observed_spearman"))
 
 
 def permutation_summary(null: DataFrame, observed: DataFrame, by: Sequence[str]) -> DataFrame:
     """Two-sided plus-one p and the mean and SD of the null."""
     by = list(by)
-    joined = null.join(observed, by)
+    joined = null.join(observed, by, "left")
     extreme = F.count_if(F.abs("rho") >= F.abs("observed_spearman"))
     return (
         joined.groupBy(*by)
