@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.numeric import billionths, plus_one_p, sign_tail_p
 from cohortlens.functions.rng import hash32, pick
 from cohortlens.operators.metrics import METRICS, bootstrap_intervals, oriented_delta, paired_finite
+from cohortlens.operators.permute import permuted_products
 from cohortlens.operators.rankcorr import spearman, spearman_lanes
 from cohortlens.operators.ranks import ordered_index, value_ranks
 from cohortlens.session import cut_lineage, measured  # noqa: F401  (a test takes cut_lineage from here)
@@ -198,33 +199,16 @@ def stratified_permutation(
 ) -> DataFrame:
     """Null Spearman per (by, iteration): truth ranks are permuted inside each stratum.
 
-    Ranks are computed once. A cell takes the prediction rank found at its hash-ordered position.
+    Ranks are computed once. A cell takes the prediction rank found at its hash-ordered position; see `permute`. Doubled
+    ranks about their mean are whole numbers.
     """
     by = list(by)
     ranked = measured(_centred_ranks(df.select(*by, stratum, cell, y, p), by, y, p))
-    slots = ordered_index(
-        ranked.select(*by, stratum, cell, "_rp"), [*by, stratum], hash32(seed, "slot", F.col(cell)), [cell], "_slot",
-        hashed=True,
-    )
-    shuffled = ordered_index(
-        ranked.select(
-            *by, stratum, cell, "_ry", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("iteration")
-        ),
-        [*by, stratum, "iteration"],
-        hash32(seed, F.col("iteration"), F.col(cell)),
-        [cell],
-        "_slot",
-        hashed=True,
-    )
     scale = ranked.groupBy(*by).agg(
         F.sqrt(F.sum(F.col("_ry") * F.col("_ry")) * F.sum(F.col("_rp") * F.col("_rp"))).alias("_norm")
     )
-    products = (
-        shuffled.join(slots.select(*by, stratum, "_slot", "_rp"), [*by, stratum, "_slot"])
-        .groupBy(*by, "iteration")
-        .agg(F.sum(F.col("_ry") * F.col("_rp")).alias("_dot"))
-    )
-    return products.join(scale, by).select(*by, "iteration", F.try_divide(F.col("_dot"), F.col("_norm")).alias("rho"))
+    products = permuted_products(ranked, by, stratum, cell, 2 * F.col("_ry"), 2 * F.col("_rp"), n_permutations, seed)
+    return products.join(scale, by).select(*by, "iteration", F.try_divide(F.col("dot") / 4, F.col("_norm")).alias("rho"))
 
 
 def observed_spearman(df: DataFrame, by: Sequence[str], y: str = "y_true", p: str = "y_pred") -> DataFrame:
