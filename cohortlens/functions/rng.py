@@ -91,13 +91,13 @@ def _md5_heads(words: list[np.ndarray | int], n: int) -> np.ndarray:
 def _hashed(head: bytes, bodies: np.ndarray) -> np.ndarray:
     """hash32 of head followed by each row of bytes; at most 55 bytes in all."""
     n, size = len(bodies), len(head) + bodies.shape[1]
-    message = np.zeros((n, 64), np.uint8)
+    first, last = len(head) // 4, size // 4
+    message = np.zeros((n, 4 * last + 4), np.uint8)
     message[:, : len(head)] = np.frombuffer(head, np.uint8)
     message[:, len(head) : size] = bodies
     message[:, size] = 0x80
     columns = np.ascontiguousarray(message.view("<u4").T)
-    first, last = len(head) // 4, size // 4
-    words = [columns[i] if first <= i <= last else int(columns[i, 0]) for i in range(16)]
+    words = [columns[i] if first <= i else int(columns[i, 0]) for i in range(last + 1)] + [0] * (15 - last)
     words[14] = 8 * size
     return _md5_heads(words, n)
 

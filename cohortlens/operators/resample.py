@@ -7,18 +7,23 @@ so it needs no driver loop and is the same for every key and contrast.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions.numeric import billionths, plus_one_p, sign_tail_p
-from cohortlens.functions.rng import hash32, pick
+from cohortlens.functions.rng import hash32, hash32_numbers, pick
 from cohortlens.operators.metrics import METRICS, bootstrap_intervals, oriented_delta, paired_finite
 from cohortlens.operators.permute import permuted_products
-from cohortlens.operators.rankcorr import spearman, spearman_lanes
+from cohortlens.operators.rankcorr import _packed, _unpacked, spearman, spearman_lanes
 from cohortlens.operators.ranks import ordered_index, value_ranks
-from cohortlens.session import cut_lineage, measured  # noqa: F401  (a test takes cut_lineage from here)
+from cohortlens.session import bucket_count, cut_lineage, measured  # noqa: F401  (a test takes cut_lineage from here)
+
+#: Slots of a range of groups, draws hashed at a time, groups counted at a time, and replicates multiplied at a time.
+GROUP_BLOCK, DRAW_BLOCK, SEGMENT, REPLICATE_BLOCK = 1 << 14, 1 << 22, 1 << 24, 256
 
 
 def index_groups(df: DataFrame, group: str, seed: int) -> DataFrame:
@@ -27,6 +32,10 @@ def index_groups(df: DataFrame, group: str, seed: int) -> DataFrame:
     return ordered_index(distinct, [], hash32(seed, F.col(group)), [group], "slot", "n_groups", hashed=True)
 
 
+def _number(groups: DataFrame) -> int:
+    return groups.agg(F.max("n_groups")).first()[0] or 0
+
+
 def draw_plan(groups: DataFrame, n_resamples: int, seed: int) -> DataFrame:
     """(replicate, slot) rows: the slot picked by each of the G draws of a replicate."""
     spread = groups.select(
@@ -45,14 +54,65 @@ def _group_stats(df: DataFrame, by: Sequence[str], group: str, y: str, preds: Se
     return df.join(centre, list(by)).groupBy(*by, group).agg(*aggs)
 
 
-def _replicate_errors(df: DataFrame, by, group, y, preds, groups: DataFrame, plan: DataFrame) -> DataFrame:
-    """Weighted R2, MAE and RMSE per (by, replicate) for each prediction column."""
+def draw_weights(spark: SparkSession, n_groups: int, n_resamples: int, seed: int, width: int) -> DataFrame:
+    """(_q, replicate, w): how often a replicate picks each group, packed by ranges of `width` slots.
+
+    The same draws as those of draw_plan. A range of a replicate has several rows if its draws are hashed in several parts;
+    they add up. What moves is about a byte for each group and replicate.
+    """
+    parts, segment = -(-n_groups // DRAW_BLOCK), width * max(1, SEGMENT // width)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in batch["id"].tolist():
+                replicate, low = i // parts, i % parts * DRAW_BLOCK
+                picks = hash32_numbers(f"{seed}|{replicate}", low, min(low + DRAW_BLOCK, n_groups)) % np.uint64(n_groups)
+                for start in range(0, n_groups, segment):
+                    end = min(start + segment, n_groups)
+                    own = picks if end - start == n_groups else picks[(picks >= start) & (picks < end)] - np.uint64(start)
+                    times = np.bincount(own.astype(np.int64), minlength=end - start)
+                    rows = [_packed(times[j : j + width]) for j in range(0, end - start, width)]
+                    yield pd.DataFrame({"_q": start // width + np.arange(len(rows)), "replicate": np.int32(replicate), "w": rows})
+
+    todo = n_resamples * parts
+    return spark.range(0, todo, 1, max(1, min(todo, bucket_count(spark.range(0))))).mapInPandas(draw, "_q long, replicate int, w binary")
+
+
+def _replicate_errors(df: DataFrame, by, group, y, preds, groups: DataFrame, n_groups: int, n_resamples: int, seed: int) -> DataFrame:
+    """Weighted R2, MAE and RMSE per (by, replicate) for each prediction column.
+
+    Sums of the groups are a matrix for each range of slots, weights another; a replicate's sums are their product.
+    """
     by = list(by)
-    stats = _group_stats(df, by, group, y, preds).join(groups.select(group, "slot"), group).drop(group)
     sums = ["n", "sy", "syy"] + [f"{k}_{p}" for p in preds for k in ("abs", "sq")]
-    # The plan has n_resamples rows a group, which Spark does not see in its estimate: it must stream, never be broadcast.
-    drawn = plan.join(stats.hint("shuffle_hash"), "slot").groupBy(*by, "replicate").agg(*[F.sum(c).alias(c) for c in sums])
-    n = F.col("n")
+    stats = measured(_group_stats(df, by, group, y, preds).join(groups.select(group, "slot"), group).drop(group))
+    keys = measured(stats.select(*by).distinct().withColumn("_k", F.monotonically_increasing_id()))
+    width = max(64, min(GROUP_BLOCK, 8 * GROUP_BLOCK // max(1, keys.count())))
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in sums]
+    placed = stats.join(keys, by).select("_k", F.floor(F.col("slot") / width).alias("_q"), (F.col("slot") % width).alias("_at"), F.lit(1.0).alias("_met"), *values)
+    columns = ["_met", *sums]
+    schema = "_k long, replicate int, " + ", ".join(f"`{c}` double" for c in columns)
+
+    def multiply(own: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({c: [] for c in ["_k", "replicate", *columns]})]
+        if len(own) and len(drawn):
+            n = min(width, n_groups - int(drawn["_q"].iloc[0]) * width)
+            held = [(k, x["_at"].to_numpy(), x[columns].to_numpy()) for k, x in own.groupby("_k")]
+            for low in range(0, len(drawn), REPLICATE_BLOCK):
+                part = drawn.iloc[low : low + REPLICATE_BLOCK]
+                w = np.stack([_unpacked(x, n, 1)[:, 0] for x in part["w"]]).astype(float)
+                for k, at, x in held:
+                    usable = np.isfinite(x)
+                    made = w[:, at] @ np.where(usable, x, 0.0)
+                    for j in np.flatnonzero(~usable.all(axis=1)).tolist():  # a group that is not drawn spoils nothing
+                        made[w[:, at[j]] > 0] += np.where(usable[j], 0.0, x[j])
+                    out.append(pd.DataFrame({"_k": k, "replicate": part["replicate"].to_numpy()} | dict(zip(columns, made.T, strict=True))))
+        return pd.concat(out, ignore_index=True) if len(out) < 2 else pd.concat(out[1:], ignore_index=True)
+
+    weights = draw_weights(df.sparkSession, n_groups, n_resamples, seed, width)
+    products = placed.groupBy("_q").cogroup(weights.groupBy("_q")).applyInPandas(multiply, schema)
+    drawn = products.groupBy("_k", "replicate").agg(*[F.sum(c).alias(c) for c in columns]).filter(F.col("_met") > 0).join(keys, "_k")
+    n = F.col("n").cast("bigint")
     sst = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n)
     out = []
     for p in preds:
@@ -103,9 +163,9 @@ def cluster_bootstrap(
 ) -> DataFrame:
     """One row per key and replicate with the metrics of the resampled groups."""
     clean = paired_finite(df.withColumn(group, F.col(group).cast("string")), y, p).filter(F.col(y).isNotNull())
-    groups = index_groups(clean, group, seed)
+    groups = measured(index_groups(clean, group, seed))
     plan = draw_plan(groups, n_resamples, seed)
-    errors = _replicate_errors(clean, by, group, y, [p], groups, plan)
+    errors = _replicate_errors(clean, by, group, y, [p], groups, _number(groups), n_resamples, seed)
     if spearman:
         rho = _replicate_spearman(clean, by, group, y, [p], groups, plan, min(batch, n_resamples))
         errors = errors.join(rho, [*by, "replicate"])
@@ -144,9 +204,9 @@ def paired_bootstrap(
     by = list(by)
     preds = ["y_pred_a", "y_pred_b"]
     rows = pairs.withColumn(group, F.col(group).cast("string"))
-    groups = index_groups(rows, group, seed)
+    groups = measured(index_groups(rows, group, seed))
     plan = draw_plan(groups, n_resamples, seed)
-    wide = _replicate_errors(rows, by, group, "y_true", preds, groups, plan)
+    wide = _replicate_errors(rows, by, group, "y_true", preds, groups, _number(groups), n_resamples, seed)
     names = [m for m in METRICS if spearman or m != "spearman"]
     if spearman:
         rho = _replicate_spearman(rows, by, group, "y_true", preds, groups, plan, min(batch, n_resamples))

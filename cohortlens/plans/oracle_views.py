@@ -92,6 +92,9 @@ VIEWS = {
     "plan20": """SELECT r AS replicate, ('0x' || substr(md5(concat_ws('|', '42', CAST(r AS VARCHAR), CAST(slot AS VARCHAR))), 1, 8))::BIGINT % n_groups AS slot
         FROM group_slots, (SELECT CAST(unnest(range(0, 20)) AS INTEGER) AS r)""",
     "weights20": """SELECT p.replicate, g.group_id, count(*) AS w FROM plan20 p JOIN group_slots g ON g.slot = p.slot GROUP BY 1, 2""",
+    "plan5000": """SELECT r AS replicate, ('0x' || substr(md5(concat_ws('|', '42', CAST(r AS VARCHAR), CAST(slot AS VARCHAR))), 1, 8))::BIGINT % n_groups AS slot
+        FROM group_slots, (SELECT CAST(unnest(range(0, 5000)) AS INTEGER) AS r)""",
+    "weights5000": """SELECT p.replicate, g.group_id, count(*) AS w FROM plan5000 p JOIN group_slots g ON g.slot = p.slot GROUP BY 1, 2""",
 }
 
 

@@ -40,21 +40,32 @@ def i01b(spark, sf):
     return resample.cluster_bootstrap(v.oof(spark, sf, ("ols",)), ["module"], n_resamples=20, spearman=False)
 
 
-def _paired_sql(model: str) -> str:
+def _paired_sql(model: str, weights: str) -> str:
     return f"""SELECT w.replicate, o.module, 1 - sum(w.w * e * e) / (sum(w.w * y_true * y_true) - sum(w.w * y_true) * sum(w.w * y_true) / sum(w.w)) AS r2,
-    sum(w.w * abs(e)) / sum(w.w) AS mae, sqrt(sum(w.w * e * e) / sum(w.w)) AS rmse FROM (SELECT *, y_true - y_pred AS e FROM oof_{model}) o JOIN weights20 w ON w.group_id = o.group_id GROUP BY 1, 2"""
+    sum(w.w * abs(e)) / sum(w.w) AS mae, sqrt(sum(w.w * e * e) / sum(w.w)) AS rmse FROM (SELECT *, y_true - y_pred AS e FROM oof_{model}) o JOIN {weights} w ON w.group_id = o.group_id GROUP BY 1, 2"""
 
 
-DELTAS = f"""SELECT a.module, a.replicate, m.metric, CASE m.metric WHEN 'r2' THEN a.r2 WHEN 'mae' THEN a.mae ELSE a.rmse END AS metric_a, CASE m.metric WHEN 'r2' THEN b.r2 WHEN 'mae' THEN b.mae ELSE b.rmse END AS metric_b,
+def _deltas_sql(weights: str) -> str:
+    return f"""SELECT a.module, a.replicate, m.metric, CASE m.metric WHEN 'r2' THEN a.r2 WHEN 'mae' THEN a.mae ELSE a.rmse END AS metric_a, CASE m.metric WHEN 'r2' THEN b.r2 WHEN 'mae' THEN b.mae ELSE b.rmse END AS metric_b,
     CASE m.metric WHEN 'r2' THEN a.r2 - b.r2 WHEN 'mae' THEN b.mae - a.mae ELSE b.rmse - a.rmse END AS delta
-    FROM ({_paired_sql("ols")}) a JOIN ({_paired_sql("mean")}) b ON a.module = b.module AND a.replicate = b.replicate CROSS JOIN (SELECT unnest(['r2', 'mae', 'rmse']) AS metric) m"""
-SUMMARY = f"""SELECT module, metric, count(*) AS n_bootstrap, CAST(sum(CASE WHEN delta > 0 THEN 1 ELSE 0 END) AS BIGINT) AS count_gt0, CAST(sum(CASE WHEN delta < 0 THEN 1 ELSE 0 END) AS BIGINT) AS count_lt0,
+    FROM ({_paired_sql("ols", weights)}) a JOIN ({_paired_sql("mean", weights)}) b ON a.module = b.module AND a.replicate = b.replicate CROSS JOIN (SELECT unnest(['r2', 'mae', 'rmse']) AS metric) m"""
+
+
+DELTAS = _deltas_sql("weights20")
+
+
+def _summary_sql(weights: str) -> str:
+    return f"""SELECT module, metric, count(*) AS n_bootstrap, CAST(sum(CASE WHEN delta > 0 THEN 1 ELSE 0 END) AS BIGINT) AS count_gt0, CAST(sum(CASE WHEN delta < 0 THEN 1 ELSE 0 END) AS BIGINT) AS count_lt0,
     CAST(sum(CASE WHEN delta = 0 THEN 1 ELSE 0 END) AS BIGINT) AS count_eq0, quantile_cont(delta, 0.025) AS ci_low, quantile_cont(delta, 0.975) AS ci_high,
     avg(CASE WHEN delta > 0 THEN 1.0 ELSE 0.0 END) AS prob_gt0, avg(CASE WHEN delta < 0 THEN 1.0 ELSE 0.0 END) AS prob_lt0,
-    least(1.0, 2 * least((1.0 + sum(CASE WHEN delta <= 0 THEN 1 ELSE 0 END)) / (count(*) + 1), (1.0 + sum(CASE WHEN delta >= 0 THEN 1 ELSE 0 END)) / (count(*) + 1))) AS p_sign_tail FROM ({DELTAS}) GROUP BY 1, 2"""
+    least(1.0, 2 * least((1.0 + sum(CASE WHEN delta <= 0 THEN 1 ELSE 0 END)) / (count(*) + 1), (1.0 + sum(CASE WHEN delta >= 0 THEN 1 ELSE 0 END)) / (count(*) + 1))) AS p_sign_tail FROM ({_deltas_sql(weights)}) GROUP BY 1, 2"""
+
+
+#: Draws of the paired comparisons, as many as the analyses make.
+PAIRED_DRAWS = 5000
 
 
-@query("i02_paired_bootstrap", SUMMARY, ["ci_low", "ci_high", "prob_gt0", "prob_lt0", "p_sign_tail"])
+@query("i02_paired_bootstrap", _summary_sql("weights20"), ["ci_low", "ci_high", "prob_gt0", "prob_lt0", "p_sign_tail"])
 def i02(spark, sf):
     draws = resample.paired_bootstrap(v.pairs(spark, sf), ["module"], n_resamples=20, spearman=False)
     return resample.paired_summary(draws, ["module"])
@@ -70,13 +81,13 @@ def i02b(spark, sf):
 @query(
     "i03_increment_over_baseline",
     f"""SELECT module, point_delta, ci_low, ci_high, p_sign_tail, least(1.0, min(family_n * p_sign_tail / bh_rank) OVER (ORDER BY bh_rank DESC ROWS UNBOUNDED PRECEDING)) AS bh_q FROM (
-    SELECT s.module, a.r2 - b.r2 AS point_delta, ci_low, ci_high, p_sign_tail, row_number() OVER (ORDER BY p_sign_tail, s.module) AS bh_rank, count(*) OVER () AS family_n FROM ({SUMMARY}) s
+    SELECT s.module, a.r2 - b.r2 AS point_delta, ci_low, ci_high, p_sign_tail, row_number() OVER (ORDER BY p_sign_tail, s.module) AS bh_rank, count(*) OVER () AS family_n FROM ({_summary_sql("weights5000")}) s
     JOIN perf a ON a.module = s.module AND a.model = 'ols' JOIN perf b ON b.module = s.module AND b.model = 'mean' WHERE metric = 'r2')""",
     ["point_delta", "ci_low", "ci_high", "p_sign_tail", "bh_q"],
 )
 def i03(spark, sf):
     rows = v.pairs(spark, sf)
-    summary = resample.paired_summary(resample.paired_bootstrap(rows, ["module"], n_resamples=20, spearman=False), ["module"])
+    summary = resample.paired_summary(resample.paired_bootstrap(rows, ["module"], n_resamples=PAIRED_DRAWS, spearman=False), ["module"])
     points = [metrics.error_metrics("y_true", p)["r2"].alias(k) for k, p in (("a", "y_pred_a"), ("b", "y_pred_b"))]
     point = rows.groupBy("module").agg(*points).select("module", (F.col("a") - F.col("b")).alias("point_delta"))
     joined = summary.filter("metric = 'r2'").join(point, "module")
