@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from brute import spearman
 from test_resample_folds import SCHEMA, oof_rows, weights
 
 from cohortlens.operators import resample
@@ -36,3 +37,27 @@ def test_increment_makes_all_draws(spark, sf):
 
     p = [r["p_sign_tail"] for r in i03(spark, sf).collect()]
     assert min(p) == pytest.approx(2 / 5001, abs=1e-6)
+
+
+def test_paired_spearman_makes_all_draws(spark, sf, monkeypatch):
+    """Five draws said little: the query asks for as many as the analyses make."""
+    from cohortlens.plans import q_inference
+
+    asked = []
+    monkeypatch.setattr(q_inference.resample, "paired_bootstrap", lambda rows, by, **given: asked.append(given))
+    monkeypatch.setattr(q_inference.resample, "paired_summary", lambda draws, by: None)
+    q_inference.i02b(spark, sf)
+    assert asked == [{"n_resamples": 5000}]
+
+
+def test_spearman_in_several_batches_of_replicates(spark, monkeypatch):
+    df = spark.createDataFrame(oof_rows(), SCHEMA)
+    monkeypatch.setattr(resample, "LANE_BYTES", 64 * 7)
+    few = resample.paired_bootstrap(df, ["module"], n_resamples=7, seed=3, batch=3).filter("metric = 'spearman'").collect()
+    one = resample.paired_bootstrap(df, ["module"], n_resamples=7, seed=3, batch=7).filter("metric = 'spearman'").collect()
+    key = lambda r: r["replicate"]
+    assert sorted(map(tuple, few), key=lambda t: t[2]) == sorted(map(tuple, one), key=lambda t: t[2]) and len(few) == 7
+    plans = weights(oof_rows(), 7, 3)
+    for r in sorted(few, key=key):
+        rows = [x for x in oof_rows() for _ in range(plans[r["replicate"]][x[1]])]
+        assert r["metric_a"] == pytest.approx(spearman([x[5] for x in rows], [x[6] for x in rows]), abs=1e-9)
